@@ -99,9 +99,9 @@ def _dot(a: Column, b: Column) -> Column:
 
 def nearest_vectors(corpus: DataFrame, query: Column, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k rows whose vector has the greatest cosine with one query vector: a scan and a top-k."""
-    v, q = F.col(vector).cast("array<double>"), query.cast("array<double>")
-    cosine = _dot(v, q) / F.sqrt(_dot(v, v) * _dot(q, q))
-    return corpus.select(key, F.round(cosine, 6).alias("cosine")).orderBy(F.desc("cosine"), key).limit(k)
+    pair = corpus.select(key, F.col(vector).cast("array<double>").alias("v"), query.cast("array<double>").alias("q"))
+    cosine = _dot(F.col("v"), F.col("q")) / F.sqrt(_dot(F.col("v"), F.col("v")) * _dot(F.col("q"), F.col("q")))
+    return pair.select(key, F.round(cosine, 6).alias("cosine")).orderBy(F.desc("cosine"), key).limit(k)
 
 
 def centroid(corpus: DataFrame, vector: str = "embedding") -> DataFrame:
