@@ -71,14 +71,14 @@ def nearest_to_centre(w: Workspace) -> DataFrame:
 def triage_run(w: Workspace, max_drafts: int = 3) -> DataFrame:
     chosen = governance.triage_selection(w.alerts, w.cases, max_drafts)
     requests = chosen.select(
-        "alert_id", F.lit("task").alias("requested_by"), w.t.alias("requested_at"), F.lit(None).cast("string").alias("note")
+        "alert_id", F.lit("task").alias("requested_by"), w.t.now.alias("requested_at"), F.lit(None).cast("string").alias("note")
     )
     made = drafts.generate_drafts(requests, w.alerts, w.signals, w.transactions, w.policy_sections, w.t)
     return governance.triage_summary(chosen, made.cases, w.lcr_daily)
 
 
 def package_facts(w: Workspace) -> DataFrame:
-    return governance.audit_packages(w.findings, w.evidence, w.t).select(
+    return governance.audit_packages(w.findings, w.evidence, w.t.now).select(
         "finding_id", "package_type", "generated_at", F.col("finding.severity").alias("severity"),
         F.col("finding.risk_score").alias("risk_score"), F.col("finding.status").alias("status"), F.size("evidence").alias("n_evidence"),
         F.transform("evidence", lambda e: e["type"]).alias("types"), F.transform("evidence", lambda e: e["text"]).alias("texts"),

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions.columns import days, hours
-from ledgerwatch.functions.windows import since
+from ledgerwatch.functions.windows import Anchor, since
+from ledgerwatch.session import stage_table
 
 DAYS = 7
 MIN_AMOUNT = 1_000_000
@@ -29,15 +30,17 @@ AMOUNT_BIN_RATIO = 1.25  # wider than (1 + tolerance) / (1 - tolerance): a trans
 WALK = ["a1", "a2", "a3"]
 
 
-def large_transfers(transactions: DataFrame, t: Column) -> DataFrame:
+def large_transfers(transactions: DataFrame, t: Anchor) -> DataFrame:
+    """The transfers a cycle can be made of; equal ones are merged with their number k."""
     return (
         since(transactions, t, days(DAYS))
         .where((F.col("direction") == "DEBIT") & F.col("channel").isin("NEFT", "RTGS"))
         .where(F.col("amount_inr") >= MIN_AMOUNT)
-        .select(
+        .groupBy(
             F.col("account_id").alias("src"), F.col("counterparty_account_id").alias("dst"),
             F.col("txn_ts").alias("ts"), F.col("amount_inr").alias("amt"),
         )
+        .agg(F.count(F.lit(1)).alias("k"))
     )
 
 
@@ -69,15 +72,14 @@ def closed_walks(edges: DataFrame) -> DataFrame:
 
 
 def _legs(walks: DataFrame, big: DataFrame) -> DataFrame:
-    """Transfers on each leg (1, 2, 3) of each walk; equal transfers are merged with their number k."""
+    """Transfers on each leg (1, 2, 3) of each walk."""
     legs = F.array(
         F.struct(F.lit(1).alias("leg"), F.col("a1").alias("src"), F.col("a2").alias("dst")),
         F.struct(F.lit(2).alias("leg"), F.col("a2").alias("src"), F.col("a3").alias("dst")),
         F.struct(F.lit(3).alias("leg"), F.col("a3").alias("src"), F.col("a1").alias("dst")),
     )
     by_leg = walks.select(*WALK, F.explode(legs).alias("l")).select(*WALK, "l.*")
-    merged = big.groupBy("src", "dst", "ts", "amt").agg(F.count(F.lit(1)).alias("k"))
-    return by_leg.join(merged, ["src", "dst"]).select(
+    return by_leg.join(big, ["src", "dst"]).select(
         *WALK, "leg", "ts", "amt", "k", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")
     )
 
@@ -107,10 +109,15 @@ def _time_bin(ts: Column) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(MAX_HOURS * 3_600_000_000))
 
 
-def cycles(transactions: DataFrame, t: Column) -> DataFrame:
-    """Rings with their number of cycles and the largest first amount."""
-    big = large_transfers(transactions, t)
-    timed = _with_running_counts(_legs(closed_walks(big.select("src", "dst").distinct()), big))
+def cycles(transactions: DataFrame, t: Anchor) -> DataFrame:
+    """Rings with their number of cycles and the largest first amount.
+
+    Three intermediate results are written when this is called, each used by several
+    branches after it: the large transfers, the walks, the transfers on the walks.
+    """
+    big = stage_table(large_transfers(transactions, t), "large-transfers")
+    walks = stage_table(closed_walks(big.select("src", "dst").distinct()), "walks")
+    timed = _with_running_counts(stage_table(_legs(walks, big), "legs"))
     tolerance = F.lit(AMOUNT_TOLERANCE).cast("decimal(2,1)")
 
     # the first transfer visits the bins its last transfer may lie in; every last
@@ -141,7 +148,7 @@ def cycles(transactions: DataFrame, t: Column) -> DataFrame:
     )
 
 
-def round_trips(transactions: DataFrame, t: Column) -> DataFrame:
+def round_trips(transactions: DataFrame, t: Anchor) -> DataFrame:
     """Per account: cycles it takes part in, largest amount, the rings."""
     return (
         cycles(transactions, t)

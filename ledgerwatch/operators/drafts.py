@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerwatch.functions.columns import whole_number
+from ledgerwatch.functions.windows import Anchor
 from ledgerwatch.functions.text import masked, ungrounded
 from ledgerwatch.operators.evidence import evidence_bundles
 from ledgerwatch.operators.retrieval import alert_query, policy_hits
@@ -71,7 +72,7 @@ def case_id() -> Column:
 
 
 def generate_drafts(
-    requests: DataFrame, alerts: DataFrame, signals: DataFrame, transactions: DataFrame, policies: DataFrame, t: Column
+    requests: DataFrame, alerts: DataFrame, signals: DataFrame, transactions: DataFrame, policies: DataFrame, t: Anchor
 ) -> DraftResult:
     """``requests``: alert_id, requested_by, requested_at, note."""
     wanted = alerts.join(requests.select("alert_id").distinct(), "alert_id", "left_semi")

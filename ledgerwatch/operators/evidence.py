@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions.columns import days, first_match
-from ledgerwatch.functions.windows import since
+from ledgerwatch.functions.windows import Anchor, since
 from ledgerwatch.operators.state import insert_if_absent, merge_snapshot
 
 MIN_SCORE = 35
@@ -104,7 +104,7 @@ def case_summary(investigations: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def alert_transactions(alerts: DataFrame, transactions: DataFrame, t: Column, limit: int = BUNDLE_SIZE) -> DataFrame:
+def alert_transactions(alerts: DataFrame, transactions: DataFrame, t: Anchor, limit: int = BUNDLE_SIZE) -> DataFrame:
     """Up to ``limit`` transactions of the last ten days per alert, most telling first.
 
     The rank filter sits right above the window, so Spark keeps only ``limit`` rows
@@ -117,7 +117,7 @@ def alert_transactions(alerts: DataFrame, transactions: DataFrame, t: Column, li
     return joined.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit).drop("rn")
 
 
-def evidence_bundles(alerts: DataFrame, signals: DataFrame, transactions: DataFrame, t: Column) -> DataFrame:
+def evidence_bundles(alerts: DataFrame, signals: DataFrame, transactions: DataFrame, t: Anchor) -> DataFrame:
     """Alert, profile and its (at most 40) transactions in time order, one row per alert."""
     packed = (
         alert_transactions(alerts, transactions, t)

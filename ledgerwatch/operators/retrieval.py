@@ -27,15 +27,14 @@ def alert_vocabulary(rules: RuleSet | None = None) -> list[str]:
 def postings(docs: DataFrame, key: list[str], text: str, vocabulary: list[str]) -> DataFrame:
     """(document, term, tf, document length) for the terms of a fixed vocabulary.
 
-    Term counts are taken inside each row, so no token is ever shuffled.
+    Tokens outside the vocabulary are dropped right after the split, before anything
+    is shuffled. Every document also has one row with the empty term, which carries
+    its length into the corpus statistics.
     """
-    words = F.array(*[F.lit(w) for w in vocabulary])
-    hit = docs.select(*key, tokens(F.col(text)).alias("tokens")).select(
-        *key, F.size("tokens").alias("dl"), F.filter("tokens", lambda w: F.array_contains(words, w)).alias("hits")
+    marked = docs.select(*key, tokens(F.col(text)).alias("tokens")).select(
+        *key, F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(""))).alias("term")
     )
-    return hit.where(F.size("hits") > 0).select(
-        *key, "dl", "hits", F.explode(F.array_distinct("hits")).alias("term")
-    ).select(*key, "dl", "term", F.expr("size(filter(hits, w -> w = term))").alias("tf"))
+    return marked.where(F.col("term").isin("", *vocabulary)).groupBy(*key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def top_k_sections(
@@ -45,23 +44,19 @@ def top_k_sections(
 
     Queries come from the rules: at most 4 typologies x 2^9 flag sets, each with the
     words of ``vocabulary``. That bound is what allows the query weights to be
-    broadcast; documents stay where they are and only (query, document) scores
-    move, reduced to k rows per query and task by the rank filter.
+    broadcast; only (query, document) scores move, reduced to k rows per query and
+    task by the rank filter. Documents are tokenised once: the statistics and the
+    scores read the same exchange.
     """
     vocabulary = vocabulary or alert_vocabulary()
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
     posted = postings(docs, key, text, vocabulary)
-    stats = docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    )
-    n, avgdl = stats.scalar()["n"], stats.scalar()["avgdl"]
-    idf = (
-        posted.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    )
-    weights = F.broadcast(terms.join(F.broadcast(idf), "term"))  # bounded: see above
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / avgdl)
+    # counting by tf keeps every column of the postings in both uses, so that the exchange is shared
+    frequency = posted.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.avg("dl").alias("mean_dl"))
+    corpus = frequency.agg(F.max(F.when(F.col("term") == "", F.struct(F.col("df").alias("n"), "mean_dl")))).scalar()
+    idf = F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = F.broadcast(terms.join(F.broadcast(frequency), "term").select("query_id", "term", idf.alias("idf")))  # bounded: see above
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / corpus["mean_dl"])
     part = F.col("idf") * (F.col("tf") * F.lit(K1 + 1)) / (F.col("tf") + norm)
     scored = (
         posted.join(weights, "term")

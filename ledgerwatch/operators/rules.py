@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions.columns import first_match, hours, plain_number, whole_number
-from ledgerwatch.functions.windows import since
+from ledgerwatch.functions.windows import Anchor, since
 
 KYC_BONUS = 10
 MAX_SCORE = 100
@@ -175,7 +175,7 @@ def fraud_alerts(signals: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     )
 
 
-def recent_high_risk_transactions(transactions: DataFrame, alerts: DataFrame, t: Column, min_score: int = 45, window_hours: int = 48) -> DataFrame:
+def recent_high_risk_transactions(transactions: DataFrame, alerts: DataFrame, t: Anchor, min_score: int = 45, window_hours: int = 48) -> DataFrame:
     """Transactions of the trailing window on accounts with a high score (unordered)."""
     scored = alerts.where(F.col("risk_score") >= min_score).select(
         "account_id", "customer_id", F.col("full_name").alias("customer_name"), "risk_score", "typology",

@@ -1,7 +1,7 @@
 """Behavioural signals per deposit account.
 
 All windows hang on one reference time, the latest transaction of the whole
-table unless ``as_of`` is given. The time bound enters each branch as a scalar
+table unless one is given. The time bound enters each branch as a scalar
 subquery (or a literal), so it reaches the parquet scan as a pushed filter and
 row groups outside the window are skipped. Each branch aggregates before any
 join; all aggregates are keyed by account, so they join without another shuffle.
@@ -9,13 +9,11 @@ join; all aggregates are keyed by account, so they join without another shuffle.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions.columns import days, hours
-from ledgerwatch.functions.windows import anchor, since
+from ledgerwatch.functions.windows import Anchor, latest, since
 from ledgerwatch.operators.cycles import round_trips
 
 WINDOW_HOURS = 48
@@ -24,7 +22,7 @@ CASH_LOW, CASH_HIGH = 900_000, 999_999
 RISKY_IP_PREFIX = "185."
 
 
-def activity_48h(transactions: DataFrame, t: Column) -> DataFrame:
+def activity_48h(transactions: DataFrame, t: Anchor) -> DataFrame:
     """Credits, debits, devices and risky origins of the trailing window.
 
     The two distinct counts are planned by Spark as a two-level aggregate that
@@ -50,16 +48,16 @@ def activity_48h(transactions: DataFrame, t: Column) -> DataFrame:
     )
 
 
-def last_activity_before(transactions: DataFrame, t: Column) -> DataFrame:
+def last_activity_before(transactions: DataFrame, t: Anchor) -> DataFrame:
     """Latest transaction before the window; reads two columns of the history."""
     return (
-        transactions.where(F.col("txn_ts") < t - hours(WINDOW_HOURS))
+        transactions.where(F.col("txn_ts") < t.minus(hours(WINDOW_HOURS)))
         .groupBy("account_id")
         .agg(F.max("txn_ts").alias("last_txn_before_window"))
     )
 
 
-def near_threshold_cash(transactions: DataFrame, t: Column) -> DataFrame:
+def near_threshold_cash(transactions: DataFrame, t: Anchor) -> DataFrame:
     return (
         since(transactions, t, days(CASH_DAYS))
         .where((F.col("channel") == "CASH") & (F.col("direction") == "CREDIT"))
@@ -84,15 +82,16 @@ def account_signals(
     customers: DataFrame,
     transactions: DataFrame,
     watchlist: DataFrame,
-    as_of: dt.datetime | None = None,
+    t: Anchor | None = None,
     last_activity: DataFrame | None = None,
 ) -> DataFrame:
     """One row of signals per deposit account.
 
+    ``t`` is the reference time (default: the latest transaction);
     ``last_activity`` replaces the scan of the whole history by a maintained
     per-account summary (see ``streaming.refresh``).
     """
-    t = anchor(transactions, as_of)
+    t = t or latest(transactions)
     window = activity_48h(transactions, t)
     prior = last_activity if last_activity is not None else last_activity_before(transactions, t)
     cash = near_threshold_cash(transactions, t)
@@ -115,7 +114,7 @@ def account_signals(
         .join(window, "account_id", "left")
         .join(cash, "account_id", "left")
         .join(rings, "account_id", "left")
-        .withColumn("signal_as_of", t)
+        .withColumn("signal_as_of", t.now)
     )
 
     def zero(name: str) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerwatch.functions.windows import DATE_PARTITION
 from ledgerwatch.session import shared_dir
 
 
@@ -20,28 +21,36 @@ class CuratedStore:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = (root or shared_dir(spark, "curated")).rstrip("/")
-        self._schemas: dict[str, object] = {}
+        self._tables: dict[str, DataFrame] = {}
+        self._values: dict[str, object] = {}
 
     def table(self, name: str, build: Callable[[], DataFrame], by_day: str | None = None) -> DataFrame:
-        if name not in self._schemas:
-            self._write(name, build(), by_day)
-        return self.spark.read.schema(self._schemas[name]).parquet(f"{self.root}/{name}")
+        if name not in self._tables:
+            self._tables[name] = self._write(name, build(), by_day)
+        return self._tables[name]
 
-    def _write(self, name: str, df: DataFrame, by_day: str | None) -> None:
+    def value(self, name: str, build: Callable[[], DataFrame]):
+        """A single value (one row, one column), computed once per refresh."""
+        if name not in self._values:
+            self._values[name] = build().first()[0]
+        return self._values[name]
+
+    def _write(self, name: str, df: DataFrame, by_day: str | None) -> DataFrame:
         path = f"{self.root}/{name}"
         if by_day:
+            df = df.withColumn(DATE_PARTITION, F.col(by_day).cast("date"))
             # rebalance, not repartition: a day with most of the rows is split over several files
-            day = df.withColumn("txn_date", F.col(by_day).cast("date")).hint("rebalance", "txn_date")
-            df = day
-            df.write.mode("overwrite").partitionBy("txn_date").parquet(path)
+            spread = df.hint("rebalance", DATE_PARTITION)
+            spread.write.mode("overwrite").partitionBy(DATE_PARTITION).parquet(path)
         else:
             df.write.mode("overwrite").parquet(path)
-        self._schemas[name] = df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def forget(self, *names: str) -> None:
         """Have the named tables (all when none is named) recomputed on next use."""
-        for name in names or list(self._schemas):
-            self._schemas.pop(name, None)
+        for name in names or [*self._tables, *self._values]:
+            self._tables.pop(name, None)
+            self._values.pop(name, None)
 
 
 _STORES: dict[tuple[str, str], CuratedStore] = {}

@@ -11,10 +11,10 @@ import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwatch.functions.windows import anchor
+from ledgerwatch.functions.windows import Anchor, fixed, latest, reference_time
 from ledgerwatch.operators import credit, drafts, evidence, governance, liquidity, network, rules, signals
 from ledgerwatch.plans.store import CuratedStore, session_store
 from ledgerwatch.sources import derived, derived_state
@@ -96,11 +96,20 @@ class Workspace:
 
     # --- curated tables --------------------------------------------------
     @cached_property
-    def t(self) -> Column:
-        return anchor(self.transactions, self.as_of)
+    def t(self) -> Anchor:
+        """Reference time: as given, else the latest transaction.
+
+        With a store it is computed once per refresh and then a literal in every plan,
+        so that days and row groups are pruned; without, it is a scalar subquery.
+        """
+        if self.as_of is not None:
+            return fixed(self.spark, self.as_of)
+        if self.store is None:
+            return latest(self.transactions)
+        return fixed(self.spark, self.store.value("clock", lambda: reference_time(self.transactions)))
 
     def compute_signals(self) -> DataFrame:
-        return signals.account_signals(self.accounts, self.customers, self.transactions, self.watchlist, self.as_of)
+        return signals.account_signals(self.accounts, self.customers, self.transactions, self.watchlist, self.t)
 
     @cached_property
     def signals(self) -> DataFrame:
@@ -169,7 +178,7 @@ class Workspace:
 
     def compute_audit_log(self) -> DataFrame:
         cols = ["event_ts", "event_user", "event_role", "event_type", "object_id", "details"]
-        as_of = self.t
+        as_of = self.t.now
         event = liquidity.threshold_event(self.lcr_daily).select(
             as_of.alias("event_ts"), F.lit("task").alias("event_user"), F.lit("SYSTEM").alias("event_role"),
             F.lit("LCR_THRESHOLD_EVENT").alias("event_type"), F.lit("LCR").alias("object_id"),

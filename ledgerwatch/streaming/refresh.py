@@ -23,6 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerwatch.functions.windows import fixed
 from ledgerwatch.operators.evidence import new_evidence, upsert_findings
 from ledgerwatch.operators.rules import fraud_alerts
 from ledgerwatch.operators.signals import WINDOW_HOURS, account_signals
@@ -80,7 +81,7 @@ class AlertRefresh:
         recent = history.where(F.col("txn_date") >= F.lit(scanned_from))
         self._fold_activity(history, batch_id, was_from, scanned_from)
         signals = account_signals(
-            self.accounts, self.customers, recent, self.watchlist, as_of=t, last_activity=self._last_activity(recent, t)
+            self.accounts, self.customers, recent, self.watchlist, t=fixed(self.spark, t), last_activity=self._last_activity(recent, t)
         )
         fraud_alerts(signals).write.mode("overwrite").parquet(f"{self.root}/alerts/batch_id={batch_id}")
         alerts = self.alerts(batch_id)
@@ -103,7 +104,7 @@ class AlertRefresh:
         self.activity.commit(merged, batch_id)
 
     def _last_activity(self, recent: DataFrame, t: dt.datetime) -> DataFrame:
-        start = F.lit(t).cast("timestamp_ntz") - F.expr(f"INTERVAL '{WINDOW_HOURS}' HOUR")
+        start = fixed(self.spark, t).minus(F.expr(f"INTERVAL '{WINDOW_HOURS}' HOUR"))
         inside = recent.where(F.col("txn_ts") < start).select("account_id", F.col("txn_ts").alias("last_ts"))
         return (
             self.activity.read()
