@@ -1,15 +1,19 @@
 """Time-ordered fund-flow cycles A -> B -> C -> A.
 
-Written so that no busy account or busy pair forces all its combinations:
+Written so that no busy account, busy pair or busy ring forces all its
+combinations; the cycles are counted, not listed:
 
 1. Large transfers are reduced to distinct directed edges.
 2. Closed walks of three edges are found by opening every wedge at its least busy
    node, so the work is edges^1.5 in the worst case and a hub account never
    multiplies its own edges with each other.
-3. Per walk, first and last transfer are paired inside time and amount bins, and
-   the transfers between them are counted by the difference of two running
-   counts, not by joining them. Running counts are kept per walk and hour, with the
-   hour totals added from a small second aggregate.
+3. For a first transfer a, the number of cycles is the sum over its last transfers c
+   of the middle transfers between them: sum(F(c)) - G(a) * count(c), with F and G
+   running counts of the middle transfers. The last transfers of a form a rectangle
+   in time and amount. The rectangle sums come from running sums over blocks of
+   2^level consecutive last transfers, so each transfer takes part in log(n) rows.
+4. Every running sum is split into many buckets with the bucket totals added from a
+   small second aggregate, so a ring that holds most of the rows is spread out.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ DAYS = 7
 MIN_AMOUNT = 1_000_000
 MAX_HOURS = 72
 AMOUNT_TOLERANCE = "0.1"
-AMOUNT_BIN_RATIO = 1.25  # wider than (1 + tolerance) / (1 - tolerance): a transfer meets at most two bins
+AMOUNT_BUCKETS = 10_000  # per factor e: a bucket is 0.01 % wide
 
 WALK = ["a1", "a2", "a3"]
 
@@ -80,33 +84,106 @@ def _legs(walks: DataFrame, big: DataFrame) -> DataFrame:
     )
     by_leg = walks.select(*WALK, F.explode(legs).alias("l")).select(*WALK, "l.*")
     return by_leg.join(big, ["src", "dst"]).select(
-        *WALK, "leg", "ts", "amt", "k", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")
+        *WALK, "leg", "ts", "amt", "k"
     )
 
 
-def _with_running_counts(legs: DataFrame) -> DataFrame:
-    """Per transfer: middle transfers of its walk up to it, and strictly before it."""
-    middle = F.when(F.col("leg") == 2, F.col("k")).otherwise(0)
-    per_hour = legs.groupBy(*WALK, "hour").agg(F.sum(middle).alias("n_hour"))
-    earlier = Window.partitionBy(*WALK).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_hour.select(*WALK, "hour", F.coalesce(F.sum("n_hour").over(earlier), F.lit(0)).alias("base"))
-    upto = Window.partitionBy(*WALK, "hour").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(*WALK, "hour", "ts")
-    return (
-        legs.withColumn("upto_in_hour", F.sum(middle).over(upto))
-        .withColumn("at_ts", F.sum(middle).over(same))
-        .join(base, [*WALK, "hour"])
-        .withColumn("upto", F.col("base") + F.col("upto_in_hour"))
-        .withColumn("before", F.col("upto") - F.col("at_ts"))
+def running_sums(points: DataFrame, keys: list[str], bucket: Column, order: list[str], sums: list[str]) -> DataFrame:
+    """Add ``cum_<name>`` (running sum within the keys) and ``all_<name>`` (total of the keys).
+
+    ``bucket`` has to grow with ``order``. The window runs inside one bucket; what lies
+    in earlier buckets is added from the bucket totals.
+    """
+    split = points.withColumn("bucket", bucket)
+    totals = split.groupBy(*keys, "bucket").agg(*[F.sum(c).alias(f"total_{c}") for c in sums])
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(
+        *keys, "bucket",
+        *[F.coalesce(F.sum(f"total_{c}").over(earlier), F.lit(0)).alias(f"base_{c}") for c in sums],
+        *[F.sum(f"total_{c}").over(whole).alias(f"all_{c}") for c in sums],
+    )
+    inside = Window.partitionBy(*keys, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = split.withColumns({f"in_{c}": F.sum(c).over(inside) for c in sums}).join(base, [*keys, "bucket"])
+    return summed.withColumns({f"cum_{c}": F.col(f"base_{c}") + F.col(f"in_{c}") for c in sums}).drop(
+        "bucket", *[f"in_{c}" for c in sums], *[f"base_{c}" for c in sums]
+    )
+
+
+def _timeline(legs: DataFrame) -> DataFrame:
+    """Transfers of a walk in time order.
+
+    At equal times last transfers come first and first transfers last: the former see
+    the middle transfers strictly before them, the latter all up to their time. A first
+    transfer stands at its own time and at the end of its span.
+    """
+
+    def point(kind: str, pos: int, ts: Column, mid: Column, is_last: int) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), F.lit(pos).alias("pos"), ts.alias("at"), mid.alias("mid"),
+            F.lit(is_last).cast("bigint").alias("last"),
+        )
+
+    ts, none = F.col("ts"), F.lit(0).cast("bigint")
+    points = (
+        F.when(F.col("leg") == 1, F.array(point("from", 2, ts, none, 0), point("to", 2, ts + hours(MAX_HOURS), none, 0)))
+        .when(F.col("leg") == 2, F.array(point("mid", 1, ts, F.col("k"), 0)))
+        .otherwise(F.array(point("last", 0, ts, none, 1)))
     )
+    exploded = legs.select(*WALK, "ts", "amt", "k", F.explode(points).alias("p")).select(*WALK, "ts", "amt", "k", "p.*")
+    minute = F.date_trunc("minute", F.col("at").cast("timestamp"))
+    return running_sums(exploded, WALK, minute, ["at", "pos", "amt"], ["mid", "last"])
+
+
+def _highest_bit(n: Column) -> Column:
+    return F.length(F.bin(n)) - 1
+
+
+def _blocks(timeline: DataFrame) -> DataFrame:
+    """Last transfers in their blocks, and for each first transfer the blocks it sums over.
 
+    ``cum_last`` ranks the last transfers of a walk. The first n of them are the blocks
+    given by the bits of n; a span in time is the difference of two such prefixes, and
+    a span in amount again a difference, hence the signs.
+    """
+    tolerance = F.lit(AMOUNT_TOLERANCE).cast("decimal(2,1)")
+    kind, amt, k = F.col("kind"), F.col("amt").cast("decimal(21,3)"), F.col("k")
+    none = F.lit(0).cast("bigint")
+
+    def entry(pos: int, level: Column, block: Column, value: Column, weight: Column, inner: Column, sign: int) -> Column:
+        return F.struct(
+            F.lit(pos).alias("pos"), level.cast("int").alias("level"), block.cast("bigint").alias("block"),
+            value.cast("decimal(21,3)").alias("value"), weight.alias("n"), inner.alias("nf"), F.lit(sign).alias("sign"),
+        )
 
-def _amount_bin(value: Column) -> Column:
-    return F.log(value.cast("double")) / F.log(F.lit(AMOUNT_BIN_RATIO))
+    rank = F.col("cum_last") - 1
+    levels = F.sequence(F.lit(0), _highest_bit(F.col("all_last")))
+    stored = F.transform(
+        levels, lambda l: entry(1, l, rank / F.pow(F.lit(2), l), amt, k, k * F.col("cum_mid"), 0)
+    )
+    count = F.col("cum_last")
+    bits = F.filter(
+        F.sequence(F.lit(0), _highest_bit(count)),
+        lambda l: F.floor(count / F.pow(F.lit(2), l)) % 2 == 1,
+    )
 
+    def probes(sign: int) -> Column:
+        def pair(l: Column) -> Column:
+            block = F.floor(count / F.pow(F.lit(2), l)) - 1
+            low, high = amt * (1 - tolerance), amt * (1 + tolerance)
+            return F.array(entry(0, l, block, low, none, none, -sign), entry(2, l, block, high, none, none, sign))
 
-def _time_bin(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(MAX_HOURS * 3_600_000_000))
+        return F.flatten(F.transform(bits, pair))
+
+    # carries g also when no last transfer lies before the first one: an empty block of its own
+    mark = F.array(entry(0, F.lit(-1), F.lit(0), amt, none, none, 1))
+    rows = F.when(kind == "last", stored).when(kind == "from", F.concat(mark, probes(-1))).otherwise(probes(1))
+    return (
+        timeline.where(kind != "mid")
+        .withColumn("g", F.when(kind == "from", F.col("cum_mid")))
+        .select(*WALK, "ts", "amt", "k", "g", F.explode(rows).alias("b"))
+        .select(*WALK, "ts", "amt", "k", "g", "b.*")
+    )
 
 
 def cycles(transactions: DataFrame, t: Anchor) -> DataFrame:
@@ -117,33 +194,23 @@ def cycles(transactions: DataFrame, t: Anchor) -> DataFrame:
     """
     big = stage_table(large_transfers(transactions, t), "large-transfers")
     walks = stage_table(closed_walks(big.select("src", "dst").distinct()), "walks")
-    timed = _with_running_counts(stage_table(_legs(walks, big), "legs"))
-    tolerance = F.lit(AMOUNT_TOLERANCE).cast("decimal(2,1)")
-
-    # the first transfer visits the bins its last transfer may lie in; every last
-    # transfer lies in exactly one bin, so no pair is met twice
-    lowest = F.floor(_amount_bin(F.col("amt") * (1 - tolerance)) - 1e-9)
-    highest = F.floor(_amount_bin(F.col("amt") * (1 + tolerance)) + 1e-9)
-    opening = (
-        timed.where("leg = 1")
-        .withColumn("tbin", F.explode(F.sequence(_time_bin(F.col("ts")), _time_bin(F.col("ts") + hours(MAX_HOURS)))))
-        .withColumn("abin", F.explode(F.sequence(lowest, highest)))
-        .select(*WALK, "tbin", "abin", "upto", F.col("ts").alias("a_ts"), F.col("amt").alias("a_amt"), F.col("k").alias("a_k"))
-    )
-    closing = timed.where("leg = 3").select(
-        *WALK, _time_bin(F.col("ts")).alias("tbin"), F.floor(_amount_bin(F.col("amt"))).alias("abin"), "before",
-        F.col("ts").alias("c_ts"), F.col("amt").alias("c_amt"), F.col("k").alias("c_k"),
+    blocks = _blocks(_timeline(stage_table(_legs(walks, big), "legs")))
+    amount_bucket = F.floor(F.log(F.col("value").cast("double")) * AMOUNT_BUCKETS)
+    summed = running_sums(blocks, [*WALK, "level", "block"], amount_bucket, ["value", "pos"], ["n", "nf"])
+    per_first = (
+        summed.where("sign <> 0")
+        .groupBy(*WALK, "ts", "amt", "k")
+        .agg(
+            F.sum(F.col("sign") * F.col("cum_n")).alias("n_last"),
+            F.sum(F.col("sign") * F.col("cum_nf")).alias("f_last"),
+            F.max("g").alias("g"),
+        )
+        .withColumn("found", F.col("f_last") - F.col("g") * F.col("n_last"))
     )
     return (
-        opening.join(closing, [*WALK, "tbin", "abin"])
-        .where(F.col("before") > F.col("upto"))
-        .where(F.col("c_ts") <= F.col("a_ts") + hours(MAX_HOURS))
-        .where(F.abs(F.col("a_amt") - F.col("c_amt")) <= F.col("a_amt") * tolerance)
+        per_first.where("found > 0")
         .groupBy(*WALK)
-        .agg(
-            F.sum((F.col("before") - F.col("upto")) * F.col("a_k") * F.col("c_k")).alias("cycles"),
-            F.max("a_amt").alias("amt"),
-        )
+        .agg(F.sum(F.col("found") * F.col("k")).alias("cycles"), F.max("amt").alias("amt"))
         .withColumn("ring", F.concat_ws(">", *WALK))
     )
 
