@@ -24,13 +24,19 @@ def _sum_if(cond: Column, value: Column) -> Column:
 
 
 def hqla_by_level(holdings: DataFrame) -> DataFrame:
-    value = F.col("market_value_inr") * (1 - F.col("haircut"))
+    """Post-haircut value per level and date.
+
+    Lots are first summed per (date, level, haircut): one decimal sum per row, and the
+    haircut is applied to a handful of sums.
+    """
+    lots = holdings.groupBy("as_of_date", "hqla_level", "haircut").agg(F.sum("market_value_inr").alias("market_value"))
+    value = F.col("market_value") * (1 - F.col("haircut"))
     level = F.col("hqla_level")
-    return holdings.groupBy("as_of_date").agg(
+    return lots.groupBy("as_of_date").agg(
         _sum_if(level == "LEVEL_1", value).alias("l1"),
         _sum_if(level == "LEVEL_2A", value).alias("l2a"),
         _sum_if(level == "LEVEL_2B", value).alias("l2b"),
-        _sum_if(level == "LEVEL_1", F.col("market_value_inr")).alias("l1_market"),
+        _sum_if(level == "LEVEL_1", F.col("market_value")).alias("l1_market"),
     )
 
 
@@ -50,20 +56,24 @@ def with_caps(levels: DataFrame) -> DataFrame:
 
 
 def cash_flows(positions: DataFrame) -> DataFrame:
+    """Out- and inflows per date; positions are first summed per (date, flow, category, rate, bucket)."""
+    keys = ["as_of_date", "flow_type", "category", "rate", "bucket"]
+    summed = positions.groupBy(*keys).agg(F.sum("balance_inr").alias("balance"))
     flow, category, bucket = F.col("flow_type"), F.col("category"), F.col("bucket")
-    weighted = F.col("balance_inr") * F.col("rate")
+    balance = F.col("balance")
+    weighted = balance * F.col("rate")
     out, inn = flow == "OUTFLOW", flow == "INFLOW"
 
     def net(name: str) -> Column:
         return _sum_if(out & (bucket == name), weighted) - _sum_if(inn & (bucket == name), weighted)
 
     retail = category.startswith("Retail")
-    return positions.groupBy("as_of_date").agg(
+    return summed.groupBy("as_of_date").agg(
         _sum_if(out, weighted).alias("outflows"),
         _sum_if(inn, weighted).alias("inflows_raw"),
-        _sum_if(out & retail, F.col("balance_inr")).alias("retail_deposits"),
-        _sum_if(retail, F.col("balance_inr")).alias("retail_balance"),
-        _sum_if(category.contains("non-operational"), F.col("balance_inr") * (1 - F.col("rate"))).alias("wholesale_residual"),
+        _sum_if(out & retail, balance).alias("retail_deposits"),
+        _sum_if(retail, balance).alias("retail_balance"),
+        _sum_if(category.contains("non-operational"), balance * (1 - F.col("rate"))).alias("wholesale_residual"),
         net("1-7D").alias("net_1_7"),
         net("8-14D").alias("net_8_14"),
         net("15-30D").alias("net_15_30"),

@@ -11,9 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledgerwatch.functions.windows import DATE_PARTITION
 from ledgerwatch.session import shared_dir
 
 
@@ -24,9 +22,10 @@ class CuratedStore:
         self._tables: dict[str, DataFrame] = {}
         self._values: dict[str, object] = {}
 
-    def table(self, name: str, build: Callable[[], DataFrame], by_day: str | None = None) -> DataFrame:
+    def table(self, name: str, build: Callable[[], DataFrame], partition: str | None = None) -> DataFrame:
+        """The stored table; written by ``build`` on first use, in folders per ``partition`` value."""
         if name not in self._tables:
-            self._tables[name] = self._write(name, build(), by_day)
+            self._tables[name] = self._write(name, build(), partition)
         return self._tables[name]
 
     def value(self, name: str, build: Callable[[], DataFrame]):
@@ -35,13 +34,11 @@ class CuratedStore:
             self._values[name] = build().first()[0]
         return self._values[name]
 
-    def _write(self, name: str, df: DataFrame, by_day: str | None) -> DataFrame:
+    def _write(self, name: str, df: DataFrame, partition: str | None) -> DataFrame:
         path = f"{self.root}/{name}"
-        if by_day:
-            df = df.withColumn(DATE_PARTITION, F.col(by_day).cast("date"))
+        if partition:
             # rebalance, not repartition: a day with most of the rows is split over several files
-            spread = df.hint("rebalance", DATE_PARTITION)
-            spread.write.mode("overwrite").partitionBy(DATE_PARTITION).parquet(path)
+            df.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(path)
         else:
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

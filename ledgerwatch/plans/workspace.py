@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwatch.functions.windows import Anchor, fixed, latest, reference_time
+from ledgerwatch.functions.windows import DATE_PARTITION, Anchor, fixed, latest, reference_time
 from ledgerwatch.operators import credit, drafts, evidence, governance, liquidity, network, rules, signals
 from ledgerwatch.plans.store import CuratedStore, session_store
 from ledgerwatch.sources import derived, derived_state
@@ -42,8 +42,8 @@ class Workspace:
     def given(self, name: str) -> DataFrame:
         return derived.given(self.spark, self.data_dir, name)
 
-    def _stored(self, name: str, build: Callable[[], DataFrame], by_day: str | None = None) -> DataFrame:
-        return self.store.table(name, build, by_day) if self.store else build()
+    def _stored(self, name: str, build: Callable[[], DataFrame], partition: str | None = None) -> DataFrame:
+        return self.store.table(name, build, partition) if self.store else build()
 
     # --- base tables -----------------------------------------------------
     @cached_property
@@ -60,9 +60,11 @@ class Workspace:
 
     @cached_property
     def transactions(self) -> DataFrame:
-        return self._stored(
-            "transactions", lambda: derived.transactions(self.given("orders"), self.given("customer")), by_day="txn_ts"
-        )
+        def build() -> DataFrame:
+            rows = derived.transactions(self.given("orders"), self.given("customer"))
+            return rows.withColumn(DATE_PARTITION, F.col("txn_ts").cast("date")) if self.store else rows
+
+        return self._stored("transactions", build, DATE_PARTITION)
 
     @cached_property
     def loans(self) -> DataFrame:
@@ -74,11 +76,11 @@ class Workspace:
 
     @cached_property
     def hqla_holdings(self) -> DataFrame:
-        return derived.hqla_holdings(self.given("orders"))
+        return self._stored("hqla_holdings", lambda: derived.hqla_holdings(self.given("orders")), "as_of_date")
 
     @cached_property
     def cashflow_positions(self) -> DataFrame:
-        return derived.cashflow_positions(self.given("lineitem"))
+        return self._stored("cashflow_positions", lambda: derived.cashflow_positions(self.given("lineitem")), "as_of_date")
 
     @cached_property
     def policy_docs(self) -> DataFrame:
