@@ -186,15 +186,15 @@ def _blocks(timeline: DataFrame) -> DataFrame:
     )
 
 
-def cycles(transactions: DataFrame, t: Anchor) -> DataFrame:
+def cycles(transactions: DataFrame, t: Anchor, stage_dir: str | None = None) -> DataFrame:
     """Rings with their number of cycles and the largest first amount.
 
     Three intermediate results are written when this is called, each used by several
     branches after it: the large transfers, the walks, the transfers on the walks.
     """
-    big = stage_table(large_transfers(transactions, t), "large-transfers")
-    walks = stage_table(closed_walks(big.select("src", "dst").distinct()), "walks")
-    blocks = _blocks(_timeline(stage_table(_legs(walks, big), "legs")))
+    big = stage_table(large_transfers(transactions, t), "large-transfers", stage_dir)
+    walks = stage_table(closed_walks(big.select("src", "dst").distinct()), "walks", stage_dir)
+    blocks = _blocks(_timeline(stage_table(_legs(walks, big), "legs", stage_dir)))
     amount_bucket = F.floor(F.log(F.col("value").cast("double")) * AMOUNT_BUCKETS)
     summed = running_sums(blocks, [*WALK, "level", "block"], amount_bucket, ["value", "pos"], ["n", "nf"])
     per_first = (
@@ -215,10 +215,10 @@ def cycles(transactions: DataFrame, t: Anchor) -> DataFrame:
     )
 
 
-def round_trips(transactions: DataFrame, t: Anchor) -> DataFrame:
+def round_trips(transactions: DataFrame, t: Anchor, stage_dir: str | None = None) -> DataFrame:
     """Per account: cycles it takes part in, largest amount, the rings."""
     return (
-        cycles(transactions, t)
+        cycles(transactions, t, stage_dir)
         .withColumn("account_id", F.explode(F.array(*WALK)))
         .groupBy("account_id")
         .agg(

@@ -84,18 +84,20 @@ def account_signals(
     watchlist: DataFrame,
     t: Anchor | None = None,
     last_activity: DataFrame | None = None,
+    stage_dir: str | None = None,
 ) -> DataFrame:
     """One row of signals per deposit account.
 
     ``t`` is the reference time (default: the latest transaction);
     ``last_activity`` replaces the scan of the whole history by a maintained
-    per-account summary (see ``streaming.refresh``).
+    per-account summary (see ``streaming.refresh``); ``stage_dir`` is the folder for
+    intermediate tables of a job that runs repeatedly.
     """
     t = t or latest(transactions)
     window = activity_48h(transactions, t)
     prior = last_activity if last_activity is not None else last_activity_before(transactions, t)
     cash = near_threshold_cash(transactions, t)
-    rings = round_trips(transactions, t)
+    rings = round_trips(transactions, t, stage_dir)
 
     profile = (
         accounts.where(F.col("account_type") != "LOAN")

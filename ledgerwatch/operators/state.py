@@ -2,8 +2,8 @@
 
 The built-in file formats have no MERGE, so each operator is a function from the
 old state and a change set to the new state. ``SnapshotStore`` publishes a new
-state as an immutable version folder plus one line in an append-only commit log;
-a reader sees the last committed version, and committing a batch again is a no-op.
+state as a version folder plus one line in a commit log; a reader sees the last
+committed version, and committing a batch again is a no-op.
 """
 
 from __future__ import annotations
@@ -66,26 +66,30 @@ def merge_snapshot(
 
 
 class SnapshotStore:
-    """Versioned snapshots of one table under ``path``."""
+    """Versioned snapshots of one table under ``path``.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    The last ``keep`` versions are kept: a version is written to the slot of its batch,
+    then one log line makes it current. A reader of the current version is not touched
+    by the next ``keep - 1`` commits.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 8):
+        if keep < 2:
+            raise ValueError("at least two versions are needed")
+        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
         self._log_schema = "batch_id bigint, version string"
 
     def _log(self) -> DataFrame:
         try:
-            return self.spark.read.schema(self._log_schema).json(f"{self.path}/_commits")
+            return self.spark.read.schema(self._log_schema).json(f"{self.path}/_commits/*")
         except AnalysisException:  # nothing committed yet
             return self.spark.createDataFrame([], self._log_schema)
 
-    def _last(self):
-        return self._log().orderBy(F.desc("batch_id")).limit(1).collect()
-
     def committed(self, batch_id: int) -> bool:
         return not self._log().where(F.col("batch_id") >= batch_id).isEmpty()
 
     def read(self) -> DataFrame:
-        last = self._last()
+        last = self._log().orderBy(F.desc("batch_id")).limit(1).collect()
         if not last:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{last[0].version}")
@@ -93,7 +97,7 @@ class SnapshotStore:
     def commit(self, state: DataFrame, batch_id: int) -> None:
         if self.committed(batch_id):
             return
-        version = f"v={batch_id:012d}"
-        state.write.mode("overwrite").parquet(f"{self.path}/{version}")
-        line = self.spark.createDataFrame([(batch_id, version)], self._log_schema)
-        line.coalesce(1).write.mode("append").json(f"{self.path}/_commits")
+        slot = f"slot-{batch_id % self.keep}"
+        state.write.mode("overwrite").parquet(f"{self.path}/{slot}")
+        line = self.spark.createDataFrame([(batch_id, slot)], self._log_schema)
+        line.coalesce(1).write.mode("overwrite").json(f"{self.path}/_commits/{slot}")

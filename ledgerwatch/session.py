@@ -42,13 +42,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
     Cuts a lineage that several branches would otherwise each recompute. The table
-    survives lost executors, and its known size lets Spark choose the joins.
+    survives lost executors, and its known size lets Spark choose the joins. A job
+    that runs again and again names a ``folder``, whose tables are replaced each time;
+    otherwise every call gets a new one.
     """
     spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
+    path = f"{folder.rstrip('/')}/{name}" if folder else shared_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 State per run folder, all of it written tables (nothing lives in executors):
 
-* ``transactions``: every batch in its own folder, partitioned by day;
+* ``transactions``: by day and batch; a batch replaces only its own folders;
 * ``activity``: last transaction per account among days that left the ten-day span;
 * ``alerts`` and ``evidence``: one folder per batch;
 * ``findings``: versioned snapshots;
@@ -43,9 +43,18 @@ class AlertRefresh:
         self.findings = SnapshotStore(spark, f"{self.root}/findings", SCHEMAS["risk_findings"])
         self.clock = SnapshotStore(spark, f"{self.root}/clock", "t timestamp_ntz, scanned_from date")
 
-    def transactions(self) -> DataFrame:
-        schema = SCHEMAS["transactions"] + ", batch_id bigint, txn_date date"
-        return self.spark.read.schema(schema).parquet(f"{self.root}/transactions")
+    def transactions(self, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
+        """Landed transactions, of all days or of a span; only the folders of the span are listed."""
+        schema = SCHEMAS["transactions"] + ", txn_date date, batch_id bigint"
+        root = f"{self.root}/transactions"
+        path = root
+        if first is not None and last is not None:
+            span = [first + dt.timedelta(days=i) for i in range((last - first).days + 1)]
+            path = f"{root}/txn_date={{{','.join(d.isoformat() for d in span)}}}"
+        try:
+            return self.spark.read.schema(schema).option("basePath", root).parquet(path)
+        except AnalysisException:  # no rows on these days
+            return self.spark.createDataFrame([], schema)
 
     def evidence(self, before: int | None = None) -> DataFrame:
         try:
@@ -60,28 +69,34 @@ class AlertRefresh:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if self.clock.committed(batch_id):
             return
-        day = F.col("txn_ts").cast("date")
+        rows = batch.withColumns({"txn_date": F.col("txn_ts").cast("date"), "batch_id": F.lit(batch_id).cast("bigint")})
+        rows.persist()  # landed, searched for its latest time and for late rows
+        try:
+            self._refresh(rows, batch_id)
+        finally:
+            rows.unpersist()
+
+    def _refresh(self, rows: DataFrame, batch_id: int) -> None:
         (
-            batch.withColumn("txn_date", day)
-            .hint("rebalance", "txn_date")
+            rows.hint("rebalance", "txn_date")
             .write.mode("overwrite")
-            .partitionBy("txn_date")
-            .parquet(f"{self.root}/transactions/batch_id={batch_id}")
+            .option("partitionOverwriteMode", "dynamic")  # replaces the folders of this batch only
+            .partitionBy("txn_date", "batch_id")
+            .parquet(f"{self.root}/transactions")
         )
-        history = self.transactions()
-        newest = history.where(F.col("batch_id") == batch_id).agg(F.max("txn_ts")).first()[0]
+        newest = rows.agg(F.max("txn_ts")).first()[0]
         before = self.clock.read().first()
         times = [x for x in (newest, before.t if before else None) if x is not None]
         if not times:
             return
         t = max(times)
         scanned_from = (t - dt.timedelta(days=SPAN_DAYS)).date()
-        was_from = before.scanned_from if before else None
+        self._fold_activity(rows, batch_id, before.scanned_from if before else scanned_from, scanned_from)
 
-        recent = history.where(F.col("txn_date") >= F.lit(scanned_from))
-        self._fold_activity(history, batch_id, was_from, scanned_from)
+        recent = self.transactions(scanned_from, t.date())
         signals = account_signals(
-            self.accounts, self.customers, recent, self.watchlist, t=fixed(self.spark, t), last_activity=self._last_activity(recent, t)
+            self.accounts, self.customers, recent, self.watchlist, t=fixed(self.spark, t),
+            last_activity=self._last_activity(recent, t), stage_dir=f"{self.root}/stage",
         )
         fraud_alerts(signals).write.mode("overwrite").parquet(f"{self.root}/alerts/batch_id={batch_id}")
         alerts = self.alerts(batch_id)
@@ -90,18 +105,14 @@ class AlertRefresh:
         found.write.mode("overwrite").parquet(f"{self.root}/evidence/batch_id={batch_id}")
         self.clock.commit(self.spark.createDataFrame([(t, scanned_from)], self.clock.schema), batch_id)
 
-    def _fold_activity(self, history: DataFrame, batch_id: int, was_from: dt.date | None, scanned_from: dt.date) -> None:
-        """Add the days that have left the span, and late rows of this batch older than it."""
-        left_span = F.lit(True) if was_from is None else F.col("txn_date") >= F.lit(was_from)
-        late = F.col("batch_id") == batch_id
-        leaving = history.where((F.col("txn_date") < F.lit(scanned_from)) & (left_span | late))
-        merged = (
-            self.activity.read()
-            .unionByName(leaving.select("account_id", F.col("txn_ts").alias("last_ts")))
-            .groupBy("account_id")
-            .agg(F.max("last_ts").alias("last_ts"))
-        )
-        self.activity.commit(merged, batch_id)
+    def _fold_activity(self, rows: DataFrame, batch_id: int, was_from: dt.date, scanned_from: dt.date) -> None:
+        """Add the days that have left the span, and rows of this batch that are older than it was."""
+        columns = ["account_id", F.col("txn_ts").alias("last_ts")]
+        merged = self.activity.read().unionByName(rows.where(F.col("txn_date") < F.lit(was_from)).select(columns))
+        if was_from < scanned_from:
+            leaving = self.transactions(was_from, scanned_from - dt.timedelta(days=1))
+            merged = merged.unionByName(leaving.select(columns))
+        self.activity.commit(merged.groupBy("account_id").agg(F.max("last_ts").alias("last_ts")), batch_id)
 
     def _last_activity(self, recent: DataFrame, t: dt.datetime) -> DataFrame:
         start = fixed(self.spark, t).minus(F.expr(f"INTERVAL '{WINDOW_HOURS}' HOUR"))

@@ -36,6 +36,14 @@ def test_snapshot_store(spark, tmp_path):
     assert sorted(r.k for r in store.read().collect()) == [1, 2]
 
 
+def test_snapshot_slots_are_reused(spark, tmp_path):
+    store = state.SnapshotStore(spark, str(tmp_path / "t"), "k int", keep=2)
+    for i in range(5):
+        store.commit(store.read().unionByName(spark.createDataFrame([(i,)], "k int")), i)
+    assert sorted(r.k for r in store.read().collect()) == [0, 1, 2, 3, 4]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["_commits", "slot-0", "slot-1"]
+
+
 def test_review_rules(spark):
     cases = spark.createDataFrame(
         [("c1", "ann", "PENDING_REVIEW"), ("c2", "ann", "INFO_REQUESTED"), ("c3", "ann", "CLOSED_NO_STR"), ("c4", "bob", "PENDING_REVIEW"), ("c5", "bob", "PENDING_REVIEW")],

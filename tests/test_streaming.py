@@ -50,7 +50,7 @@ def test_final_state_equals_batch(spark, workspace, run):
 
 def test_last_activity_equals_full_history(workspace, run):
     refresh, _, _ = run
-    recent = refresh.transactions().where(F.col("txn_date") >= F.lit(refresh.clock.read().first().scanned_from))
+    recent = refresh.transactions(refresh.clock.read().first().scanned_from, sb.T0.date())
     got = {tuple(r) for r in refresh._last_activity(recent, sb.T0).collect()}
     want = {tuple(r) for r in signals.last_activity_before(workspace.transactions, workspace.t).collect()}
     assert got == want
@@ -72,3 +72,14 @@ def test_feed_moves_the_windows_and_findings_stay(spark, run):
     assert refresh.clock.read().first().t == dt.datetime(2026, 10, 4, 10, 9)
     assert "MONEY_MULE" not in {r.typology for r in refresh.alerts(3).collect()}
     assert {b[0] for b in before} <= {b[0] for b in values(refresh.findings.read())}
+
+
+def test_repeated_ids_can_be_dropped(spark, tmp_path):
+    from ledgerwatch.streaming.windows import deduplicated
+
+    rows = [dict(txn_id=i, account_id="A", txn_ts=sb.T0) for i in ("x", "y", "x", "x")]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    sb.transactions(spark, rows).write.parquet(src)
+    stream = feeds.table_stream(spark, src, SCHEMAS["transactions"]).withColumn("txn_ts", F.col("txn_ts").cast("timestamp"))
+    feeds.run_to_end(deduplicated(stream), feeds.land(out), str(tmp_path / "ckpt"))
+    assert sorted(r.txn_id for r in spark.read.parquet(out).collect()) == ["x", "y"]
