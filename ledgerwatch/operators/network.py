@@ -68,27 +68,32 @@ def device_use(transactions: DataFrame, accounts: DataFrame, customers: DataFram
     return used.join(known, "account_id")
 
 
-def _pair_rows(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Links of account pairs that meet on a device, lower account first."""
-    a = left.select("device_id", *[F.col(c).alias(f"a_{c}") for c in left.columns if c != "device_id"])
-    b = right.select("device_id", *[F.col(c).alias(f"b_{c}") for c in right.columns if c != "device_id"])
-    pairs = a.join(b, "device_id").where("a_account_id < b_account_id")
+_MEMBER = ["account_id", "customer_id", "full_name", "n", "amount", "last_ts"]
+
+
+def _links(pairs: DataFrame) -> DataFrame:
+    """Link rows of (device_id, a, b), a and b being member structs, a the lower account."""
     # sum over row pairs of (x + y)/2 = (n_b * sum_a + n_a * sum_b)/2
-    volume = (F.col("b_n") * F.col("a_amount") + F.col("a_n") * F.col("b_amount")) * F.lit("0.5").cast("decimal(2,1)")
+    volume = (F.col("b.n") * F.col("a.amount") + F.col("a.n") * F.col("b.amount")) * F.lit("0.5").cast("decimal(2,1)")
     return pairs.select(
-        F.col("a_account_id").alias("source_node"), F.col("a_customer_id").alias("source_cust_id"),
-        F.col("a_full_name").alias("source_name"), F.col("b_account_id").alias("target_node"),
-        F.col("b_customer_id").alias("target_cust_id"), F.col("b_full_name").alias("target_name"),
+        F.col("a.account_id").alias("source_node"), F.col("a.customer_id").alias("source_cust_id"),
+        F.col("a.full_name").alias("source_name"), F.col("b.account_id").alias("target_node"),
+        F.col("b.customer_id").alias("target_cust_id"), F.col("b.full_name").alias("target_name"),
         F.concat(F.lit("SHARED_DEVICE ("), "device_id", F.lit(")")).alias("link_type"),
         F.lit(1).cast("bigint").alias("txn_count"),
         volume.cast("decimal(38,3)").alias("total_volume_inr"),
-        F.greatest("a_last_ts", "b_last_ts").alias("last_activity"),
+        F.greatest("a.last_ts", "b.last_ts").alias("last_activity"),
     )
 
 
+def _members(use: DataFrame, name: str) -> DataFrame:
+    return use.select("device_id", F.struct(*_MEMBER).alias(name))
+
+
 def device_edges(use: DataFrame) -> DataFrame:
     """The full list of shared-device links."""
-    return _pair_rows(use, use)
+    pairs = _members(use, "a").join(_members(use, "b"), "device_id").where("a.account_id < b.account_id")
+    return _links(pairs)
 
 
 def network_graph(flows: DataFrame, use: DataFrame) -> DataFrame:
@@ -101,15 +106,19 @@ def neighbourhood(flows: DataFrame, use: DataFrame, *, customer_id: str | None =
         raise ValueError("name either a customer or an account")
     if customer_id is not None:
         in_flow = (F.col("source_cust_id") == customer_id) | (F.col("target_cust_id") == customer_id)
-        mine = use.where(F.col("customer_id") == customer_id)
-        other_side = F.col("source_cust_id") != customer_id
+        own = "customer_id", customer_id
     else:
         in_flow = (F.col("source_node") == account_id) | (F.col("target_node") == account_id)
-        mine = use.where(F.col("account_id") == account_id)
-        other_side = F.col("source_node") != account_id
-    as_source = _pair_rows(mine, use)
-    as_target = _pair_rows(use, mine).where(other_side)  # a pair inside the group is already listed as source
-    return flows.where(in_flow).unionByName(as_source).unionByName(as_target)
+        own = "account_id", account_id
+    mine = _members(use.where(F.col(own[0]) == own[1]), "m")
+    met = mine.join(_members(use, "o"), "device_id").where("m.account_id <> o.account_id")
+    # a pair of two own accounts is met from both sides: keep one
+    once = met.where((F.col(f"o.{own[0]}") != own[1]) | (F.col("m.account_id") < F.col("o.account_id")))
+    lower = F.col("m.account_id") < F.col("o.account_id")
+    pairs = once.select(
+        "device_id", F.when(lower, F.col("m")).otherwise(F.col("o")).alias("a"), F.when(lower, F.col("o")).otherwise(F.col("m")).alias("b")
+    )
+    return flows.where(in_flow).unionByName(_links(pairs))
 
 
 def device_totals(use: DataFrame) -> DataFrame:
