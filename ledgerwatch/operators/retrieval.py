@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions.text import tokens
 from ledgerwatch.operators.rules import RuleSet
+from ledgerwatch.session import stage_table
 
 K1, B = 1.2, 0.75
 SUFFIX = " STR filing narrative"
@@ -45,14 +46,13 @@ def top_k_sections(
     Queries come from the rules: at most 4 typologies x 2^9 flag sets, each with the
     words of ``vocabulary``. That bound is what allows the query weights to be
     broadcast; only (query, document) scores move, reduced to k rows per query and
-    task by the rank filter. Documents are tokenised once: the statistics and the
-    scores read the same exchange.
+    task by the rank filter. The postings are written when this is called, so that
+    documents are tokenised once for the statistics and the scores.
     """
     vocabulary = vocabulary or alert_vocabulary()
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    posted = postings(docs, key, text, vocabulary)
-    # counting by tf keeps every column of the postings in both uses, so that the exchange is shared
-    frequency = posted.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.avg("dl").alias("mean_dl"))
+    posted = stage_table(postings(docs, key, text, vocabulary), "postings")
+    frequency = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("mean_dl"))
     corpus = frequency.agg(F.max(F.when(F.col("term") == "", F.struct(F.col("df").alias("n"), "mean_dl")))).scalar()
     idf = F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = F.broadcast(terms.join(F.broadcast(frequency), "term").select("query_id", "term", idf.alias("idf")))  # bounded: see above
