@@ -21,6 +21,7 @@ class CuratedStore:
         self.root = (root or shared_dir(spark, "curated")).rstrip("/")
         self._tables: dict[str, DataFrame] = {}
         self._values: dict[str, object] = {}
+        self._versions: dict[str, int] = {}
 
     def table(self, name: str, build: Callable[[], DataFrame], partition: str | None = None) -> DataFrame:
         """The stored table; written by ``build`` on first use, in folders per ``partition`` value."""
@@ -35,7 +36,9 @@ class CuratedStore:
         return self._values[name]
 
     def _write(self, name: str, df: DataFrame, partition: str | None) -> DataFrame:
-        path = f"{self.root}/{name}"
+        # a refresh writes a new folder: frames that still read the old one are not disturbed
+        self._versions[name] = self._versions.get(name, 0) + 1
+        path = f"{self.root}/{name}/v{self._versions[name]}"
         if partition:
             # rebalance, not repartition: a day with most of the rows is split over several files
             df.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(path)
@@ -44,7 +47,7 @@ class CuratedStore:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def forget(self, *names: str) -> None:
-        """Have the named tables (all when none is named) recomputed on next use."""
+        """Have the named tables (all when none is named) recomputed by the next workspace."""
         for name in names or [*self._tables, *self._values]:
             self._tables.pop(name, None)
             self._values.pop(name, None)
