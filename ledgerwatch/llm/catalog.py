@@ -10,6 +10,7 @@ from ledgerwatch.llm.boilerplate import remove_boilerplate
 from ledgerwatch.llm.decontaminate import leaked_items
 from ledgerwatch.llm.frames import table
 from ledgerwatch.llm.neardup import near_duplicates
+from ledgerwatch.llm.packing import pack
 from ledgerwatch.llm.quality import repetition_report
 
 
@@ -26,11 +27,22 @@ def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(docs, removed="n_removed")
 
 
+def tokenizer_file() -> str:
+    """Where the public tokenizer lies; a parameter of the operator, its file is not ours."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontamination, op4_repetition, op7_line_spread, op10_near_duplicates)
+    f.__name__: f for f in (op3_decontamination, op4_repetition, op7_line_spread, op9_packing, op10_near_duplicates)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -58,6 +58,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its row offsets (null rows are empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -132,7 +137,7 @@ def words_of(column: pa.Array, lower: bool = False, blank: np.ndarray = BLANK) -
     """Words of a text column; ``lower`` folds A-Z first, ``blank`` marks the separating bytes."""
     data, offsets = text_buffers(column)
     if lower:
-        data = _LOWER[data]
+        data = fold(data)
     solid = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True  # a text always ends the word before it
