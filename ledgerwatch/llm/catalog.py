@@ -9,9 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerwatch.llm.boilerplate import remove_boilerplate
 from ledgerwatch.llm.decontaminate import leaked_items
 from ledgerwatch.llm.frames import table
+from ledgerwatch.llm.html_text import extract_pages
+from ledgerwatch.llm.licenses import scan_licenses
+from ledgerwatch.llm.lm import score_texts
 from ledgerwatch.llm.neardup import near_duplicates
 from ledgerwatch.llm.packing import pack
 from ledgerwatch.llm.quality import repetition_report
+from ledgerwatch.llm.toxicity import score_toxicity
+from ledgerwatch.llm.url_filter import judge_urls
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer lies; a parameter of the operators, its file is not ours."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,16 +42,21 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_report(table(spark, sf_dir, "documents"))
 
 
+def op5_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return remove_boilerplate(docs, removed="n_removed")
 
 
-def tokenizer_file() -> str:
-    """Where the public tokenizer lies; a parameter of the operator, its file is not ours."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +68,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontamination, op4_repetition, op7_line_spread, op9_packing, op10_near_duplicates)
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_html_text, op3_decontamination, op4_repetition, op5_lattice_score, op6_url_filter, op7_line_spread, op8_toxicity, op9_packing,
+        op10_near_duplicates,
+    )
 }
+#: None of the ten has a plain SQL form: hashing, compression, markup, trees, tokenizers, automata. Tests compare with brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -153,28 +153,29 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, weight: str)
     ).select("a", "b")
 
 
-def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, label (least node of its component) for every node of ``links`` (a, b).
 
     Each step takes the least label among neighbours, then the label of that label, so the
-    number of steps grows with the logarithm of a component's width. ``labels`` of an earlier
-    call are taken as known links.
+    number of steps grows with the logarithm of a component's width.
     """
-    if labels is not None:
-        links = links.union(labels.where("node <> label").select("node", "label"))
     edges = stage(links.union(links.select("b", "a")).toDF("node", "other").distinct(), "edges")
     label = edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label"))
     while True:
-        label = stage(label, "labels")
         around = edges.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         step = label.join(around, "node").select("node", F.least("label", "near").alias("new"), "label")
         jump = label.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        step = stage(step.join(jump, "new").select("node", F.least("new", "far").alias("new"), "label"), "step")
+        step = stage(step.join(jump, "new").select("node", F.least("new", "far").alias("new"), "label"), "labels")
         label = step.select("node", F.col("new").alias("label"))
         if step.where("new <> label").isEmpty():
             return label
 
 
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with labels replaced where ``merged`` (node, label) knows a smaller one."""
+    return rows.join(merged.toDF("label", "_less"), "label", "left").withColumn("label", F.coalesce("_less", "label")).drop("_less")
+
+
 def _close(similarity: float):
     """Whether sizes and sketches of a member and a representative leave the pair possible."""
     differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("rep_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("rep_b2")))
@@ -205,9 +206,9 @@ def text_classes(base: DataFrame, weight: str = "set", similarity: float = SIMIL
     texts = _texts(base, nodes, rows.select("node").distinct())
     sets = stage(shingle_sets(texts, weight), "sets")
     links = stage(verified(pairs, sets, similarity, weight), "links")
-    label = stage(components(links), "components")
+    label = rows.select("node").distinct().join(components(links), "node", "left")
+    label = stage(label.select("node", F.coalesce("label", "node").alias("label")), "components")
     label = _remaining(rows, sets, label, similarity, weight)
-
     return nodes.select("node", "h1", "h2", "copy_id", "n_copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -257,16 +258,18 @@ def _texts(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _remaining(rows: DataFrame, sets: DataFrame, label: DataFrame, similarity: float, weight: str) -> DataFrame:
-    """Links inside buckets between members of different components, found by further representatives."""
-    done, share = None, 2
+    """``label`` with the links inside buckets between members of different components added.
+
+    Further representatives are drawn by hash; each round has eight times as many per bucket as
+    the one before, and goes on only with members that were none and with buckets that still
+    hold several components.
+    """
+    order = (F.xxhash64("node", "bucket").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) * F.col("members")
+    rest = rows.select("bucket", "node", "size", "b1", "b2", order.alias("order")).join(label, "node")
+    share = 8
     while True:
-        now = rows.select("bucket", "node", "size", "b1", "b2", "members").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        order = (F.xxhash64("node", "bucket").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) * F.col("members")
-        rest = now.join(open_, "bucket").withColumn("order", order)
-        if done is not None:
-            rest = rest.where(F.col("order") >= done)
-        rest = stage(rest, "rest")
+        several = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+        rest = stage(rest.join(several, "bucket", "left_semi"), "rest")
         if rest.isEmpty():
             return label
         reps = rest.where(F.col("order") < share).select(
@@ -274,9 +277,12 @@ def _remaining(rows: DataFrame, sets: DataFrame, label: DataFrame, similarity: f
             F.col("label").alias("rep_label"), F.col("order").alias("rep_order"),
         )
         met = rest.join(reps, (rest.bucket == reps.bucket) & (F.col("label") != F.col("rep_label")) & (F.col("order") >= F.col("rep_order")) & _close(similarity))
-        pairs = stage(met.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct(), "pairs")
+        met = met.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"), F.least("label", "rep_label").alias("la"), F.greatest("label", "rep_label").alias("lb"))
+        pairs = stage(met.distinct(), "pairs")
+        rest = rest.where(F.col("order") >= share)
         if not pairs.isEmpty():
-            links = stage(verified(pairs, sets, similarity, weight), "links")
-            if not links.isEmpty():
-                label = stage(components(links, label), "components")
-        done, share = share, share * 4
+            found = stage(verified(pairs.select("a", "b"), sets, similarity, weight).join(pairs, ["a", "b"]).select("la", "lb").distinct(), "links")
+            if not found.isEmpty():
+                merged = components(found)  # of components: the graph of those that were still apart
+                label, rest = stage(_relabelled(label, merged), "components"), _relabelled(rest, merged)
+        share *= 8
