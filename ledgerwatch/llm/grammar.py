@@ -90,9 +90,9 @@ def clause_score(symbols: list[tuple[int, str, float]]) -> float:
         for _ in range(min(at - last - 1, REACH + 1) if last is not None else 0):
             state = GRAMMAR.step(state, "w")[0]
         last = at
-        if symbol == "H":
-            menace = weight
         state, event, factor = GRAMMAR.step(state, symbol)
+        if symbol == "H":
+            menace = weight * factor
         if event:
             total += factor * (THREAT * menace if event == "T" else weight)
     return total
