@@ -7,6 +7,8 @@ combinations; the cycles are counted, not listed:
 2. Closed walks of three edges are found by opening every wedge at its least busy
    node, so the work is edges^1.5 in the worst case and a hub account never
    multiplies its own edges with each other.
+   Walks whose pairs never come in order, in time or near in amount are dropped before
+   any transfer is read again.
 3. For a first transfer a, the number of cycles is the sum over its last transfers c
    of the middle transfers between them: sum(F(c)) - G(a) * count(c), with F and G
    running counts of the middle transfers. The last transfers of a form a rectangle
@@ -75,6 +77,22 @@ def closed_walks(edges: DataFrame) -> DataFrame:
     return closed.select(F.explode(rotations).alias("walk")).select("walk.*").distinct()
 
 
+def possible_walks(walks: DataFrame, big: DataFrame) -> DataFrame:
+    """Walks on which a cycle can exist by the earliest and latest time and the amounts of each pair.
+
+    A pair with many transfers is opened only for walks that pass this test.
+    """
+    edge = big.groupBy("src", "dst").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.min("amt").alias("low"), F.max("amt").alias("high"))
+    out = walks
+    for i, (src, dst) in enumerate([("a1", "a2"), ("a2", "a3"), ("a3", "a1")], 1):
+        out = out.join(edge.toDF(src, dst, *[f"{c}_{i}" for c in ("t0", "t1", "low", "high")]), [src, dst])
+    tolerance = F.lit(AMOUNT_TOLERANCE).cast("decimal(2,1)")
+    in_order = (F.col("t0_1") < F.col("t1_2")) & (F.col("t0_2") < F.col("t1_3")) & (F.col("t0_1") < F.col("t1_3"))
+    in_time = F.col("t0_3") <= F.col("t1_1") + hours(MAX_HOURS)
+    alike = (F.col("high_3") >= F.col("low_1") * (1 - tolerance)) & (F.col("low_3") <= F.col("high_1") * (1 + tolerance))
+    return out.where(in_order & in_time & alike).select(*WALK)
+
+
 def _legs(walks: DataFrame, big: DataFrame) -> DataFrame:
     """Transfers on each leg (1, 2, 3) of each walk."""
     legs = F.array(
@@ -193,7 +211,7 @@ def cycles(transactions: DataFrame, t: Anchor, stage_dir: str | None = None) ->
     branches after it: the large transfers, the walks, the transfers on the walks.
     """
     big = stage_table(large_transfers(transactions, t), "large-transfers", stage_dir)
-    walks = stage_table(closed_walks(big.select("src", "dst").distinct()), "walks", stage_dir)
+    walks = stage_table(possible_walks(closed_walks(big.select("src", "dst").distinct()), big), "walks", stage_dir)
     blocks = _blocks(_timeline(stage_table(_legs(walks, big), "legs", stage_dir)))
     amount_bucket = F.floor(F.log(F.col("value").cast("double")) * AMOUNT_BUCKETS)
     summed = running_sums(blocks, [*WALK, "level", "block"], amount_bucket, ["value", "pos"], ["n", "nf"])

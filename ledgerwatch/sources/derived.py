@@ -47,6 +47,9 @@ def _minutes_after(ts: str, minutes: str) -> str:
 
 
 IS_MULE = "c % 125 = 7"
+IN_RING = "c % 250 IN (29, 30, 31)"  # one transfer per leg
+IN_BUSY_RING = "c % 1000 IN (529, 530, 531)"  # BUSY_TRANSFERS per leg
+BUSY_TRANSFERS = 360
 SEGMENT = "CASE WHEN c % 10 < 7 THEN 'INDIVIDUAL' WHEN c % 2 = 0 THEN 'MSME' ELSE 'CORPORATE' END"
 OPEN_DATE = f"CASE WHEN {IS_MULE} THEN DATE'2026-06-20' ELSE date_sub(DATE'2026-09-28', CAST(30 + (c * 104729) % 3620 AS INT)) END"
 
@@ -94,7 +97,7 @@ def scenarios(customer: DataFrame) -> DataFrame:
         f"{_account('c')} AS account_id",
         f"concat('CUST', {_pad('c', 6)}) AS customer_id",
         f"CASE WHEN {IS_MULE} THEN 'MULE' WHEN c % 250 = 18 THEN 'STRUCTURING' "
-        "WHEN c % 50 IN (29, 30, 31) AND c < 150 THEN 'ROUND_TRIP' END AS scenario",
+        f"WHEN {IN_RING} OR {IN_BUSY_RING} THEN 'ROUND_TRIP' END AS scenario",
     ).where("scenario IS NOT NULL")
 
 
@@ -167,11 +170,11 @@ def planted_transactions(customer: DataFrame, customer_count: Column) -> DataFra
         "'IN' AS geo_country",
         "'STRUCTURING' AS synth_label",
     )
-    rings = numbered.where("c % 50 IN (29, 30, 31) AND c < 150").selectExpr(
+    rings = numbered.where(IN_RING).selectExpr(
         f"concat('TXR', {_pad('c', 6)}) AS txn_id",
         f"{_account('c')} AS account_id",
-        f"{_account('CASE WHEN c % 50 = 31 THEN c - 2 ELSE c + 1 END')} AS counterparty_account_id",
-        f"{_minutes_after('2026-09-25 10:00:00', '180 * (c % 50 - 29)')} AS txn_ts",
+        f"{_account('CASE WHEN c % 250 = 31 THEN c - 2 ELSE c + 1 END')} AS counterparty_account_id",
+        f"{_minutes_after('2026-09-25 10:00:00', '180 * (c % 250 - 29)')} AS txn_ts",
         "'NEFT' AS channel",
         "'DEBIT' AS direction",
         "CAST(2500000 AS DECIMAL(18,2)) AS amount_inr",
@@ -180,7 +183,21 @@ def planted_transactions(customer: DataFrame, customer_count: Column) -> DataFra
         "'IN' AS geo_country",
         "'ROUND_TRIP' AS synth_label",
     )
-    return inflow.unionByName(outflow).unionByName(deposits).unionByName(rings)
+    busy = numbered.where(IN_BUSY_RING).withColumn("g", F.expr(f"explode(sequence(0L, {BUSY_TRANSFERS - 1}L))")).selectExpr(
+        f"concat('TXB', {_pad('c', 6)}, {_pad('g', 3)}) AS txn_id",
+        f"{_account('c')} AS account_id",
+        f"{_account('CASE WHEN c % 1000 = 531 THEN c - 2 ELSE c + 1 END')} AS counterparty_account_id",
+        f"{_minutes_after('2026-09-24 00:00:00', '11 * g + 3 * (c % 1000 - 529)')} AS txn_ts",
+        "'NEFT' AS channel",
+        "'DEBIT' AS direction",
+        "CAST(2500000 + 1000 * ((c + g * 7919) % 400) AS DECIMAL(18,2)) AS amount_inr",
+        "concat('DEV8', c div 1000) AS device_id",
+        "concat('10.9.8.', c div 1000) AS ip_address",
+        "'IN' AS geo_country",
+        "'ROUND_TRIP' AS synth_label",
+    )
+    return inflow.unionByName(outflow).unionByName(deposits).unionByName(rings).unionByName(busy)
+
 
 
 def customer_count(customer: DataFrame) -> Column:
