@@ -83,8 +83,7 @@ def register(reg: Registry) -> None:
     )
 
     reg.add(
-        "n1", lambda w: cycles.cycles(w.transactions, w.t), "a1; a2; a3; count(*) AS cycles:i; max(amt) AS amt:d; a1 || '>' || a2 || '>' || a3 AS ring",
-        "FROM cyc GROUP BY a1, a2, a3",
+        "n1", lambda w: cycles.cycles(w.transactions, w.t), "a1; a2; a3; n AS cycles:i; amt:d; concat_ws('>', a1, a2, a3) AS ring", "FROM loops",
     )
     reg.add("n2", lambda w: w.flows, _EDGE, "FROM network_graph WHERE link_type = 'TRANSACTION_FLOW'")
     reg.add("n3", lambda w: network.device_edges(w.device_use), _EDGE, "FROM network_graph WHERE link_type <> 'TRANSACTION_FLOW'")

@@ -171,7 +171,7 @@ def register(reg: Registry) -> None:
     )
     reg.add(
         "g2_run", triage_run,
-        f"least(3, (SELECT count(*) FROM fraud_alerts WHERE {due})) AS drafted:i; 0 AS failed:i; as_of_date AS as_of:y; lcr_pct:d; lcr_status; lcr_stress_s1_pct AS stress_s1:d",
+        f"least(3, (SELECT count(*) FROM fraud_alerts WHERE {due})) AS drafted:i; (SELECT count(*) FROM (SELECT account_id FROM fraud_alerts WHERE {due} ORDER BY risk_score DESC, alert_id LIMIT 3) ANTI JOIN account_signals USING (account_id)) AS failed:i; as_of_date AS as_of:y; lcr_pct:d; lcr_status; lcr_stress_s1_pct AS stress_s1:d",
         "FROM latest_lcr",
     )
     reg.add(
