@@ -11,7 +11,7 @@ With absolute discounting (D from the numbers of words seen once and twice)
 so probabilities of all words and the end sum to one. ``score`` is the log10 probability of
 the text; ``base_score`` is the add-one unigram score of the same tokens.
 
-Scale: texts are dealt to chunks of some 48 MB; a chunk lists its different words once, so
+Scale: texts are dealt to chunks of some 24 MB; a chunk lists its different words once, so
 that words, not tokens, are shuffled. A word's counts meet in a window over its hash (one row
 per chunk, whatever its frequency), the lattice works once per different word, and chunks
 take their values back. Driver and broadcasts hold piece scores only (the vocabulary's size).
@@ -36,7 +36,7 @@ from ledgerwatch.llm.lattice import Vocabulary, expected_counts, log_probabiliti
 from ledgerwatch.llm.words import slices, words_of
 
 HELD_OUT_MOD, HELD_OUT = 7, 2
-CHUNK_BYTES = 48_000_000
+CHUNK_BYTES = 24_000_000
 LEAST_CHUNKS = 18
 ROUNDS = 2  # passes of expected counts
 SMOOTH = 0.01  # added to every piece count
@@ -65,7 +65,7 @@ def chunk_words(docs: DataFrame) -> DataFrame:
             chunks = batch.column(0).to_numpy()
             for chunk in np.unique(chunks).tolist():
                 part = batch.filter(pa.array(chunks == chunk))
-                for a, b in slices(part.column(3), 4 << 20):
+                for a, b in slices(part.column(3), 1 << 20):
                     w = words_of(part.column(3).slice(a, b - a), lower=True)
                     train = ~part.column(2).slice(a, b - a).to_numpy(zero_copy_only=False)
                     keys, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
@@ -76,7 +76,10 @@ def chunk_words(docs: DataFrame) -> DataFrame:
             keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
             n = np.bincount(back, np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
             words = pa.chunked_array([p[2] for p in parts]).take(pa.array(first)).combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk, np.int32)), pa.array(keys.view(np.int64)), words, pa.array(n)], ["chunk", "key", "word", "n"])
+            for a in range(0, len(keys), WORDS_AT_ONCE):
+                at = slice(a, a + WORDS_AT_ONCE)
+                columns = [np.full(len(keys[at]), chunk, np.int32), keys[at].view(np.int64), words[at], n[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["chunk", "key", "word", "n"])
 
     return docs.mapInArrow(run, "chunk int, key bigint, word string, n bigint")
 
@@ -171,7 +174,7 @@ def score_texts(docs: DataFrame, vocabulary_file: str, key: str = "doc_id", text
         end_base, end_log = np.log10((train_rows + 1) / (tokens + types + 1)), np.log10(end)
         out = []
         texts = left.column("text").combine_chunks()
-        for a, b in slices(texts, 4 << 20):
+        for a, b in slices(texts, 1 << 20):
             w = words_of(texts.slice(a, b - a), lower=True)
             at = np.searchsorted(keys, w.hashes)
             n = w.per_row().astype(np.int64)
