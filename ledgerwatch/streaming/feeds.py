@@ -12,7 +12,7 @@ from ledgerwatch.plans.workspace import Workspace
 from ledgerwatch.session import shared_dir
 from ledgerwatch.sources import derived
 from ledgerwatch.streaming.refresh import AlertRefresh
-from ledgerwatch.streaming.windows import sliding_activity as windowed
+from ledgerwatch.streaming.windows import window_parts, window_totals
 
 SLIDE_HOURS = 12
 
@@ -77,15 +77,21 @@ def refreshed_findings(w: Workspace) -> DataFrame:
     )
 
 
-def sliding_activity(w: Workspace) -> DataFrame:
-    """48-hour sliding activity over the event stream (user as account, value as amount)."""
+def event_slices(w: Workspace, root: str, n: int = 3) -> str:
+    """The events cut into ``n`` files by a hash, so that each file has early and late rows."""
+    w.given("events").repartition(n, F.pmod(F.xxhash64("event_id"), F.lit(n))).write.mode("overwrite").parquet(f"{root}/in")
+    return f"{root}/in"
+
+
+def sliding_activity(w: Workspace, slices: int = 3) -> DataFrame:
+    """48-hour sliding activity over the event stream (user as account, value as amount), one file per batch."""
     root = shared_dir(w.spark, "sliding")
-    events = given_stream(w, "events").select(
+    stream = table_stream(w.spark, event_slices(w, root, slices), w.given("events").schema, max_files=1).select(
         F.expr("concat('ACC', lpad(CAST(user_id AS STRING), greatest(7, length(CAST(user_id AS STRING))), '0'))").alias("account_id"),
         F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("decimal(18,2)").alias("amount"), "event_type",
     )
-    stream = windowed(events, "account_id", "ts", "amount", "event_type", slide=f"{SLIDE_HOURS} hours")
-    run_to_end(stream, land(f"{root}/windows"), f"{root}/_checkpoint", mode="update")
-    landed = w.spark.read.schema(stream.schema.add("batch_id", LongType())).parquet(f"{root}/windows")
-    latest = F.max_by(F.struct("txn_count", "amount", "distinct_types"), "batch_id").alias("v")
-    return landed.groupBy("account_id", "window_start").agg(latest).select("account_id", "window_start", "v.*")
+    parts = lambda batch: window_parts(batch, "account_id", "ts", "amount", "event_type", slide=f"{SLIDE_HOURS} hours")
+    write = land(f"{root}/windows")
+    run_to_end(stream, lambda batch, batch_id: write(parts(batch), batch_id), f"{root}/_checkpoint")
+    schema = "account_id string, window_start timestamp, kind string, n bigint, amount decimal(28,2), batch_id bigint"
+    return window_totals(w.spark.read.schema(schema).parquet(f"{root}/windows"), "account_id")

@@ -1,8 +1,8 @@
-"""Per-event sliding windows with a watermark.
+"""Sliding windows over micro-batches, and optional removal of repeated ids.
 
-An approximation of the batch signals: windows end at multiples of the slide, not
-at the latest transaction of the whole table, and rows later than the watermark are
-dropped. The exact form is ``streaming.refresh``.
+A batch is reduced to additive rows (key, window, kind; count, amount); reading adds the
+rows of all batches up. However the input is cut into batches, and however late a row
+comes, the result is the same; nothing is dropped and no state is kept between batches.
 """
 
 from __future__ import annotations
@@ -11,24 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sliding_activity(
-    stream: DataFrame, key: str, ts: str, amount: str, kind: str, window: str = "48 hours", slide: str = "15 minutes", late: str = "1 hour"
-) -> DataFrame:
-    """Count, amount and distinct kinds per key and sliding window.
-
-    ``ts`` has to be a TIMESTAMP (a watermark does not take TIMESTAMP_NTZ). The
-    distinct count uses a set, since streams do not support COUNT DISTINCT; use it
-    for columns with few values.
-    """
+def window_parts(batch: DataFrame, key: str, ts: str, amount: str, kind: str, window: str = "48 hours", slide: str = "15 minutes") -> DataFrame:
+    """Count and amount per key, sliding window and kind of one batch."""
     return (
-        stream.withWatermark(ts, late)
-        .groupBy(key, F.window(ts, window, slide))
-        .agg(
-            F.count(F.lit(1)).alias("txn_count"),
-            F.sum(amount).alias("amount"),
-            F.size(F.collect_set(kind)).alias("distinct_types"),
-        )
-        .select(key, F.col("window.start").alias("window_start"), "txn_count", "amount", "distinct_types")
+        batch.groupBy(key, F.window(ts, window, slide), F.col(kind).alias("kind"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("amount"))
+        .select(key, F.col("window.start").alias("window_start"), "kind", "n", "amount")
+    )
+
+
+def window_totals(parts: DataFrame, key: str) -> DataFrame:
+    """Count, amount and distinct kinds per key and window, over the parts of all batches."""
+    by_kind = parts.groupBy(key, "window_start", "kind").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
+    return by_kind.groupBy(key, "window_start").agg(
+        F.sum("n").alias("txn_count"), F.sum("amount").alias("amount"), F.count("kind").alias("distinct_types")
     )
 
 

@@ -83,3 +83,9 @@ def test_repeated_ids_can_be_dropped(spark, tmp_path):
     stream = feeds.table_stream(spark, src, SCHEMAS["transactions"]).withColumn("txn_ts", F.col("txn_ts").cast("timestamp"))
     feeds.run_to_end(deduplicated(stream), feeds.land(out), str(tmp_path / "ckpt"))
     assert sorted(r.txn_id for r in spark.read.parquet(out).collect()) == ["x", "y"]
+
+
+def test_sliding_windows_do_not_depend_on_the_batches(workspace):
+    """One, three and ten files, one file per batch."""
+    rows = [sorted(tuple(r) for r in feeds.sliding_activity(workspace, n).collect()) for n in (1, 3, 10)]
+    assert rows[0] and rows[0] == rows[1] == rows[2]
