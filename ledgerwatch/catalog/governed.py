@@ -9,7 +9,7 @@ from ledgerwatch.catalog.bank import SQL as BANK_SQL
 from ledgerwatch.catalog.registry import Registry
 from ledgerwatch.operators import drafts, evidence, governance, retrieval, state
 from ledgerwatch.plans import questions
-from ledgerwatch.plans.workspace import Workspace
+from ledgerwatch.plans.workspace import DRAFT_SOURCES, Workspace
 from ledgerwatch.sources import export
 
 _FINDINGS = (
@@ -56,9 +56,9 @@ def bundle_facts(w: Workspace) -> DataFrame:
     )
 
 
-def retrieved(w: Workspace) -> DataFrame:
+def retrieved(w: Workspace, **attributes: str) -> DataFrame:
     queries = w.alerts.select(retrieval.alert_query().alias("query_text")).distinct().withColumn("query_id", F.col("query_text"))
-    return retrieval.top_k_sections(queries, w.policy_docs, ["section"]).select(
+    return retrieval.top_k_sections(queries, retrieval.of_kind(w.policy_docs, **attributes), ["section"]).select(
         F.col("query_id").alias("query_text"), "section", "rank", "score"
     )
 
@@ -73,7 +73,7 @@ def triage_run(w: Workspace, max_drafts: int = 3) -> DataFrame:
     requests = chosen.select(
         "alert_id", F.lit("task").alias("requested_by"), w.t.now.alias("requested_at"), F.lit(None).cast("string").alias("note")
     )
-    made = drafts.generate_drafts(requests, w.alerts, w.signals, w.transactions, w.policy_sections, w.t)
+    made = drafts.generate_drafts(requests, w.alerts, w.signals, w.transactions, w.policy_docs, w.t, DRAFT_SOURCES)
     return governance.triage_summary(chosen, made.cases, w.lcr_daily)
 
 
@@ -129,6 +129,7 @@ def register(reg: Registry) -> None:
         "FROM fraud_alerts a JOIN account_signals s ON s.account_id = a.account_id LEFT JOIN alert_txns x ON x.alert_id = a.alert_id GROUP BY ALL",
     )
     reg.add("e5", retrieved, "query_text; section; rank:i; score:d", "FROM library_hits")
+    reg.add("e5_domain", lambda w: retrieved(w, domain="AML"), "query_text; section; rank:i; score:d", "FROM domain_hits")
     reg.add(
         "e5_vectors", nearest_to_centre, "vec_id:i; cosine:d",
         "FROM (SELECT vec_id, round(list_inner_product(v, c) / sqrt(list_inner_product(v, v) * list_inner_product(c, c)), 6) AS cosine "

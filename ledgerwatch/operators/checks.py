@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators.liquidity import lcr_status
+from ledgerwatch.operators.rules import RuleSet
 
 DETECTED_AS = {"MULE": "MONEY_MULE", "STRUCTURING": "AML_LAYERING", "ROUND_TRIP": "AML_LAYERING"}
 
@@ -44,14 +47,15 @@ def alerts_outside_truth(scenarios: DataFrame, alerts: DataFrame) -> DataFrame:
 def unmapped_policy_refs(alerts: DataFrame, policies: DataFrame) -> DataFrame:
     """Red flags whose policy has no section.
 
-    The distinct references are bounded by the number of rules, so they are the
-    broadcast side of the prefix match; the flags themselves join by equality.
+    The references that can occur are those of the rule set, so the library is searched for
+    these literals (no join of flags with sections); the flags then join by equality.
     """
     flags = alerts.select(F.explode("red_flags.policy").alias("policy")).withColumn(
         "ref", F.regexp_replace("policy", r"\([a-z]\)$", "")
     )
-    refs = F.broadcast(flags.select("ref").distinct())
-    mapped = policies.join(refs, F.col("section").startswith(F.col("ref"))).select("ref").distinct()
+    references = sorted({re.sub(r"\([a-z]\)$", "", rule.policy) for rule in RuleSet().rules})
+    met = F.array(*[F.when(F.col("section").startswith(ref), F.lit(ref)) for ref in references])
+    mapped = policies.select(F.explode(F.array_compact(met)).alias("ref")).distinct()
     unmapped = flags.join(mapped, "ref", "left_anti")
     return _check(
         unmapped, "EXPLAINABILITY: every red flag maps to a policy section", "0 unmapped",

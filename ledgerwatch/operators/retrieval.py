@@ -28,14 +28,23 @@ def alert_vocabulary(rules: RuleSet | None = None) -> list[str]:
 def postings(docs: DataFrame, key: list[str], text: str, vocabulary: list[str]) -> DataFrame:
     """(document, term, tf, document length) for the terms of a fixed vocabulary.
 
-    Tokens outside the vocabulary are dropped right after the split, before anything
-    is shuffled. Every document also has one row with the empty term, which carries
-    its length into the corpus statistics.
+    Terms are counted inside the row, so nothing is shuffled. Every document also has one
+    row with the empty term, which carries its length into the corpus statistics. ``key``
+    identifies a document.
     """
-    marked = docs.select(*key, tokens(F.col(text)).alias("tokens")).select(
-        *key, F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(""))).alias("term")
-    )
-    return marked.where(F.col("term").isin("", *vocabulary)).groupBy(*key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = tokens(F.col(text))
+    known = F.filter(found, lambda t: t.isin(*vocabulary))
+    counted = F.transform(F.array_distinct(known), lambda t: F.struct(t.alias("term"), F.size(F.filter(known, lambda x: x == t)).cast("bigint").alias("tf")))
+    length = F.struct(F.lit("").alias("term"), F.lit(1).cast("bigint").alias("tf"))
+    return docs.select(*key, F.size(found).alias("dl"), F.explode(F.array_append(counted, length)).alias("p")).select(*key, "dl", "p.term", "p.tf")
+
+
+def of_kind(docs: DataFrame, **attributes: str | list[str] | None) -> DataFrame:
+    """Documents with the given attribute values (domain, doc_type, section, doc_title); None leaves an attribute open."""
+    for name, wanted in attributes.items():
+        if wanted is not None:
+            docs = docs.where(F.col(name).isin([wanted] if isinstance(wanted, str) else wanted))
+    return docs
 
 
 def top_k_sections(

@@ -28,6 +28,10 @@ STRESS_SCENARIOS = [
 ]
 
 
+#: attribute filter of the search for drafts: what a filing may cite
+DRAFT_SOURCES = ["INTERNAL_POLICY", "REGULATION_SUMMARY"]
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, data_dir: str, store: CuratedStore | None = None, as_of: dt.datetime | None = None):
         self.spark = spark
@@ -159,7 +163,7 @@ class Workspace:
     @cached_property
     def drafts(self) -> drafts.DraftResult:
         return drafts.generate_drafts(
-            self.draft_requests, self.alerts, self.signals, self.transactions, self.policy_sections, self.t
+            self.draft_requests, self.alerts, self.signals, self.transactions, self.policy_docs, self.t, DRAFT_SOURCES
         )
 
     @cached_property
