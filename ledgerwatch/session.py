@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +30,10 @@ def build_session(app: str = "ledgerwatch", master: str | None = None, **conf: s
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the shared folder of the cluster.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is
-    unset (a laptop, the tests) is a local temporary folder used instead.
+    The cluster names the folder in ``spark.checkpoint.dir``. Where that is unset, a folder
+    in the session's warehouse is used, which all executors reach as well.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="ledgerwatch-")
+    root = spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ledgerwatch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
