@@ -2,8 +2,9 @@
 
 Per line (trimmed, by 64-bit hash) HyperLogLog sketches of its sites and of the texts that
 hold it merge by aggregation. Lines whose estimate is near the threshold are counted
-exactly. A line on ``min_sites`` sites or more, in as many different texts, is boilerplate:
-equal copies of one text are one text and spread nothing. Boilerplate lines go from every
+exactly. A line on ``min_sites`` sites or more, in as many different texts, is boilerplate;
+so is a line of ``LONG_WORDS`` words or more in ``min_texts`` different texts, on however few
+sites. Equal copies of one text are one text and spread nothing. Boilerplate lines go from every
 text, unless they are more than ``copy_share`` of its characters: such a text is a copy of
 other texts, which is the business of near-duplicate removal, and stays whole.
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from ledgerwatch.llm.frames import fresh, stage
 
 MIN_SITES = 10
+LONG_WORDS = 50  # from here on texts alone decide
+MIN_TEXTS = 10  # for these
 COPY_SHARE = 0.75
 LG_K = 12  # relative error of an estimate 1.6 %
 MARGIN = 0.1
@@ -35,44 +38,60 @@ def _trimmed(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
+def _inner(line: Column) -> Column:
+    """The trimmed line. Only lines with an outer blank are trimmed."""
+    return F.when(line.rlike(r"^[\x20\x09-\x0D]|[\x20\x09-\x0D]$"), _trimmed(line)).otherwise(line)
+
+
 def _line_hash(line: Column) -> Column:
-    """Hash of the trimmed line; null for a blank one. Only lines with an outer blank are trimmed."""
-    inner = F.when(line.rlike(r"^[\x20\x09-\x0D]|[\x20\x09-\x0D]$"), _trimmed(line)).otherwise(line)
+    """Hash of the trimmed line; null for a blank one."""
+    inner = _inner(line)
     return F.when(F.length(inner) > 0, F.xxhash64(inner))
 
 
+def _is_long(line: Column) -> Column:
+    """Whether the line has LONG_WORDS words; words are counted only where so many fit."""
+    fits = F.length(line) >= 2 * LONG_WORDS - 1
+    return F.when(fits, F.size(F.split(_inner(line), r"[\x20\x09-\x0D]+")) >= LONG_WORDS).otherwise(False)
+
+
 def _row_key(key: Column, text: Column) -> Column:
     return F.xxhash64(key, text)
 
 
 def line_table(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
-    """One row per different line of each row: row, text and line hash, site."""
+    """One row per different line of each row: row, text and line hash, site, whether the line is long."""
     body = docs[text].cast("string")
-    hashes = F.array_distinct(F.transform(F.split(body, "\n"), _line_hash))
+    hashes = F.array_distinct(F.transform(F.split(body, "\n"), lambda x: F.struct(_line_hash(x).alias("line"), _is_long(x).alias("long"))))
     return docs.select(
         _row_key(docs[key], body).alias("row"), F.xxhash64(body).alias("body"), F.coalesce(docs[site].cast("string"), F.lit("")).alias("site"), hashes.alias("lines")
-    ).select("row", "body", "site", F.explode("lines").alias("line")).where(F.col("line").isNotNull())
+    ).select("row", "body", "site", F.inline("lines")).where(F.col("line").isNotNull())
 
 
-def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """line, n_sites, n_texts, n_rows of the lines on ``min_sites`` sites or more, in as many texts.
+def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """line, n_sites, n_texts, n_rows of the lines on ``min_sites`` sites or more, in as many texts,
+    and of the long lines in ``min_texts`` texts or more.
 
     Counts beyond the margin of the threshold are estimates.
     """
     spread = lines.groupBy("line").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("n_sites"), F.hll_sketch_estimate(F.hll_sketch_agg("body", LG_K)).alias("n_texts"), F.count("*").alias("n_rows")
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("n_sites"), F.hll_sketch_estimate(F.hll_sketch_agg("body", LG_K)).alias("n_texts"), F.count("*").alias("n_rows"),
+        F.max("long").alias("long"),
     )
-    low, high = min_sites * (1 - MARGIN) - 1, min_sites * (1 + MARGIN) + 1
-    least = F.least("n_sites", "n_texts")
-    spread = stage(spread.where(least >= low), "spread")
-    near = spread.where(least <= high).select("line", "n_rows")
+
+    def reach(at):
+        return (F.least("n_sites", "n_texts") >= at(min_sites)) | F.col("long") & (F.col("n_texts") >= at(min_texts))
+
+    spread = stage(spread.where(reach(lambda n: n * (1 - MARGIN) - 1)), "spread")
+    sure = reach(lambda n: n * (1 + MARGIN) + 2)
+    near = spread.where(~sure).select("line", "n_rows", "long")
     seen = lines.join(near.select("line"), "line", "left_semi")
     exact = (
         seen.select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n_sites"))
         .join(seen.select("line", "body").distinct().groupBy("line").agg(F.count("*").alias("n_texts")), "line")
-        .join(near, "line").where(F.least("n_sites", "n_texts") >= min_sites)
+        .join(near, "line").where(reach(lambda n: n))
     )
-    return spread.where(least > high).unionByName(exact)
+    return spread.where(sure).unionByName(exact).drop("long")
 
 
 def _marked(lines: DataFrame, found: DataFrame) -> DataFrame:
@@ -87,11 +106,11 @@ def _marked(lines: DataFrame, found: DataFrame) -> DataFrame:
 
 def remove_boilerplate(
     docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE,
-    removed: str | None = None,
+    removed: str | None = None, min_texts: int = MIN_TEXTS,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; all columns stay, ``removed`` names an added count of lines."""
     lines = stage(line_table(docs, key, text, site), "lines")
-    found = stage(boilerplate_lines(lines, min_sites), "boilerplate")
+    found = stage(boilerplate_lines(lines, min_sites, min_texts), "boilerplate")
     per_row = _marked(lines, found).groupBy("row").agg(F.collect_set("line").alias("_drop"))
     row, drop, kept, cut = (fresh(docs, c) for c in ("_row", "_drop_lines", "_kept", "_cut"))
     body = F.col(f"`{text}`").cast("string")

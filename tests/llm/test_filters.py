@@ -88,6 +88,18 @@ def test_line_spread_far_above_threshold_and_awkward_rows(spark):
     assert boilerplate.remove_boilerplate(odd.limit(0)).count() == 0
 
 
+def test_long_passages_go_on_few_sites(spark):
+    hot, three, rare, short = prose(701, 55), prose(702, 50), prose(703, 60), prose(704, 12)
+    rows = [(i, f"{prose(i, 60)}\n {hot}\n{short}\n{prose(i + 500, 50)}", "hot") for i in range(40)]
+    rows += [(100 + i, f"{prose(i + 100, 60)}\n{three}\n{prose(i + 600, 50)}", f"s{i % 3}") for i in range(10)]  # exactly at the threshold
+    rows += [(200 + i, f"{prose(i + 200, 60)}\n{rare}\n{prose(i + 700, 50)}", "hot") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.text for r in boilerplate.remove_boilerplate(docs).collect()}
+    assert all(got[i].split("\n") == [prose(i, 60), short, prose(i + 500, 50)] for i in range(40))
+    assert all(got[100 + i].split("\n") == [prose(i + 100, 60), prose(i + 600, 50)] for i in range(10))
+    assert all(rare in got[200 + i] for i in range(9))
+
+
 def test_line_spread_has_no_python(spark, capsys):
     boilerplate.remove_boilerplate(documents(spark)).explain()
     assert not re.search("Python|Arrow", capsys.readouterr().out)
