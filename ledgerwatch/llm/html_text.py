@@ -8,7 +8,8 @@ article, whatever their own length. Where the page marks its article (article, m
 lines inside count, and any length is a surge.
 
 Defined cases: null or empty html, and a page without text, give the empty text; repeated
-rows are treated alike; unclosed and crossed tags are tolerated; an empty table gives no rows;
+rows are treated alike; unclosed and crossed tags are tolerated: as in HTML, the start of a
+block ends an open p, li, td or dd, and an end tag ends all that is open inside; an empty table gives no rows;
 other columns are ignored. Pages are read whole, one at a time.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +46,17 @@ _BAD = set(
 )
 _BAD_INSIDE = _BAD - {"header", "form", "search", "discussion", "alert", "banner", "foot", "rail"}
 _GOOD = set("article content main body post entry story text page wrapper container layout with has".split())
+# an end tag or an implied end reaches no further out than these
+_TABLE = set("table tr td th thead tbody tfoot caption".split())
+_ENDS_P = _BLOCKS - _TABLE - {"body", "html", "legend", "option"} | {"table", "form", "nav", "aside", "fieldset", "search"}
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+_ENDED_BY = {
+    "li": ({"li"}, (_BLOCKS | _SKIP) - {"li", "address", "div", "p"}),
+    **dict.fromkeys(("dd", "dt"), ({"dd", "dt"}, (_BLOCKS | _SKIP) - {"dd", "dt", "address", "div", "p"})),
+    **dict.fromkeys(("td", "th"), ({"td", "th"}, {"table", "tr"})),
+    "tr": ({"tr", "caption"}, {"table"}),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"})),
+}
 _COMMENTS = set("comment comments disqus respond replies".split())
 
 
@@ -54,6 +67,45 @@ def _names(attributes: str) -> set[str]:
     return out
 
 
+class _Open:
+    """Names of the open block elements, outermost first."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.count: Counter[str] = Counter()
+
+    def start(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] += 1
+
+    def _back(self, wanted: set[str], bounds: set[str]) -> None:
+        """Closes the innermost of ``wanted`` that is not outside of ``bounds``."""
+        if not any(self.count[x] for x in wanted):
+            return
+        for i in range(len(self.names) - 1, -1, -1):
+            if self.names[i] in wanted:
+                self.count.subtract(self.names[i:])
+                del self.names[i:]
+                return
+            if self.names[i] in bounds:
+                return
+
+    def implied(self, name: str) -> None:
+        """Closes what the start of ``name`` ends."""
+        if name in _ENDS_P:
+            self._back({"p"}, {"table", "td", "th", "caption", "button"})
+        if name in _HEADINGS and self.names and self.names[-1] in _HEADINGS:
+            self._back(_HEADINGS, set())
+        if name in ("thead", "tbody", "tfoot"):
+            self._back({"thead", "tbody", "tfoot"}, {"table"})
+        if name in _ENDED_BY:
+            self._back(*_ENDED_BY[name])
+
+    def end(self, name: str) -> None:
+        bounds = {"table"} if name in _TABLE else {"td", "th", "caption", "table", "ul", "ol", "menu"} if name == "li" else {"td", "th", "caption", "table"}
+        self._back(_HEADINGS if name in _HEADINGS else {name}, bounds)
+
+
 class _Lines:
     """Lines of a page: text, length outside links, and whether the article holds the line."""
 
@@ -79,8 +131,9 @@ class _Lines:
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     lines, at = _Lines(), 0
-    link = article = depth = 0  # open links, open articles, open elements of the skipped name
-    skipped, in_comments, blocks = "", False, 0
+    link = article = 0  # open links, open articles
+    opened = _Open()
+    skipped, level, in_comments, blocks = "", 0, False, 0  # name of the skipped container, and elements open around it
     raw = ""
     for m in _TAG.finditer(page):
         text, at = page[at : m.start()], m.end()
@@ -97,17 +150,27 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         closing, attributes = bool(m[2]), m[4] or ""
         empty = name in _VOID or attributes.endswith("/")
+        known = name in _BLOCKS or name in _SKIP or name == skipped
+        if known and closing:
+            opened.end(name)
+        elif known:
+            opened.implied(name)
         if skipped:
-            if not closing and name in ("article", "main") and not in_comments and not _names(attributes) & _BAD_INSIDE:
+            if len(opened.names) <= level:  # by its own end tag, that of an ancestor, or the start of the next block
+                own = closing and name == skipped and len(opened.names) == level
+                skipped, in_comments = "", False
+                lines.gap(blocks)
+                if own:
+                    continue
+            elif not closing and name in ("article", "main") and not in_comments and not _names(attributes) & _BAD_INSIDE:
                 skipped = ""  # a container that was left open, or wraps the page
                 lines.gap(WINDOW)
             else:
+                if known and not closing and not empty:
+                    opened.start(name)
                 blocks += name in _BLOCKS and not closing
-                if name == skipped and not empty:
-                    depth += -1 if closing else 1
-                    if depth == 0:
-                        skipped, in_comments = "", False
-                        lines.gap(blocks)
+                if name in ("script", "style") and not closing and not empty:
+                    raw = name
                 continue
         if name in _RAW and not closing and not empty:
             raw = name
@@ -126,8 +189,11 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             plain = name in _SKIP or name == "header" and not article
             if (plain or bad or _HIDDEN.search(attributes)) and not (name in ("article", "main") and not bad):
                 lines.end(article > 0)
-                skipped, depth, in_comments, link, blocks = name, 1, bool(names & _COMMENTS), 0, 1
+                skipped, level, in_comments, link, blocks = name, len(opened.names), bool(names & _COMMENTS), 0, 1
+                opened.start(name)
                 continue
+            if known:
+                opened.start(name)
         if name in ("article", "main"):
             lines.end(article > 0)
             article = max(article + (-1 if closing else 1), 0)

@@ -133,6 +133,17 @@ def test_html_text_without_marked_article(spark):
     assert html_text.extract_pages(odd.limit(0)).count() == 0
 
 
+def test_html_text_after_skipped_blocks_without_end_tags():
+    long = "A long text with many words, so that it surges well above eighty characters in any case."
+    assert html_text.main_text(f'<body><div id=page><p class="notice">Cookies<p>{long}<p>Second.</div>') == f"{long}\nSecond."
+    assert html_text.main_text(f"<ul><li class=share>Share<li>{long}<li>Second.</ul>") == f"{long}\nSecond."
+    assert html_text.main_text(f"<div><p class=notice>Cookies</div>{long}") == long
+    assert html_text.main_text(f"<dl><dt>T<dd class=ad>Buy<dt>{long}</dl>") == f"T\n{long}"
+    assert html_text.main_text(f"<table><tr><td class=menu>M<p>N<td>{long}<tr><td class=ad>Buy</table>") == long
+    assert html_text.main_text(f"<div><div class=ad><ul><li>a<ul><li>b</ul><li>c</ul><p>d</div><p>{long}</div>") == long
+    assert html_text.main_text(f"<nav><script>'</nav></div>'</script>x</nav><p>{long}") == long
+
+
 def test_line_block_regions():
     assert html_text.regions([0, 0, 5, 0, 0, 0, 90, 3, 0, 0, 40, 0, 0, 0], 80) == [(4, 11)]
     assert html_text.regions([], 80) == [] and html_text.regions([5], 80) == []
