@@ -4,7 +4,8 @@ Markup is stripped into lines, one per block element; containers that are named
 menu, header, footer, sidebar, notice, advert, form or comments leave as many blank lines as
 they have blocks. Over windows of three lines the lengths of text outside links are summed. A surge to
 ``SURGE`` characters opens a region, a dive to nothing closes it; the lines between are the
-article, whatever their own length. Where the page marks its article (article, main), only
+article, whatever their own length. Lines beside it (a title before a menu, a last paragraph
+after a form) stay too if they have the same parent container as a line of it. Where the page marks its article (article, main), only
 lines inside count, and any length is a surge.
 
 Defined cases: null or empty html, and a page without text, give the empty text; repeated
@@ -49,6 +50,7 @@ _GOOD = set("article content main body post entry story text page wrapper contai
 # an end tag or an implied end reaches no further out than these
 _TABLE = set("table tr td th thead tbody tfoot caption".split())
 _ENDS_P = _BLOCKS - _TABLE - {"body", "html", "legend", "option"} | {"table", "form", "nav", "aside", "fieldset", "search"}
+_PARENTS = set("article center details div main section td th".split())
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 _ENDED_BY = {
     "li": ({"li"}, (_BLOCKS | _SKIP) - {"li", "address", "div", "p"}),
@@ -72,10 +74,24 @@ class _Open:
 
     def __init__(self):
         self.names: list[str] = []
+        self.numbers: list[int] = []
+        self.started = 0
         self.count: Counter[str] = Counter()
 
+    def parents(self) -> frozenset[int]:
+        """The container around the innermost block (0: the page), and that block if it is one itself."""
+        out = []
+        for i in range(len(self.names) - 1, -1, -1):
+            if self.names[i] in _PARENTS:
+                out.append(self.numbers[i])
+                if i < len(self.names) - 1 or len(out) == 2:
+                    return frozenset(out)
+        return frozenset([*out, 0])
+
     def start(self, name: str) -> None:
+        self.started += 1
         self.names.append(name)
+        self.numbers.append(self.started)
         self.count[name] += 1
 
     def _back(self, wanted: set[str], bounds: set[str]) -> None:
@@ -85,7 +101,7 @@ class _Open:
         for i in range(len(self.names) - 1, -1, -1):
             if self.names[i] in wanted:
                 self.count.subtract(self.names[i:])
-                del self.names[i:]
+                del self.names[i:], self.numbers[i:]
                 return
             if self.names[i] in bounds:
                 return
@@ -107,14 +123,17 @@ class _Open:
 
 
 class _Lines:
-    """Lines of a page: text, length outside links, and whether the article holds the line."""
+    """Lines of a page: text, length outside links, whether the article holds the line, and its parents."""
 
     def __init__(self):
         self.parts: list[str] = []
         self.linked = 0
-        self.out: list[tuple[str, int, bool]] = []
+        self.parents: frozenset[int] | None = None
+        self.out: list[tuple[str, int, bool, frozenset[int]]] = []
 
-    def add(self, text: str, link: bool) -> None:
+    def add(self, text: str, link: bool, opened: _Open) -> None:
+        if self.parents is None and not text.isspace():
+            self.parents = opened.parents()
         if link:
             self.linked += len(text.strip())
         self.parts.append(text)
@@ -122,14 +141,14 @@ class _Lines:
     def end(self, inside: bool) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.out.append((text, max(len(text) - self.linked, 0), inside))
-        self.parts, self.linked = [], 0
+            self.out.append((text, max(len(text) - self.linked, 0), inside, self.parents or frozenset()))
+        self.parts, self.linked, self.parents = [], 0, None
 
     def gap(self, n: int) -> None:
-        self.out += [("", 0, False)] * min(n, WINDOW)
+        self.out += [("", 0, False, frozenset())] * min(n, WINDOW)
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
+def page_lines(page: str) -> list[tuple[str, int, bool, frozenset[int]]]:
     lines, at = _Lines(), 0
     link = article = 0  # open links, open articles
     opened = _Open()
@@ -142,9 +161,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 raw = ""
             continue
         if text and not skipped:
-            lines.add(html.unescape(text), link > 0)
+            lines.add(html.unescape(text), link > 0, opened)
         if m[1] is not None and not skipped:
-            lines.add(m[1], link > 0)
+            lines.add(m[1], link > 0, opened)
         name = (m[3] or "").lower()
         if not name:
             continue
@@ -179,7 +198,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             link = 0 if closing else 1
             continue
         if name == "br":
-            lines.add(" ", False)
+            lines.add(" ", False, opened)
             continue
         if name not in _BLOCKS and name not in _SKIP and "=" not in attributes:
             continue
@@ -204,7 +223,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     if not raw and not skipped:
         rest = page[at:]
         cut = rest.rfind("<")
-        lines.add(html.unescape(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest[:cut]), link > 0)
+        lines.add(html.unescape(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest[:cut]), link > 0, opened)
     lines.end(article > 0)
     return lines.out
 
@@ -229,21 +248,24 @@ def regions(lengths: list[int], surge: int) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by line feeds."""
     lines = page_lines(page or "")
-    marked = any(inside and text for text, _, inside in lines)
+    marked = any(inside and text for text, _, inside, _ in lines)
     if marked:  # lines of links only inside a marked article are its own
-        lengths = [len(text) if inside else 0 for text, _, inside in lines]
+        lengths = [len(text) if inside else 0 for text, _, inside, _ in lines]
         found = regions(lengths, 1)
     else:
-        lengths = [n for _, n, _ in lines]
+        lengths = [n for _, n, _, _ in lines]
         found = regions(lengths, SURGE)
         if not found:
             found = sorted(regions(lengths, 1), key=lambda r: -sum(lengths[r[0] : r[1]]))[:1]
-    out = []
+    chosen = [False] * len(lines)
     for a, b in found:
         while a < b and not lengths[a]:
             a += 1
-        out += [text for text, _, inside in lines[a:b] if text and (inside or not marked)]
-    return "\n".join(out)
+        chosen[a:b] = [inside or not marked for _, _, inside, _ in lines[a:b]]
+    if not marked:
+        around = frozenset().union(*(parents for (_, n, _, parents), c in zip(lines, chosen, strict=True) if c and n))
+        chosen = [c or n > 0 and not around.isdisjoint(parents) for (_, n, _, parents), c in zip(lines, chosen, strict=True)]
+    return "\n".join(text for (text, *_), c in zip(lines, chosen, strict=True) if c and text)
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

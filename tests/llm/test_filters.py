@@ -144,6 +144,15 @@ def test_html_text_after_skipped_blocks_without_end_tags():
     assert html_text.main_text(f"<nav><script>'</nav></div>'</script>x</nav><p>{long}") == long
 
 
+def test_html_text_keeps_short_blocks_beside_the_article():
+    long = "A long text with many words, so that it surges well above eighty characters in any case."
+    form, menu = "<form><p>Name<p>Mail<p>Send</form>", "<ul class=menu><li>A<li>B<li>C</ul>"
+    page = f"<body><div class=top><p>Site</div>{menu}<div id=content><h1>Title</h1>{menu}<p>{long}</p>{form}<p>The end.</p></div>{menu}<div><p>Imprint</div>"
+    assert html_text.main_text(page) == f"Title\n{long}\nThe end."
+    assert html_text.main_text(f"<div><div>Title</div>{menu}<div>{long}</div>{form}<div>The end.</div></div>") == f"Title\n{long}\nThe end."
+    assert html_text.main_text(f"<div><h1>Title</h1>{menu}<p>Short.{form}<p>The end.</div>") == "Title\nShort.\nThe end."
+
+
 def test_line_block_regions():
     assert html_text.regions([0, 0, 5, 0, 0, 0, 90, 3, 0, 0, 40, 0, 0, 0], 80) == [(4, 11)]
     assert html_text.regions([], 80) == [] and html_text.regions([5], 80) == []
