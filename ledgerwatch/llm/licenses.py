@@ -1,19 +1,23 @@
 """Licence scan by conditional compression (operator 1).
 
-Candidate blocks are sentences with a licence cue, joined over small gaps. Each is compressed
-by zstandard alone and with every template as raw dictionary; templates are ranked by how much
-smaller the block becomes. The best are confirmed word by word: an alignment lists the
-template's words that the block lacks and the words between that it adds; names and versions
-(the words that tell one licence from another) must all be there.
+Candidate blocks are sentences with a licence cue, joined over small gaps; sentences are cut
+at line ends and also, for wrapped notices, over the lines of a paragraph. Each is compressed
+by zstandard alone and with every template as raw dictionary. All templates that make it
+smaller by ``LEAST_REDUCTION`` are confirmed word by word: an alignment lists the template's
+words that the block lacks and the words between that it adds; names and versions (the words
+that tell one licence from another) must all be there. Names of other licences in the sentence
+are left out of the alignment, so a sentence that lists several licences has all of them.
 
 Defined cases: null and empty texts have no blocks; rows with equal ids or texts are reported
-once per row; among equal reductions the template with fewer differences, then the earlier one
-wins; an empty table gives no rows; other columns are ignored. Texts are scanned whole.
+once per row; of overlapping spans of one licence the wording with most words there, then the
+fewest added, then the shortest span wins; an empty table gives no rows; other columns are ignored. Texts are scanned whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import cache
 
@@ -24,7 +28,6 @@ from pyspark.sql import functions as F
 from ledgerwatch.llm.frames import per_slice
 
 LEAST_REDUCTION = 0.10
-FINALISTS = 8
 LEAST_COVERED = 0.85
 MOST_ADDED = 0.25  # words added inside the aligned part, per template word
 GAP = 1  # sentences without a cue inside a block
@@ -60,6 +63,8 @@ CUES = ["licens", "licenc", "copyright", "rights reserved", "permission", "spdx"
 
 _CUE = re.compile("|".join(map(re.escape, CUES)), re.I)
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
+_PARAGRAPH = re.compile(r"[^\n]*[^\W_][^\n]*(?:\n[^\n]*[^\W_][^\n]*)*")
+_WRAPPED = re.compile(r".+?(?:[.!?](?=\s)|\Z)", re.S)
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -78,6 +83,28 @@ def templates() -> list[tuple[str, str, list[str], frozenset[str]]]:
     return out
 
 
+@cache
+def _titles() -> list[tuple[str, list[str]]]:
+    """(licence, words of its name), longest name first."""
+    return sorted(((name, words(title)) for name, title in NAMES.items()), key=lambda x: -len(x[1]))
+
+
+def without_other_names(block: list[str], licence: str) -> list[str]:
+    """``block`` without the names of the other licences and the small words that list them."""
+    out, i = [], 0
+    while i < len(block):
+        name, title = next(((n, t) for n, t in _titles() if block[i : i + len(t)] == t), ("", block[i : i + 1]))
+        i += len(title)
+        if name in ("", licence):
+            out += title
+            continue
+        while out and out[-1] in ("the", "and", "or"):
+            out.pop()
+        while block[i : i + 1] in (["and"], ["or"]):
+            i += 1
+    return out
+
+
 @cache
 def _compressors() -> list:
     """One for each template, and one without."""
@@ -88,19 +115,47 @@ def _compressors() -> list:
     return [z.ZstdCompressor(dict_data=dictionary(t), **options) for _, t, _, _ in templates()] + [z.ZstdCompressor(**options)]
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of candidate blocks."""
+def _sentences(text: str, wrapped: bool) -> Iterator[tuple[int, int]]:
+    """Spans of the sentences: of each line, or of each paragraph of several lines."""
+    if not wrapped:
+        yield from (m.span() for m in _SENTENCE.finditer(text))
+        return
+    for p in _PARAGRAPH.finditer(text):
+        yield from (m.span() for m in _WRAPPED.finditer(text, *p.span()))
+
+
+def _joined(text: str, sentences: Iterable[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans of the sentences with a cue, and of the blocks they make."""
+    cued: list[tuple[int, int]] = []
     out: list[tuple[int, int]] = []
     since = GAP + 1
-    for m in _SENTENCE.finditer(text):
-        if _CUE.search(m[0]):
+    for start, end in sentences:
+        sentence = text[start:end]
+        if _CUE.search(sentence):
+            start += len(sentence) - len(sentence.lstrip())
+            cued.append((start, end))
             if out and since <= GAP:
-                out[-1] = (out[-1][0], m.end())
+                out[-1] = (out[-1][0], end)
             else:
-                out.append((m.start() + len(m[0]) - len(m[0].lstrip()), m.end()))
+                out.append((start, end))
             since = 0
-        elif m[0].strip():
+        elif sentence.strip():
             since += 1
+    return cued, out
+
+
+def blocks(text: str) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
+    """Spans of the candidate blocks, each with the spans inside that are judged."""
+    parts: set[tuple[int, int]] = set()
+    for wrapped in (False, True):
+        parts.update(*_joined(text, _sentences(text, wrapped)))
+    out: list[tuple[tuple[int, int], list[tuple[int, int]]]] = []
+    for start, end in sorted(parts, key=lambda x: (x[0], -x[1])):
+        if out and start < out[-1][0][1]:
+            (first, last), inside = out[-1]
+            out[-1] = ((first, max(last, end)), [*inside, (start, end)])
+        else:
+            out.append(((start, end), [(start, end)]))
     return out
 
 
@@ -132,21 +187,32 @@ def differences(block: list[str], number: int) -> tuple[list[str], list[str]] |
 def scan(text: str) -> list[tuple[int, int, str, str, float, list[str], list[str]]]:
     """(start, end, licence, wording, reduction, words lacking, words added) of the confirmed blocks."""
     found = []
-    for start, end in blocks(text):
+    for _, parts in blocks(text):
         # a long block may hold several notices: sentences are judged singly, then the block whole
-        parts = {(start, end)} | {(start + m.start(), start + m.end()) for m in _SENTENCE.finditer(text[start:end]) if _CUE.search(m[0])}
-        best: dict[str, tuple] = {}
-        for a, b in sorted(parts):
+        confirmed = []
+        for a, b in parts:
             own = words(text[a:b])
-            order = [x for x in ranked(text[a:b])[: FINALISTS] if x[0] >= LEAST_REDUCTION]
-            checked = [(d, x) for x in order if (d := differences(own, x[1])) is not None]
-            if checked:
-                (lacks, adds), (reduction, number) = min(checked, key=lambda c: (len(c[0][0]) + len(c[0][1]), -c[1][0], c[1][1]))
-                name, wording = templates()[number][:2]
-                rank = (len(templates()[number][2]) - len(lacks), -len(adds))
-                if name not in best or rank > best[name][0]:
-                    best[name] = (rank, (a, b, name, wording, reduction, lacks, adds))
-        found += [row for _, row in best.values()]
+            counts, bare = Counter(own), {}
+            for reduction, number in ranked(text[a:b]):
+                if reduction < LEAST_REDUCTION:
+                    break
+                name, wording, wanted, identity = templates()[number]
+                # what differences() asks for at least, without an alignment
+                if not identity <= counts.keys() or (Counter(wanted) & counts).total() < LEAST_COVERED * len(wanted):
+                    continue
+                if name not in bare:
+                    bare[name] = without_other_names(own, name)
+                if (d := differences(bare[name], number)) is None:
+                    continue
+                lacks, adds = d
+                rank = (len(lacks) - len(wanted), len(adds), b - a, -reduction, number)
+                confirmed.append((rank, (a, b, name, wording, reduction, lacks, adds)))
+        taken: dict[str, list[tuple[int, int]]] = {}
+        for _, row in sorted(confirmed, key=lambda x: x[0]):
+            a, b, name = row[:3]
+            if all(b <= c or d <= a for c, d in taken.setdefault(name, [])):
+                taken[name].append((a, b))
+                found.append(row)
     return sorted(found)
 
 

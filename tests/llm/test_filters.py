@@ -2,6 +2,7 @@
 
 import html
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -215,6 +216,21 @@ def test_licence_wordings(spark):
     assert odd.count() == 0 and licenses.scan_licenses(awkward(spark).limit(0)).count() == 0
 
 
+def test_licences_in_wrapped_lines_and_lists():
+    for width in (40, 60, 72):
+        for name, wording in licenses.WORDINGS.items():
+            for mark in ("", " * ", "# "):
+                lines = textwrap.wrap(wording.replace("conditions: The", "conditions:\n\nThe"), width) if mark else [x for p in wording.replace("conditions: The", "conditions:\n\nThe").split("\n\n") for x in [*textwrap.wrap(p, width), ""]]
+                text = f"{prose(1, 30)}.\n\n" + "\n".join(mark + x for x in lines) + f"\n\n{prose(2, 30)}"
+                found = [f for f in licenses.scan(text) if f[2] == name]
+                assert len(found) == 1 and not found[0][5] and not found[0][6], (name, width, mark)
+    three = "Licensed under the MIT License, the Apache License, Version 2.0 and the GNU General Public License, version 3."
+    two = "Released under the GNU General Public License, version 3 or the MIT License."
+    assert {f[2] for f in licenses.scan(three)} == {"MIT", "Apache-2.0", "GPL-3.0"} and {f[2] for f in licenses.scan(two)} == {"MIT", "GPL-3.0"}
+    for name, title in licenses.NAMES.items():
+        assert [f[2] for f in licenses.scan(f"Distributed under the terms of the {title}.")] == [name]
+
+
 def test_grammar_contexts():
     score = lambda *s: grammar.clause_score([(i, c, 2.0) for i, c in s])
     assert score((0, "I")) == 2.0 and score((0, "N"), (1, "I")) == pytest.approx(2.0 * grammar.NEGATED)
