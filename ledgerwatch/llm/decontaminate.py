@@ -1,9 +1,14 @@
 """Benchmark decontamination (operator 3): BM25 retrieval with block-max WAND, then an overlap check.
 
 Every training text is cut into passages of 64 words, one each 32 words, and every passage is
-a query against an index of the test items. All items at or above ``SCORE`` of their own score
-are retrieved; then the item's question (all lines but the last, or its only line) and answer
-(the last of several lines) are compared with the text around the passage on 3-word windows.
+a query against an index of the test items. An item's question (all lines but the last, or its
+only line), its answer (the last of several lines) and the whole are entries of their own, long
+ones in pieces that overlap. All entries at or above ``SCORE`` of their own score are retrieved;
+then question and answer are compared with the text around the passage on 3-word windows. An
+item is leaked if the text holds ``LEAST_OVERLAP`` of the windows of the whole, of the question,
+of the answer, or of a stretch of ``ENTRY_WORDS`` words of the whole, or ``RUN`` of its words on
+end. Of a question shorter than ``SPECIFIC`` words all windows must be there; one shorter than
+``LEAST_WORDS``, or an answer shorter than ``SPECIFIC``, says nothing alone.
 Words are runs of letters and digits (and any non-ASCII character), A-Z folded.
 
 Scale: texts are read once per shard of the index, without a shuffle. A shard holds at most
@@ -29,7 +34,11 @@ from ledgerwatch.llm.wand import BlockMaxIndex, document_frequency
 from ledgerwatch.llm.words import NOT_ALNUM, words_of
 
 PASSAGE, STRIDE = 64, 32
-ENTRY_WORDS = 48  # longer items are indexed in pieces
+ENTRY_WORDS = 48  # longer parts are indexed in pieces
+PIECE, PIECE_STRIDE = 36, 12  # so that every run of RUN words is in one piece whole
+RUN = 24
+SPECIFIC = 8
+LEAST_WORDS = 5
 SCORE = 0.4
 WINDOW = 3
 LEAST_OVERLAP = 0.6
@@ -62,16 +71,16 @@ class Reference:
     def __init__(self, ids: list, texts: list[str], terms: np.ndarray, frequency: np.ndarray, n_all: int, mean_length: float, score: float):
         self.ids = ids
         pairs = [question_and_answer(t) for t in texts]
-        self.question, self.answer, self.length = [], [], []
-        entries, self.item_of = [], []
+        self.question, self.answer, self.ordered = [], [], []
+        entries, self.part_of = [], []  # of each entry: item, part, words of the part
         for item, (q, a) in enumerate(zip(_hashes([p[0] for p in pairs]), _hashes([p[1] for p in pairs]), strict=True)):
             self.question.append(np.unique(_windows(q)))
             self.answer.append(np.unique(_windows(a)))
-            words = np.concatenate([q, a])
-            self.length.append(len(words))
-            for piece in entry_pieces(words):
-                entries.append(piece)
-                self.item_of.append(item)
+            self.ordered.append(_windows(np.concatenate([q, a])))
+            for part, words in parts_of(q, a):
+                for piece in entry_pieces(words):
+                    entries.append(piece)
+                    self.part_of.append((item, part, len(words)))
         self.index = BlockMaxIndex(entries, terms, frequency, n_all, mean_length, score)
 
     def overlap(self, item: int, around: np.ndarray) -> tuple[float, float, float]:
@@ -82,6 +91,23 @@ class Reference:
         whole = len(q) + len(a)
         return n_q / len(q) if len(q) else 0.0, n_a / len(a) if len(a) else 0.0, (n_q + n_a) / whole if whole else 0.0
 
+    def leaked(self, entry: int, around: np.ndarray) -> tuple[float, float, float] | None:
+        """The overlaps if the words ``around`` hold enough of the entry's part of the item."""
+        item, part, n_words = self.part_of[entry]
+        q, a, both = self.overlap(item, around)
+        if part == WHOLE:
+            good = both >= LEAST_OVERLAP or _stretch(np.isin(self.ordered[item], _windows_of(around, WINDOW)))
+        else:
+            good = (q if part == QUESTION else a) >= (LEAST_OVERLAP if n_words >= SPECIFIC else 1)
+        return (q, a, both) if good else None
+
+
+def _stretch(held: np.ndarray) -> bool:
+    """Whether a run of RUN words, or LEAST_OVERLAP of the windows in some ENTRY_WORDS words, are held."""
+    total = np.concatenate([[0], np.cumsum(held)])
+    run, some = RUN - WINDOW + 1, ENTRY_WORDS - WINDOW + 1
+    return len(held) >= run and (total[run:] - total[:-run]).max() == run or len(held) >= some and (total[some:] - total[:-some]).max() >= LEAST_OVERLAP * some
+
 
 def _windows_of(hashes: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(max(len(hashes) - n + 1, 0), np.uint64)
@@ -91,9 +117,20 @@ def _windows_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def entry_pieces(words: np.ndarray) -> list[np.ndarray]:
-    """Pieces of at most ENTRY_WORDS words of nearly equal length."""
-    n = -(-len(words) // ENTRY_WORDS)
-    return [p for p in np.array_split(words, n)] if n else []
+    """The words, or pieces of PIECE of them that overlap; the last ones end with the words."""
+    if len(words) <= ENTRY_WORDS:
+        return [words] if len(words) else []
+    last = len(words) - PIECE
+    return [words[i : i + PIECE] for i in [*range(0, last, PIECE_STRIDE), last]]
+
+
+WHOLE, QUESTION, ANSWER = range(3)
+
+
+def parts_of(question: np.ndarray, answer: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The parts of an item that are indexed: the whole, and of two parts each that can say something."""
+    both = [(p, w) for p, w in ((QUESTION, question), (ANSWER, answer)) if len(w) >= (LEAST_WORDS if p == QUESTION else SPECIFIC)]
+    return [(WHOLE, np.concatenate([question, answer])), *(both if len(question) and len(answer) else [])]
 
 
 def leaks(column: pa.Array, ref: Reference) -> Iterator[tuple[int, int, float, float, float, float]]:
@@ -115,12 +152,11 @@ def leaks(column: pa.Array, ref: Reference) -> Iterator[tuple[int, int, float, f
         start = int(first[row]) + (p - int(base[row])) * STRIDE
         stop = min(start + PASSAGE, int(first[row + 1]))
         for entry, score in ref.index.search(term[start:stop]):
-            item = ref.item_of[entry]
-            reach = ref.length[item]
+            item, _, reach = ref.part_of[entry]
             around = w.hashes[max(start - reach, int(first[row])) : min(stop + reach, int(first[row + 1]))]
-            q, a, both = ref.overlap(item, around)
-            if both >= LEAST_OVERLAP and (both, score) > best.get((row, item), (0,))[:2]:
-                best[row, item] = (both, score, q, a)
+            found = ref.leaked(entry, around)
+            if found and (found[2], score) > best.get((row, item), (-1,))[:2]:
+                best[row, item] = (found[2], score, *found[:2])
     for (row, item), (both, score, q, a) in sorted(best.items()):
         yield row, item, score, q, a, both
 
@@ -139,7 +175,7 @@ def reference_shards(items: DataFrame, item: str, text: str, score: float = SCOR
         shards[-1][0].append(r.i)
         shards[-1][1].append(r.t)
         size += len(r.t)
-    pieces = [p for _, texts in shards for q, a in zip(*[_hashes([x[k] for x in map(question_and_answer, texts)]) for k in (0, 1)], strict=True) for p in entry_pieces(np.concatenate([q, a]))]
+    pieces = [p for _, texts in shards for q, a in zip(*[_hashes([x[k] for x in map(question_and_answer, texts)]) for k in (0, 1)], strict=True) for _, words in parts_of(q, a) for p in entry_pieces(words)]
     terms, frequency = document_frequency(pieces)
     mean = float(np.mean([len(p) for p in pieces])) if pieces else 0.0
     return [Reference(ids, texts, terms, frequency, len(pieces), mean, score) for ids, texts in shards]

@@ -138,6 +138,24 @@ def test_changed_and_partial_leaks(spark, monkeypatch):
     assert decontaminate.leaked_items(odd, items.limit(0)).count() == 0 and decontaminate.leaked_items(odd.limit(0), items).count() == 0
 
 
+def test_questions_answers_and_stretches_leak_alone(spark):
+    parts = [(11, 43), (8, 37), (5, 11), (60, 9), (4, 40), (40, 3)]
+    texts = [f"{prose(800 + i, q)}\n{prose(850 + i, a)}" for i, (q, a) in enumerate(parts)] + [prose(890, 150)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    words = texts[-1].split()
+    held = {
+        **{f"q{i}": (x.split("\n")[0], {i} if parts[i][0] >= 5 else set()) for i, x in enumerate(texts[:-1])},
+        **{f"a{i}": (x.split("\n")[1], {i} if parts[i][1] >= 8 else set()) for i, x in enumerate(texts[:-1])},
+        **{f"s{at}": (" ".join(words[at : at + 50]), {6}) for at in range(0, 101, 10)},
+        **{f"r{at}": (" ".join(words[at : at + 24]), {6}) for at in range(0, 127, 7)},
+        "few": (" ".join(words[30:42]), set()), "half": (" ".join(texts[2].split("\n")[0].split()[:4]), set()),
+    }
+    for before in (0, 61, 90):
+        rows = [(k, f"{prose(900 + n, before)} {x} {prose(990 + n, 120)}") for n, (k, (x, _)) in enumerate(held.items())]
+        got = decontaminate.leaked_items(spark.createDataFrame(rows, "doc_id string, text string"), items).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(k, i) for k, (_, found) in held.items() for i in found}
+
+
 VOCABULARY = lattice.Vocabulary.load(catalog.tokenizer_file("piece_bpe_32k.model"))
 
 
