@@ -19,7 +19,8 @@ from ledgerwatch.llm.words import mix
 
 EMPTY = np.uint64(2**64 - 1)
 _FRACTION = np.uint64(28)  # bits of a rank below one
-_RANK = np.uint64(40)  # bits of a rank
+_RANK = np.uint64(40)  # bits of a rank in squares below DEEP
+_DEEP = 1 << 12
 _STEP, _LANE, _NEXT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 # number of darts in a square: Poisson of mean 1 by its distribution function
 _POISSON = (np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)]) * 2.0**64).astype(np.float64)
@@ -52,12 +53,18 @@ def _throw(rows: np.ndarray, keys: np.ndarray, weights: np.ndarray, limit: np.nd
         position = (v >> np.uint64(48)).astype(np.float64) / 65536 + (0 if lane is None else lane[of])
         hit &= position < weights[owner]
     coordinate = (((v >> _FRACTION) & np.uint64(0xFFFFF)) * np.uint64(k)) >> np.uint64(20)
-    place = np.sort((((row.astype(np.uint64) * np.uint64(k) + coordinate) << _RANK) | rank)[hit])
-    slot = (place >> _RANK).astype(np.int64)
+    place, rank = (row.astype(np.uint64) * np.uint64(k) + coordinate)[hit], rank[hit]
+    if len(high) and high.max() > _DEEP:  # a small set: ranks do not fit beside the slot
+        order = np.lexsort((rank, place))
+        place, rank = place[order], rank[order]
+    else:
+        both = np.sort((place << _RANK) | rank)
+        place, rank = both >> _RANK, both & np.uint64((1 << 40) - 1)
+    slot = place.astype(np.int64)
     first = np.ones(len(slot), bool)
     first[1:] = slot[1:] != slot[:-1]
     out = np.full(n_rows * k, EMPTY, np.uint64)
-    out[slot[first]] = place[first] & np.uint64((1 << 40) - 1)
+    out[slot[first]] = rank[first]
     return out.reshape(n_rows, k)
 
 

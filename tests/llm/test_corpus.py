@@ -99,6 +99,18 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert (darts.signatures(np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0), 2, 8) == darts.EMPTY).all()
 
 
+def test_long_sketches_of_small_sets_agree():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(1, 2**63, (200, 5), dtype=np.uint64)
+    rows = np.repeat(np.arange(400), [5, 4] * 200)
+    both = np.concatenate([x for k in keys for x in (k, k[:4])])
+    sig = darts.signatures(rows, both, np.ones(len(rows)), 400, neardup.LONG)
+    agree = (sig[::2] == sig[1::2]).mean(axis=1)  # similarity 0.8
+    assert abs(agree.mean() - 0.8) < 0.01 and agree.min() > 0.7
+    alone = np.concatenate([darts.signatures(np.zeros(4, int), k[:4], np.ones(4), 1, neardup.LONG) for k in keys])
+    assert (alone == sig[1::2]).mean() > 0.999  # a set's sketch does not depend on its batch
+
+
 def test_block_max_wand_equals_exhaustive_search():
     rng = np.random.default_rng(2)
     entries = [rng.integers(1, 400, int(rng.integers(3, 50)), dtype=np.uint64) ** np.uint64(7) for _ in range(90)]
