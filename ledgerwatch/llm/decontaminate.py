@@ -22,6 +22,7 @@ on either side gives no rows; other columns are ignored or carried along.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +73,7 @@ class Reference:
         self.ids = ids
         pairs = [question_and_answer(t) for t in texts]
         self.question, self.answer, self.ordered = [], [], []
-        entries, self.part_of = [], []  # of each entry: item, part, words of the part
+        entries, self.part_of, least = [], [], []  # of each entry: item, part, words of the part
         for item, (q, a) in enumerate(zip(_hashes([p[0] for p in pairs]), _hashes([p[1] for p in pairs]), strict=True)):
             self.question.append(np.unique(_windows(q)))
             self.answer.append(np.unique(_windows(a)))
@@ -81,7 +82,8 @@ class Reference:
                 for piece in entry_pieces(words):
                     entries.append(piece)
                     self.part_of.append((item, part, len(words)))
-        self.index = BlockMaxIndex(entries, terms, frequency, n_all, mean_length, score)
+                    least.append(least_words(part, words))
+        self.index = BlockMaxIndex(entries, terms, frequency, n_all, mean_length, score, least)
 
     def overlap(self, item: int, around: np.ndarray) -> tuple[float, float, float]:
         """Share of the windows of question, answer and both that the words ``around`` hold."""
@@ -133,6 +135,13 @@ def parts_of(question: np.ndarray, answer: np.ndarray) -> list[tuple[int, np.nda
     return [(WHOLE, np.concatenate([question, answer])), *(both if len(question) and len(answer) else [])]
 
 
+def least_words(part: int, words: np.ndarray) -> int:
+    """How many words of a short question or answer a passage holds at least if it is leaked (0: no bound)."""
+    if part == WHOLE or len(words) > PASSAGE // 4:
+        return 0
+    return len(words) if len(words) < SPECIFIC else math.ceil(LEAST_OVERLAP * len(np.unique(_windows(words)))) + WINDOW - 1
+
+
 def leaks(column: pa.Array, ref: Reference) -> Iterator[tuple[int, int, float, float, float, float]]:
     """(row, item, best score, question, answer and whole overlap) of the leaked items of each text."""
     w = words_of(column, lower=True, blank=NOT_ALNUM)
@@ -155,6 +164,7 @@ def leaks(column: pa.Array, ref: Reference) -> Iterator[tuple[int, int, float, f
             item, _, reach = ref.part_of[entry]
             around = w.hashes[max(start - reach, int(first[row])) : min(stop + reach, int(first[row + 1]))]
             found = ref.leaked(entry, around)
+            score *= ref.index.share[entry] / ref.index.threshold
             if found and (found[2], score) > best.get((row, item), (-1,))[:2]:
                 best[row, item] = (found[2], score, *found[:2])
     for (row, item), (both, score, q, a) in sorted(best.items()):

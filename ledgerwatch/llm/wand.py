@@ -3,7 +3,9 @@
 A query is the set of words of a passage. Impacts are BM25 term scores divided by the score
 the entry gives itself, so one threshold fits entries of any length. ``search`` returns every
 entry at or above the threshold. ``candidates`` decides for many passages at once, in numpy,
-which of them can reach it at all, by the same block bounds: words whose total impact stays
+which of them can reach it at all, by the same block bounds. An entry of which a number of
+words must be there has the least score of so many words as its threshold, if that is more;
+its impacts are scaled to the common threshold. In ``candidates`` words whose total impact stays
 below a part of the threshold in every entry are left out, and the block maxima of the others
 must make up the rest.
 """
@@ -32,8 +34,9 @@ def document_frequency(entries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarra
 class BlockMaxIndex:
     """Postings of ``entries`` (word hashes each), with statistics of the whole reference set."""
 
-    def __init__(self, entries: list[np.ndarray], terms: np.ndarray, frequency: np.ndarray, n_all: int, mean_length: float, threshold: float):
+    def __init__(self, entries: list[np.ndarray], terms: np.ndarray, frequency: np.ndarray, n_all: int, mean_length: float, threshold: float, least_words: list[int] | None = None):
         self.threshold, self.n_entries = threshold, len(entries)
+        self.share: list[float] = []  # of its own score that each entry asks for
         df = dict(zip(terms.tolist(), frequency.tolist(), strict=True))
         found: dict[int, list[tuple[int, float]]] = {}
         for number, words in enumerate(entries):
@@ -41,8 +44,10 @@ class BlockMaxIndex:
             norm = K1 * (1 - B + B * len(words) / max(mean_length, 1e-9))
             score = [math.log(1 + (n_all - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in zip(own.tolist(), tf.tolist(), strict=True)]
             whole = sum(score) or 1.0
+            lowest = np.sort(np.repeat(np.array(score) / tf, tf))[: least_words[number] if least_words else 0]
+            self.share.append(max(threshold, float(lowest.sum()) / whole * (1 - 1e-9)))
             for t, s in zip(own.tolist(), score, strict=True):
-                found.setdefault(t, []).append((number, s / whole))
+                found.setdefault(t, []).append((number, s / whole * threshold / self.share[-1]))
         self.terms = np.array(sorted(found), np.uint64)
         lists = [found[t] for t in self.terms.tolist()]
         sizes = np.array([len(x) for x in lists], np.int64)
