@@ -4,9 +4,10 @@ Per line (trimmed, by 64-bit hash) HyperLogLog sketches of its sites and of the
 hold it merge by aggregation. Lines whose estimate is near the threshold are counted
 exactly. A line on ``min_sites`` sites or more, in as many different texts, is boilerplate;
 so is a line of ``LONG_WORDS`` words or more in ``min_texts`` different texts, on however few
-sites. Equal copies of one text are one text and spread nothing. Boilerplate lines go from every
-text, unless they are more than ``copy_share`` of its characters: such a text is a copy of
-other texts, which is the business of near-duplicate removal, and stays whole.
+sites. Boilerplate lines go from every text. Equal copies of one text are one text and spread
+nothing, and so are near copies: where such lines are more than ``COPY_SHARE`` of a text's
+characters, texts of similarity ``SIMILARITY`` (sets of five-word shingles) count as one, and
+the lines of these texts are counted again.
 
 Scale: the sketches are combined map-side, so a line that is in a third of all rows is one
 row per task. Lines meet the boilerplate list in two joins: the at most ``HOT`` lines that
@@ -29,6 +30,9 @@ MIN_SITES = 10
 LONG_WORDS = 50  # from here on texts alone decide
 MIN_TEXTS = 10  # for these
 COPY_SHARE = 0.75
+SIMILARITY = 0.8  # of near copies
+SHINGLE = 5
+MINIMA = 8  # smallest hashes by which near copies meet: 0.8 fails all with probability 3e-6
 LG_K = 12  # relative error of an estimate 1.6 %
 MARGIN = 0.1
 HOT = 2000
@@ -104,24 +108,64 @@ def _marked(lines: DataFrame, found: DataFrame) -> DataFrame:
     return slim.join(many, "line", "left_semi").union(slim.join(few, "line", "left_semi"))
 
 
+def copy_keys(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """body, copy: one key for near copies among different ``texts`` (body, text).
+
+    Each text meets the least text with which it shares a smallest shingle hash; pairs are
+    checked on all shingles. Keys follow links twice, as copies of one text may meet in
+    several representatives.
+    """
+    words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    last = F.greatest(F.size("words") - SHINGLE, F.lit(0))
+    hashes = F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("words", i + 1, SHINGLE))))
+    sets = stage(texts.select("body", words.alias("words")).select("body", hashes.alias("set")), "shingles")
+    minima = F.array(*[F.xxhash64(F.lit(n), F.array_min(F.transform("set", lambda x, n=n: F.xxhash64(x, F.lit(n))))) for n in range(MINIMA)])
+    rows = sets.select("body", F.explode(minima).alias("bucket"))
+    heads = rows.groupBy("bucket").agg(F.min("body").alias("rep"), F.count("*").alias("members")).where("members > 1")
+    pairs = rows.join(heads, "bucket").where("body <> rep").select("body", "rep").distinct()
+    met = pairs.join(sets, "body").join(sets.toDF("rep", "rep_set"), "rep")
+    common = F.size(F.array_intersect("set", "rep_set"))
+    links = stage(met.where(common >= similarity * (F.size("set") + F.size("rep_set") - common)).groupBy("body").agg(F.min("rep").alias("copy")), "copies")
+    for _ in range(2):
+        onward = links.join(links.select("copy").distinct().withColumnRenamed("copy", "body"), "body", "left_semi").toDF("copy", "onward")
+        links = links.join(onward, "copy", "left").select("body", F.coalesce("onward", "copy").alias("copy"))
+    return links
+
+
+def without_copies(docs: DataFrame, text: str, lines: DataFrame, found: DataFrame, per_row: DataFrame, row: Column, min_sites: int, min_texts: int) -> DataFrame:
+    """``found`` without the lines that are boilerplate only as near copies hold them."""
+    body = F.col(f"`{text}`").cast("string")
+    stays = lambda line: ~F.coalesce(F.array_contains("_drop", _line_hash(line)), F.lit(False))
+    slim = docs.select(row.alias("row"), body.alias("text")).join(per_row, "row")
+    left = F.length(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
+    mostly = slim.where(left < (1 - COPY_SHARE) * F.length("text")).select(F.xxhash64("text").alias("body"), "text", "_drop")
+    mostly = stage(mostly.groupBy("body").agg(F.first("text").alias("text"), F.first("_drop").alias("_drop")), "mostly")
+    if mostly.isEmpty():
+        return found
+    doubtful = stage(mostly.select(F.explode("_drop").alias("line")).distinct(), "doubtful")
+    again = lines.join(doubtful, "line", "left_semi").join(copy_keys(mostly.select("body", "text")), "body", "left")
+    again = stage(again.select("line", "long", "site", F.coalesce("copy", "body").alias("body")), "again")
+    sure = boilerplate_lines(again, min_sites, min_texts).select("line")
+    return stage(found.join(doubtful, "line", "left_anti").unionByName(found.join(sure, "line", "left_semi")), "boilerplate")
+
+
 def remove_boilerplate(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE,
-    removed: str | None = None, min_texts: int = MIN_TEXTS,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, removed: str | None = None, min_texts: int = MIN_TEXTS,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; all columns stay, ``removed`` names an added count of lines."""
     lines = stage(line_table(docs, key, text, site), "lines")
     found = stage(boilerplate_lines(lines, min_sites, min_texts), "boilerplate")
-    per_row = _marked(lines, found).groupBy("row").agg(F.collect_set("line").alias("_drop"))
-    row, drop, kept, cut = (fresh(docs, c) for c in ("_row", "_drop_lines", "_kept", "_cut"))
     body = F.col(f"`{text}`").cast("string")
-    joined = docs.withColumn(row, _row_key(F.col(f"`{key}`"), body)).join(per_row.select(F.col("row").alias(row), F.col("_drop").alias(drop)), row, "left")
+    row_key = _row_key(F.col(f"`{key}`"), body)
+    dropped = lambda found: _marked(lines, found).groupBy("row").agg(F.collect_set("line").alias("_drop"))
+    per_row = dropped(without_copies(docs, text, lines, found, dropped(found), row_key, min_sites, min_texts))
+    row, drop, kept = (fresh(docs, c) for c in ("_row", "_drop_lines", "_kept"))
+    joined = docs.withColumn(row, row_key).join(per_row.select(F.col("row").alias(row), F.col("_drop").alias(drop)), row, "left")
     stays = lambda line: F.coalesce(~F.array_contains(F.col(drop), _line_hash(line)), F.lit(True))
     parts = F.split(body, "\n")
     joined = joined.withColumn(kept, F.when(F.col(drop).isNotNull(), F.filter(parts, stays)))
-    left = F.length(F.array_join(F.col(kept), "\n"))
-    joined = joined.withColumn(cut, F.coalesce(F.col(kept).isNotNull() & (left >= (1 - copy_share) * F.length(body)), F.lit(False)))
-    new_text = F.when(F.col(cut), F.array_join(F.col(kept), "\n")).otherwise(body)
+    new_text = F.when(F.col(kept).isNotNull(), F.array_join(F.col(kept), "\n")).otherwise(body)
     columns = [new_text.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if removed:
-        columns.append(F.when(F.col(cut), F.size(parts) - F.size(F.col(kept))).otherwise(0).cast("bigint").alias(removed))
+        columns.append(F.when(F.col(kept).isNotNull(), F.size(parts) - F.size(F.col(kept))).otherwise(0).cast("bigint").alias(removed))
     return joined.select(*columns)

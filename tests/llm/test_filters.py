@@ -101,6 +101,22 @@ def test_long_passages_go_on_few_sites(spark):
     assert all(rare in got[200 + i] for i in range(9))
 
 
+def test_mixes_of_shared_lines_lose_them_and_near_copies_do_not(spark):
+    shared = [prose(300 + i, 14) for i in range(8)]
+    pages = [(i, f"{prose(i, 40)}\n{shared[i % 8]}\n{shared[(i + 3) % 8]}\n{prose(i + 900, 40)}", f"s{i % 20}") for i in range(160)]
+    mixes = [(1000 + i, "\n".join(shared[(i + j * (1 + i % 3)) % 8] for j in range(5)), f"s{i % 20}") for i in range(24)]
+    words = [prose(350 + i, 25).split() for i in range(12)]
+    copies = []
+    for i in range(60):  # one word of one line differs
+        own = [list(x) for x in words]
+        own[i % 12][i // 12 * 4] = f"w{i}"
+        copies.append((2000 + i, "\n".join(map(" ".join, own)), f"s{i % 20}"))
+    docs = spark.createDataFrame(pages + mixes + copies, "doc_id bigint, text string, source string")
+    got = {r.doc_id: (r.text, r.gone) for r in boilerplate.remove_boilerplate(docs, removed="gone").collect()}
+    assert all(got[i] == (f"{prose(i, 40)}\n{prose(i + 900, 40)}", 2) for i, *_ in pages)
+    assert all(got[i][0] == "" for i, *_ in mixes) and all(got[i] == (text, 0) for i, text, _ in copies)
+
+
 def test_line_spread_has_no_python(spark, capsys):
     boilerplate.remove_boilerplate(documents(spark)).explain()
     assert not re.search("Python|Arrow", capsys.readouterr().out)
