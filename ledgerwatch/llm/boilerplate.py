@@ -54,9 +54,9 @@ def _line_hash(line: Column) -> Column:
 
 
 def _is_long(line: Column) -> Column:
-    """Whether the line has LONG_WORDS words; words are counted only where so many fit."""
-    fits = F.length(line) >= 2 * LONG_WORDS - 1
-    return F.when(fits, F.size(F.split(_inner(line), r"[\x20\x09-\x0D]+")) >= LONG_WORDS).otherwise(False)
+    """Whether the line has LONG_WORDS words; words are looked at only where so many fit."""
+    words = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{LONG_WORDS - 1}}}[^\x20\x09-\x0D]"
+    return F.when(F.length(line) >= 2 * LONG_WORDS - 1, line.rlike(words)).otherwise(False)
 
 
 def _row_key(key: Column, text: Column) -> Column:
