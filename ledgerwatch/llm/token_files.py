@@ -34,12 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerwatch.llm.packing import CACHED_PIECES, END_ID, PieceIds, text_ids
+from ledgerwatch.llm.packing import END_ID, PieceIds, text_ids
 from ledgerwatch.llm.words import slices
 
-ROW_GROUP = 32 << 20
+ROW_GROUP = 16 << 20
 PAGE = 256 << 10
 PAGE_ROWS = 1000
+CACHED_PIECES = 500_000  # kept between texts of a worker; a longer list starts anew
 DICTIONARY = 1 << 20  # bytes; a vocabulary beyond it falls back to delta encoding
 
 #: Settings of Spark's Parquet writer
@@ -85,7 +86,7 @@ def encoded(rows: DataFrame, key: str, tokenizer_file: str, end: int = END_ID) -
 
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a, b in slices(batch.column(1), 2 << 20):
+            for a, b in slices(batch.column(1), 1 << 20):
                 ids, cuts = text_ids(batch.column(1).slice(a, b - a), _encoder(tokenizer_file), end)
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.view(np.int32)))
                 numbers = [np.full(b - a, part, np.int32), before + cuts[:-1], np.diff(cuts).astype(np.int32)]
