@@ -9,7 +9,9 @@ from ledgerwatch.catalog.bank import SQL as BANK_SQL
 from ledgerwatch.catalog.registry import Registry
 from ledgerwatch.operators import drafts, evidence, governance, retrieval, state
 from ledgerwatch.plans import questions
-from ledgerwatch.plans.workspace import DRAFT_SOURCES, Workspace
+from ledgerwatch.operators.search_index import SearchIndex
+from ledgerwatch.plans.workspace import Workspace
+from ledgerwatch.session import shared_dir
 from ledgerwatch.sources import export
 
 _FINDINGS = (
@@ -56,11 +58,27 @@ def bundle_facts(w: Workspace) -> DataFrame:
     )
 
 
-def retrieved(w: Workspace, **attributes: str) -> DataFrame:
-    queries = w.alerts.select(retrieval.alert_query().alias("query_text")).distinct().withColumn("query_id", F.col("query_text"))
-    return retrieval.top_k_sections(queries, retrieval.of_kind(w.policy_docs, **attributes), ["section"]).select(
-        F.col("query_id").alias("query_text"), "section", "rank", "score"
-    )
+def retrieved(w: Workspace, index: SearchIndex | None = None, **attributes: str) -> DataFrame:
+    hits = (index or w.search_index).search(retrieval.alert_queries(w.alerts), retrieval.alert_vocabulary(), bounded=True, **attributes)
+    return hits.select(F.col("query_id").alias("query_text"), "section", "rank", "score")
+
+
+def refreshed_search(w: Workspace, batches: int = 3) -> DataFrame:
+    """The search over an index that was appended in batches.
+
+    Documents are dealt to the batches by a hash. Those of the first come there in an earlier edition
+    with other words and title, and in the last as they are.
+    """
+    index = SearchIndex(w.spark, shared_dir(w.spark, "search-refresh"))
+    part = F.pmod(F.xxhash64("section"), F.lit(batches))
+    for i in range(batches):
+        mine = w.policy_docs.where(part == i)
+        if i == 0:
+            mine = mine.withColumn("chunk_text", F.concat(F.lit("money mule filing "), F.reverse("chunk_text"))).withColumn("doc_title", F.lit("earlier"))
+        if i == batches - 1:
+            mine = mine.unionByName(w.policy_docs.where(part == 0))
+        index.append(mine, i)
+    return retrieved(w, index)
 
 
 def nearest_to_centre(w: Workspace) -> DataFrame:
@@ -73,7 +91,7 @@ def triage_run(w: Workspace, max_drafts: int = 3) -> DataFrame:
     requests = chosen.select(
         "alert_id", F.lit("task").alias("requested_by"), w.t.now.alias("requested_at"), F.lit(None).cast("string").alias("note")
     )
-    made = drafts.generate_drafts(requests, w.alerts, w.signals, w.transactions, w.policy_docs, w.t, DRAFT_SOURCES)
+    made = drafts.generate_drafts(requests, w.alerts, w.signals, w.transactions, w.search_index, w.t)
     return governance.triage_summary(chosen, made.cases, w.lcr_daily)
 
 
@@ -129,6 +147,7 @@ def register(reg: Registry) -> None:
         "FROM fraud_alerts a JOIN account_signals s ON s.account_id = a.account_id LEFT JOIN alert_txns x ON x.alert_id = a.alert_id GROUP BY ALL",
     )
     reg.add("e5", retrieved, "query_text; section; rank:i; score:d", "FROM library_hits")
+    reg.add("st2_search", refreshed_search, "query_text; section; rank:i; score:d", "FROM library_hits")
     reg.add("e5_domain", lambda w: retrieved(w, domain="AML"), "query_text; section; rank:i; score:d", "FROM domain_hits")
     reg.add(
         "e5_vectors", nearest_to_centre, "vec_id:i; cosine:d",

@@ -18,7 +18,8 @@ from ledgerwatch.functions.columns import whole_number
 from ledgerwatch.functions.windows import Anchor
 from ledgerwatch.functions.text import masked, ungrounded
 from ledgerwatch.operators.evidence import evidence_bundles
-from ledgerwatch.operators.retrieval import of_kind, alert_query, policy_hits
+from ledgerwatch.operators.retrieval import alert_query, policy_hits
+from ledgerwatch.operators.search_index import SearchIndex
 from ledgerwatch.sources.tables import SCHEMAS
 
 GENERATOR = "TEMPLATE_V1"
@@ -72,18 +73,17 @@ def case_id() -> Column:
 
 
 def generate_drafts(
-    requests: DataFrame, alerts: DataFrame, signals: DataFrame, transactions: DataFrame, policies: DataFrame, t: Anchor,
+    requests: DataFrame, alerts: DataFrame, signals: DataFrame, transactions: DataFrame, index: SearchIndex, t: Anchor,
     doc_types: list[str] | None = None,
 ) -> DraftResult:
     """``requests``: alert_id, requested_by, requested_at, note.
 
-    ``policies`` is the whole library; ``doc_types`` is the attribute filter of the search
+    ``index`` holds the whole library; ``doc_types`` is the attribute filter of the search
     (None: every document may be cited).
     """
-    policies = of_kind(policies, doc_type=doc_types)
     wanted = alerts.join(requests.select("alert_id").distinct(), "alert_id", "left_semi")
     bundles = evidence_bundles(wanted, signals, transactions, t).withColumn("query_text", alert_query())
-    grounded = bundles.join(policy_hits(wanted, policies), "query_text", "left").join(requests, "alert_id")
+    grounded = bundles.join(policy_hits(wanted, index, doc_type=doc_types), "query_text", "left").join(requests, "alert_id")
     cited = F.array_distinct(F.transform("red_flags", lambda f: F.concat(F.lit("["), f["policy"], F.lit("]"))))
     checked = (
         grounded.withColumn("text", narrative())

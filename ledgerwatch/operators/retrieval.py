@@ -1,15 +1,13 @@
-"""Ranking of policy text for a query: BM25 over tokens, cosine over vectors."""
+"""Ranking of policy text for alerts (BM25 over the search index) and of vectors (cosine)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.functions.text import tokens
 from ledgerwatch.operators.rules import RuleSet
-from ledgerwatch.session import stage_table
+from ledgerwatch.operators.search_index import SearchIndex
 
-K1, B = 1.2, 0.75
 SUFFIX = " STR filing narrative"
 TYPOLOGIES = ("AML_LAYERING", "MONEY_MULE", "SANCTIONS", "OTHER")
 
@@ -25,63 +23,15 @@ def alert_vocabulary(rules: RuleSet | None = None) -> list[str]:
     return sorted(set(text.lower().replace("_", " ").split()))
 
 
-def postings(docs: DataFrame, key: list[str], text: str, vocabulary: list[str]) -> DataFrame:
-    """(document, term, tf, document length) for the terms of a fixed vocabulary.
-
-    Terms are counted inside the row, so nothing is shuffled. Every document also has one
-    row with the empty term, which carries its length into the corpus statistics. ``key``
-    identifies a document.
-    """
-    found = tokens(F.col(text))
-    known = F.filter(found, lambda t: t.isin(*vocabulary))
-    counted = F.transform(F.array_distinct(known), lambda t: F.struct(t.alias("term"), F.size(F.filter(known, lambda x: x == t)).cast("bigint").alias("tf")))
-    length = F.struct(F.lit("").alias("term"), F.lit(1).cast("bigint").alias("tf"))
-    return docs.select(*key, F.size(found).alias("dl"), F.explode(F.array_append(counted, length)).alias("p")).select(*key, "dl", "p.term", "p.tf")
-
-
-def of_kind(docs: DataFrame, **attributes: str | list[str] | None) -> DataFrame:
-    """Documents with the given attribute values (domain, doc_type, section, doc_title); None leaves an attribute open."""
-    for name, wanted in attributes.items():
-        if wanted is not None:
-            docs = docs.where(F.col(name).isin([wanted] if isinstance(wanted, str) else wanted))
-    return docs
-
-
-def top_k_sections(
-    queries: DataFrame, docs: DataFrame, key: list[str], k: int = 6, vocabulary: list[str] | None = None, text: str = "chunk_text"
-) -> DataFrame:
-    """The k best documents per distinct query (query_id, query_text), by BM25.
-
-    Queries come from the rules: at most 4 typologies x 2^9 flag sets, each with the
-    words of ``vocabulary``. That bound is what allows the query weights to be
-    broadcast; only (query, document) scores move, reduced to k rows per query and
-    task by the rank filter. The postings are written when this is called, so that
-    documents are tokenised once for the statistics and the scores.
-    """
-    vocabulary = vocabulary or alert_vocabulary()
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    posted = stage_table(postings(docs, key, text, vocabulary), "postings")
-    frequency = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("mean_dl"))
-    corpus = frequency.agg(F.max(F.when(F.col("term") == "", F.struct(F.col("df").alias("n"), "mean_dl")))).scalar()
-    idf = F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = F.broadcast(terms.join(F.broadcast(frequency), "term").select("query_id", "term", idf.alias("idf")))  # bounded: see above
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / corpus["mean_dl"])
-    part = F.col("idf") * (F.col("tf") * F.lit(K1 + 1)) / (F.col("tf") + norm)
-    scored = (
-        posted.join(weights, "term")
-        .groupBy("query_id", *key)
-        .agg(F.round(F.sum(part), 6).alias("score"))
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), *key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+def alert_queries(alerts: DataFrame) -> DataFrame:
+    """The distinct queries of alerts: query_id, query_text; at most 4 typologies x 2^9 flag sets."""
+    return alerts.select(alert_query().alias("query_text")).distinct().select(F.col("query_text").alias("query_id"), "query_text")
 
 
-def policy_hits(alerts: DataFrame, docs: DataFrame, k: int = 6) -> DataFrame:
+def policy_hits(alerts: DataFrame, index: SearchIndex, k: int = 6, **attributes: str | list[str] | None) -> DataFrame:
     """Retrieved sections per distinct alert query: labels and context in rank order."""
-    queries = alerts.select(alert_query().alias("query_text")).distinct().select(
-        F.col("query_text").alias("query_id"), "query_text"
-    )
-    ranked = top_k_sections(queries, docs, ["section"], k).join(docs.select("section", "doc_title", "chunk_text"), "section")
+    ranked = index.search(alert_queries(alerts), alert_vocabulary(), k, bounded=True, **attributes)
+    ranked = ranked.join(index.texts(ranked), "section")
     entry = F.struct(
         "rank", "section",
         F.concat(F.lit("["), "section", F.lit("] ("), "doc_title", F.lit(") "), "chunk_text").alias("passage"),

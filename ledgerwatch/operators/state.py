@@ -65,6 +65,25 @@ def merge_snapshot(
     return joined.select(*[value(f.name, f.dataType).alias(f.name) for f in target.schema.fields])
 
 
+class BatchLog:
+    """Which batches are complete: one line per batch, written after all its folders.
+
+    The numbers, one per batch, come to the driver.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def committed(self) -> list[int]:
+        try:
+            return sorted(r.batch_id for r in self.spark.read.schema("batch_id bigint").json(f"{self.path}/*").distinct().collect())
+        except AnalysisException:  # nothing committed yet
+            return []
+
+    def commit(self, batch_id: int) -> None:
+        self.spark.range(batch_id, batch_id + 1, 1, 1).toDF("batch_id").write.mode("overwrite").json(f"{self.path}/{batch_id}")
+
+
 class SnapshotStore:
     """Versioned snapshots of one table under ``path``.
 

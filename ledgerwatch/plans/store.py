@@ -35,6 +35,13 @@ class CuratedStore:
             self._values[name] = build().first()[0]
         return self._values[name]
 
+    def folder(self, name: str, build: Callable[[str], object]):
+        """What ``build`` makes of a new folder, once per refresh."""
+        if name not in self._values:
+            self._versions[name] = self._versions.get(name, 0) + 1
+            self._values[name] = build(f"{self.root}/{name}/v{self._versions[name]}")
+        return self._values[name]
+
     def _write(self, name: str, df: DataFrame, partition: str | None) -> DataFrame:
         # a refresh writes a new folder: frames that still read the old one are not disturbed
         self._versions[name] = self._versions.get(name, 0) + 1

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions.windows import DATE_PARTITION, Anchor, fixed, latest, reference_time
 from ledgerwatch.operators import credit, drafts, evidence, governance, liquidity, network, rules, signals
+from ledgerwatch.operators.search_index import SearchIndex
 from ledgerwatch.plans.store import CuratedStore, session_store
+from ledgerwatch.session import shared_dir
 from ledgerwatch.sources import derived, derived_state
 
 STRESS_SCENARIOS = [
@@ -28,10 +30,6 @@ STRESS_SCENARIOS = [
 ]
 
 
-#: attribute filter of the search for drafts: what a filing may cite
-DRAFT_SOURCES = ["INTERNAL_POLICY", "REGULATION_SUMMARY"]
-
-
 class Workspace:
     def __init__(self, spark: SparkSession, data_dir: str, store: CuratedStore | None = None, as_of: dt.datetime | None = None):
         self.spark = spark
@@ -90,6 +88,17 @@ class Workspace:
     def policy_docs(self) -> DataFrame:
         return derived.policy_docs(self.spark, self.given("documents"))
 
+    @cached_property
+    def search_index(self) -> SearchIndex:
+        """The inverted index of the policy library; with a store it is built once per refresh."""
+
+        def build(path: str) -> SearchIndex:
+            index = SearchIndex(self.spark, path)
+            index.append(self.policy_docs, 0)
+            return index
+
+        return self.store.folder("search_index", build) if self.store else build(shared_dir(self.spark, "search-index"))
+
     @cached_property
     def policy_sections(self) -> DataFrame:
         return derived.policy_sections(self.spark)
@@ -163,7 +172,7 @@ class Workspace:
     @cached_property
     def drafts(self) -> drafts.DraftResult:
         return drafts.generate_drafts(
-            self.draft_requests, self.alerts, self.signals, self.transactions, self.policy_docs, self.t, DRAFT_SOURCES
+            self.draft_requests, self.alerts, self.signals, self.transactions, self.search_index, self.t
         )
 
     @cached_property

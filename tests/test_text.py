@@ -1,7 +1,7 @@
-"""Citation check, masking, tokens, ranking."""
+"""Citation check, masking, nearest vectors."""
 
 import math
-import re
+
 
 from pyspark.sql import functions as F
 
@@ -45,42 +45,6 @@ def test_masking_longest_first(spark):
     assert df.select(masked(F.col("t"), F.array().cast("array<string>"))).first()[0] == "Rule 12 and Rule 1 and [X 1]"
 
 
-DOCS = {
-    "d1": "Structuring of cash. Cash deposits, cash!", "d2": "money mule mule device", "d3": "nothing of interest here at all",
-    "d4": "Filing of an STR: the narrative of the STR", "d5": "",
-}
-
-
-def test_ranking_matches_brute_force(spark):
-    vocabulary = ["cash", "mule", "str", "filing", "narrative", "structuring", "money"]
-    queries = {"q1": "STRUCTURING cash STR filing narrative", "q2": "MONEY_MULE str"}
-    docs = spark.createDataFrame(list(DOCS.items()), "section string, chunk_text string")
-    qs = spark.createDataFrame(list(queries.items()), "query_id string, query_text string")
-    got = {(r.query_id, r.section): (r["rank"], r.score) for r in retrieval.top_k_sections(qs, docs, ["section"], 2, vocabulary).collect()}
-
-    toks = {d: [w for w in re.split("[^a-z0-9]+", t.lower()) if w] for d, t in DOCS.items()}
-    n, avg = len(toks), sum(map(len, toks.values())) / len(toks)
-    want = {}
-    for q, text in queries.items():
-        terms = {w for w in re.split("[^a-z0-9]+", text.lower()) if w}
-        scores = {}
-        for d, ws in toks.items():
-            for t in terms:
-                df = sum(t in x for x in toks.values())
-                tf = ws.count(t)
-                if tf:
-                    scores[d] = scores.get(d, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / avg))
-        for i, (d, s) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0]))[:2], start=1):
-            want[(q, d)] = (i, round(s, 6))
-    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
-    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
-
-
-def test_vocabulary_covers_every_alert_query():
-    words = set(retrieval.alert_vocabulary())
-    assert {"aml", "mule", "dormant", "burst", "ip", "str", "narrative", "or", "pep"} <= words
-
-
 def test_nearest_vectors(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 3.0]), (4, [-1.0, 0.0])], "vec_id bigint, embedding array<float>")
     rows = retrieval.nearest_vectors(corpus, F.array(F.lit(2.0), F.lit(0.0)), 3).collect()
