@@ -56,7 +56,7 @@ def register(reg: Registry) -> None:
         "FROM near_cash",
     )
     reg.add(
-        "s5", lambda w: cycles.round_trips(w.transactions, w.t), "account_id; round_trip_cycles_7d:i; round_trip_amt:d; round_trip_ring:a", "FROM rt"
+        "s5", lambda w: cycles.round_trips(w.rings), "account_id; round_trip_cycles_7d:i; round_trip_amt:d; round_trip_ring:a", "FROM rt"
     )
     reg.add(
         "s6", lambda w: signals.best_watchlist_hit(w.watchlist),
@@ -83,7 +83,7 @@ def register(reg: Registry) -> None:
     )
 
     reg.add(
-        "n1", lambda w: cycles.cycles(w.transactions, w.t), "a1; a2; a3; n AS cycles:i; amt:d; concat_ws('>', a1, a2, a3) AS ring", "FROM loops",
+        "n1", lambda w: w.rings, "a1; a2; a3; n AS cycles:i; amt:d; concat_ws('>', a1, a2, a3) AS ring", "FROM loops",
     )
     reg.add("n2", lambda w: w.flows, _EDGE, "FROM network_graph WHERE link_type = 'TRANSACTION_FLOW'")
     reg.add("n3", lambda w: network.device_edges(w.device_use), _EDGE, "FROM network_graph WHERE link_type <> 'TRANSACTION_FLOW'")

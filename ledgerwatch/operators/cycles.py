@@ -204,14 +204,12 @@ def _blocks(timeline: DataFrame) -> DataFrame:
     )
 
 
-def cycles(transactions: DataFrame, t: Anchor, stage_dir: str | None = None) -> DataFrame:
-    """Rings with their number of cycles and the largest first amount.
+def count_cycles(walks: DataFrame, big: DataFrame, stage_dir: str | None = None) -> DataFrame:
+    """Rings among the walks with their number of cycles and the largest first amount.
 
-    Three intermediate results are written when this is called, each used by several
-    branches after it: the large transfers, the walks, the transfers on the walks.
+    ``big`` holds at least the transfers on the walks. Those are written when this is called, as
+    several branches use them.
     """
-    big = stage_table(large_transfers(transactions, t), "large-transfers", stage_dir)
-    walks = stage_table(possible_walks(closed_walks(big.select("src", "dst").distinct()), big), "walks", stage_dir)
     blocks = _blocks(_timeline(stage_table(_legs(walks, big), "legs", stage_dir)))
     amount_bucket = F.floor(F.log(F.col("value").cast("double")) * AMOUNT_BUCKETS)
     summed = running_sums(blocks, [*WALK, "level", "block"], amount_bucket, ["value", "pos"], ["n", "nf"])
@@ -233,11 +231,20 @@ def cycles(transactions: DataFrame, t: Anchor, stage_dir: str | None = None) ->
     )
 
 
-def round_trips(transactions: DataFrame, t: Anchor, stage_dir: str | None = None) -> DataFrame:
+def cycles(transactions: DataFrame, t: Anchor, stage_dir: str | None = None) -> DataFrame:
+    """Rings of the last seven days with their number of cycles and the largest first amount.
+
+    Large transfers and walks are written when this is called.
+    """
+    big = stage_table(large_transfers(transactions, t), "large-transfers", stage_dir)
+    walks = stage_table(possible_walks(closed_walks(big.select("src", "dst").distinct()), big), "walks", stage_dir)
+    return count_cycles(walks, big, stage_dir)
+
+
+def round_trips(rings: DataFrame) -> DataFrame:
     """Per account: cycles it takes part in, largest amount, the rings."""
     return (
-        cycles(transactions, t, stage_dir)
-        .withColumn("account_id", F.explode(F.array(*WALK)))
+        rings.withColumn("account_id", F.explode(F.array(*WALK)))
         .groupBy("account_id")
         .agg(
             F.sum("cycles").alias("round_trip_cycles_7d"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions.columns import days, hours
 from ledgerwatch.functions.windows import Anchor, latest, since
-from ledgerwatch.operators.cycles import round_trips
+from ledgerwatch.operators.cycles import cycles, round_trips
 
 WINDOW_HOURS = 48
 CASH_DAYS = 10
@@ -84,20 +84,20 @@ def account_signals(
     watchlist: DataFrame,
     t: Anchor | None = None,
     last_activity: DataFrame | None = None,
-    stage_dir: str | None = None,
+    rings: DataFrame | None = None,
 ) -> DataFrame:
     """One row of signals per deposit account.
 
     ``t`` is the reference time (default: the latest transaction);
     ``last_activity`` replaces the scan of the whole history by a maintained
-    per-account summary (see ``streaming.refresh``); ``stage_dir`` is the folder for
-    intermediate tables of a job that runs repeatedly.
+    per-account summary (see ``streaming.refresh``), ``rings`` the search for cycles by a
+    kept table of them.
     """
     t = t or latest(transactions)
     window = activity_48h(transactions, t)
     prior = last_activity if last_activity is not None else last_activity_before(transactions, t)
     cash = near_threshold_cash(transactions, t)
-    rings = round_trips(transactions, t, stage_dir)
+    trips = round_trips(cycles(transactions, t) if rings is None else rings)
 
     profile = (
         accounts.where(F.col("account_type") != "LOAN")
@@ -115,7 +115,7 @@ def account_signals(
         profile.join(prior, "account_id", "left")
         .join(window, "account_id", "left")
         .join(cash, "account_id", "left")
-        .join(rings, "account_id", "left")
+        .join(trips, "account_id", "left")
         .withColumn("signal_as_of", t.now)
     )
 

@@ -3,7 +3,8 @@
 The built-in file formats have no MERGE, so each operator is a function from the
 old state and a change set to the new state. ``SnapshotStore`` publishes a new
 state as a version folder plus one line in a commit log; a reader sees the last
-committed version, and committing a batch again is a no-op.
+committed version, and committing a batch again is a no-op. ``BucketTable`` does the same per
+bucket of a key, for tables of which a batch changes a small part.
 """
 
 from __future__ import annotations
@@ -120,3 +121,59 @@ class SnapshotStore:
         state.write.mode("overwrite").parquet(f"{self.path}/{slot}")
         line = self.spark.createDataFrame([(batch_id, slot)], self._log_schema)
         line.coalesce(1).write.mode("overwrite").json(f"{self.path}/_commits/{slot}")
+
+
+class BucketTable:
+    """A keyed table in folders by a hash of the key; a batch rewrites only the buckets it touches.
+
+    A batch writes the new content of its buckets to a folder of its own. The commit line of a
+    batch says for every bucket which batch wrote it last, so a reader opens just the buckets
+    it asks for, and the table as of an earlier batch is one more lookup. Of the commit lines the
+    last ``KEPT`` stay. The number of buckets is chosen so that one fits a task well; a
+    bucket of many rows is written as several files.
+    """
+
+    KEPT = 64
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], buckets: int = 32):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets of the keys of ``rows``: at most ``buckets`` numbers."""
+        return sorted(r[0] for r in rows.select(self.bucket()).distinct().collect())
+
+    def places(self, as_of: int | None = None) -> dict[int, int]:
+        """Bucket -> the batch that wrote it last, up to the batch ``as_of``; empty buckets are left out."""
+        try:
+            lines = self.spark.read.schema("batch_id bigint, places map<string,bigint>").json(f"{self.path}/_commits/*")
+            lines = lines if as_of is None else lines.where(F.col("batch_id") <= as_of)
+            last = lines.orderBy(F.desc("batch_id")).limit(1).collect()
+        except AnalysisException:  # nothing committed yet
+            last = []
+        return {int(b): k for b, k in last[0].places.items()} if last else {}
+
+    def committed(self, batch_id: int) -> bool:
+        try:
+            return not self.spark.read.schema("batch_id bigint").json(f"{self.path}/_commits/*").where(F.col("batch_id") >= batch_id).isEmpty()
+        except AnalysisException:
+            return False
+
+    def read(self, buckets: list[int] | None = None, as_of: int | None = None) -> DataFrame:
+        paths = [f"{self.path}/batch_id={k}/bucket={b}" for b, k in sorted(self.places(as_of).items()) if buckets is None or b in buckets]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def replace(self, rows: DataFrame, touched: list[int], batch_id: int) -> None:
+        """``rows`` are from now on all rows of the ``touched`` buckets; a committed batch is left as it is."""
+        if self.committed(batch_id):
+            return
+        places = self.places()
+        folder = f"{self.path}/batch_id={batch_id}"
+        rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        held = self.spark.read.schema(f"{self.schema}, bucket int").parquet(folder).select("bucket").distinct()  # names of folders
+        here = {r[0] for r in held.collect()}
+        places = {b: k for b, k in places.items() if b not in touched} | {b: batch_id for b in here}
+        line = self.spark.createDataFrame([(batch_id, {str(b): k for b, k in places.items()})], "batch_id bigint, places map<string,bigint>")
+        line.coalesce(1).write.mode("overwrite").json(f"{self.path}/_commits/{batch_id % self.KEPT}")

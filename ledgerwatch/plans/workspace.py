@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions.windows import DATE_PARTITION, Anchor, fixed, latest, reference_time
-from ledgerwatch.operators import credit, drafts, evidence, governance, liquidity, network, rules, signals
+from ledgerwatch.operators import credit, cycles, drafts, evidence, governance, liquidity, network, rules, signals
 from ledgerwatch.operators.search_index import SearchIndex
 from ledgerwatch.plans.store import CuratedStore, session_store
 from ledgerwatch.session import shared_dir
@@ -123,8 +123,13 @@ class Workspace:
             return latest(self.transactions)
         return fixed(self.spark, self.store.value("clock", lambda: reference_time(self.transactions)))
 
+    @cached_property
+    def rings(self) -> DataFrame:
+        """Fund-flow cycles of the last seven days, one row per ring."""
+        return self._stored("rings", lambda: cycles.cycles(self.transactions, self.t))
+
     def compute_signals(self) -> DataFrame:
-        return signals.account_signals(self.accounts, self.customers, self.transactions, self.watchlist, self.t)
+        return signals.account_signals(self.accounts, self.customers, self.transactions, self.watchlist, self.t, rings=self.rings)
 
     @cached_property
     def signals(self) -> DataFrame:

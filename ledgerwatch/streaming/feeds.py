@@ -12,6 +12,7 @@ from ledgerwatch.plans.workspace import Workspace
 from ledgerwatch.session import shared_dir
 from ledgerwatch.sources import derived
 from ledgerwatch.streaming.refresh import AlertRefresh
+from ledgerwatch.streaming.rings import RingState
 from ledgerwatch.streaming.windows import window_parts, window_totals
 
 SLIDE_HOURS = 12
@@ -77,6 +78,20 @@ def refreshed_findings(w: Workspace) -> DataFrame:
     )
 
 
+def refreshed_rings(w: Workspace, batches: int = 3) -> DataFrame:
+    """Rings after a delta refresh in batches; a hash deals the transactions, so every batch has late rows."""
+    rings = RingState(w.spark, shared_dir(w.spark, "ring-refresh"))
+    part, before = F.pmod(F.xxhash64("txn_id"), F.lit(batches)), None
+    for i in range(batches):
+        rows = w.transactions.where(part == i)
+        newest = rows.agg(F.max("txn_ts")).first()[0]
+        t = max((x for x in (newest, before) if x is not None), default=None)
+        if t is not None:
+            rings.update(rows, i, t, before)
+            before = t
+    return rings.rings.read()
+
+
 def event_slices(w: Workspace, root: str, n: int = 3) -> str:
     """The events cut into ``n`` files by a hash, so that each file has early and late rows."""
     w.given("events").repartition(n, F.pmod(F.xxhash64("event_id"), F.lit(n))).write.mode("overwrite").parquet(f"{root}/in")

@@ -4,13 +4,15 @@ State per run folder, all of it written tables (nothing lives in executors):
 
 * ``transactions``: by day and batch; a batch replaces only its own folders;
 * ``activity``: last transaction per account among days that left the ten-day span;
-* ``alerts`` and ``evidence``: one folder per batch;
-* ``findings``: versioned snapshots;
+* ``rings``: large transfers and cycles, changed by what a batch touches (``streaming.rings``);
+* ``alerts``: one folder per batch;
+* ``findings`` and ``evidence``: dealt by alert into the same buckets, of which a batch reads and
+  rewrites those of its alerts;
 * ``clock``: reference time and the first day still scanned; written last, so its
   entry marks a finished batch.
 
-A batch reads the days of the last ten days, the small activity table and the
-latest findings, whatever the length of the history. Running a batch again writes
+A batch reads the days of the last ten days, the small activity table and its buckets
+of findings and evidence, whatever the length of the history. Running a batch again writes
 the same folders and changes nothing. A late row counts if it falls in a window or
 is older than it; nothing is dropped.
 """
@@ -27,8 +29,9 @@ from ledgerwatch.functions.windows import fixed
 from ledgerwatch.operators.evidence import new_evidence, upsert_findings
 from ledgerwatch.operators.rules import fraud_alerts
 from ledgerwatch.operators.signals import WINDOW_HOURS, account_signals
-from ledgerwatch.operators.state import SnapshotStore
-from ledgerwatch.sources.tables import SCHEMAS, empty_table
+from ledgerwatch.operators.state import BucketTable, SnapshotStore
+from ledgerwatch.sources.tables import SCHEMAS
+from ledgerwatch.streaming.rings import RingState
 
 SPAN_DAYS = 10
 
@@ -36,11 +39,13 @@ SPAN_DAYS = 10
 class AlertRefresh:
     """Use as ``stream.writeStream.foreachBatch(AlertRefresh(...))``."""
 
-    def __init__(self, spark: SparkSession, root: str, accounts: DataFrame, customers: DataFrame, watchlist: DataFrame):
+    def __init__(self, spark: SparkSession, root: str, accounts: DataFrame, customers: DataFrame, watchlist: DataFrame, buckets: int = 32):
         self.spark, self.root = spark, root.rstrip("/")
         self.accounts, self.customers, self.watchlist = accounts, customers, watchlist
         self.activity = SnapshotStore(spark, f"{self.root}/activity", "account_id string, last_ts timestamp_ntz")
-        self.findings = SnapshotStore(spark, f"{self.root}/findings", SCHEMAS["risk_findings"])
+        self.rings = RingState(spark, f"{self.root}/rings")
+        self.findings = BucketTable(spark, f"{self.root}/findings", SCHEMAS["risk_findings"], ["alert_id"], buckets)
+        self.evidence = BucketTable(spark, f"{self.root}/evidence", SCHEMAS["risk_evidence"], ["alert_id"], buckets)
         self.clock = SnapshotStore(spark, f"{self.root}/clock", "t timestamp_ntz, scanned_from date")
 
     def transactions(self, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
@@ -56,13 +61,6 @@ class AlertRefresh:
         except AnalysisException:  # no rows on these days
             return self.spark.createDataFrame([], schema)
 
-    def evidence(self, before: int | None = None) -> DataFrame:
-        try:
-            rows = self.spark.read.schema(SCHEMAS["risk_evidence"] + ", batch_id bigint").parquet(f"{self.root}/evidence")
-        except AnalysisException:  # no batch has written evidence yet
-            return empty_table(self.spark, "risk_evidence")
-        return (rows if before is None else rows.where(F.col("batch_id") < before)).drop("batch_id")
-
     def alerts(self, batch_id: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/alerts/batch_id={batch_id}")
 
@@ -93,16 +91,18 @@ class AlertRefresh:
         scanned_from = (t - dt.timedelta(days=SPAN_DAYS)).date()
         self._fold_activity(rows, batch_id, before.scanned_from if before else scanned_from, scanned_from)
 
+        rings = self.rings.update(rows, batch_id, t, before.t if before else None)
         recent = self.transactions(scanned_from, t.date())
         signals = account_signals(
             self.accounts, self.customers, recent, self.watchlist, t=fixed(self.spark, t),
-            last_activity=self._last_activity(recent, t), stage_dir=f"{self.root}/stage",
+            last_activity=self._last_activity(recent, t), rings=rings,
         )
         fraud_alerts(signals).write.mode("overwrite").parquet(f"{self.root}/alerts/batch_id={batch_id}")
         alerts = self.alerts(batch_id)
-        self.findings.commit(upsert_findings(self.findings.read(), alerts), batch_id)
-        found = new_evidence(self.evidence(before=batch_id), alerts, self.findings.read())
-        found.write.mode("overwrite").parquet(f"{self.root}/evidence/batch_id={batch_id}")
+        buckets = self.findings.touched(alerts)
+        self.findings.replace(upsert_findings(self.findings.read(buckets), alerts), buckets, batch_id)
+        seen = self.evidence.read(buckets)
+        self.evidence.replace(seen.unionByName(new_evidence(seen, alerts, self.findings.read(buckets))), buckets, batch_id)
         self.clock.commit(self.spark.createDataFrame([(t, scanned_from)], self.clock.schema), batch_id)
 
     def _fold_activity(self, rows: DataFrame, batch_id: int, was_from: dt.date, scanned_from: dt.date) -> None:

@@ -81,7 +81,7 @@ def test_round_trips_count_every_member(spark):
         ("C", "A", start + dt.timedelta(hours=3), "2100000.00"),
     ]
     df = spark.createDataFrame(rows_of(transfers), SCHEMAS["transactions"])
-    got = {r.account_id: r for r in round_trips(df, fixed(spark, T0)).collect()}
+    got = {r.account_id: r for r in round_trips(cycles(df, fixed(spark, T0))).collect()}
     assert set(got) == {"A", "B", "C"}
     assert all(r.round_trip_cycles_7d == 2 and r.round_trip_ring == ["A>B>C"] for r in got.values())
 

@@ -43,9 +43,9 @@ def test_final_state_equals_batch(spark, workspace, run):
     assert values(current) == values(want)
     assert refresh.clock.read().first().t == sb.T0
     keys = ["finding_id", "evidence_type"]
-    seen = {tuple(r) for r in refresh.evidence().select(keys).collect()}
+    seen = {tuple(r) for r in refresh.evidence.read().select(keys).collect()}
     assert {tuple(r) for r in evidence_rows(alerts, want).select(keys).collect()} <= seen
-    assert refresh.evidence().count() == len(seen)  # nothing twice
+    assert refresh.evidence.read().count() == len(seen)  # nothing twice
 
 
 def test_last_activity_equals_full_history(workspace, run):
@@ -58,9 +58,9 @@ def test_last_activity_equals_full_history(workspace, run):
 
 def test_a_repeated_batch_changes_nothing(spark, run):
     refresh, src, _ = run
-    before, n = values(refresh.findings.read()), refresh.evidence().count()
+    before, n = values(refresh.findings.read()), refresh.evidence.read().count()
     refresh(spark.read.schema(SCHEMAS["transactions"]).parquet(src), 1)
-    assert values(refresh.findings.read()) == before and refresh.evidence().count() == n
+    assert values(refresh.findings.read()) == before and refresh.evidence.read().count() == n
 
 
 def test_feed_moves_the_windows_and_findings_stay(spark, run):
