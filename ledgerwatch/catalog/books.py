@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerwatch.catalog.registry import Registry
 from ledgerwatch.operators import credit, liquidity
 
-_LCR = (
+LCR_COLUMNS = (
     "as_of_date:y; l1_hqla:d; l2a_hqla_post_haircut:d; l2b_hqla_post_haircut:d; hqla_stock:d; gross_outflows:d; capped_inflows:d; "
     "net_cash_outflows_30d:d; lcr_pct:d; net_out_1_7d:d; net_out_8_14d:d; net_out_15_30d:d; lcr_stress_s1_pct:d; lcr_status"
 )
@@ -54,7 +54,7 @@ def register(reg: Registry) -> None:
         "as_of_date:y; outflows:d; inflows_raw:d; retail_deposits:d; retail_balance:d; wholesale_residual:d; net_1_7:d; net_8_14:d; net_15_30:d",
         "FROM cf",
     )
-    reg.add("q4", lambda w: w.compute_lcr(), _LCR, "FROM lcr_daily")
+    reg.add("q4", lambda w: w.compute_lcr(), LCR_COLUMNS, "FROM lcr_daily")
     reg.add("q5", lambda w: w.lcr_daily.select("as_of_date", "lcr_pct", "lcr_stress_s1_pct"), "as_of_date:y; lcr_pct:d; lcr_stress_s1_pct:d", "FROM lcr_daily")
     reg.add(
         "q6", lambda w: liquidity.stress(w.stress_scenarios, w.hqla_holdings, w.cashflow_positions),

@@ -19,6 +19,11 @@ def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> Data
     return new.join(target.select(keys), keys, "left_anti")
 
 
+def merge_by_key(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``new``, and those of ``target`` whose key is not among them."""
+    return target.join(new.select(keys), keys, "left_anti").select(target.columns).unionByName(new.select(target.columns))
+
+
 def joined_update(target: DataFrame, source: DataFrame, on: list[str], set_: dict[str, Column]) -> DataFrame:
     """UPDATE target SET ... FROM source: rows with a match take the new values.
 

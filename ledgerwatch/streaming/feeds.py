@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructType
 
 from ledgerwatch.plans.workspace import Workspace
 from ledgerwatch.session import shared_dir
 from ledgerwatch.sources import derived
+from ledgerwatch.sources.tables import SCHEMAS
+from ledgerwatch.streaming.books import CoverageRefresh, LoanRefresh
 from ledgerwatch.streaming.refresh import AlertRefresh
 from ledgerwatch.streaming.rings import RingState
-from ledgerwatch.streaming.windows import window_parts, window_totals
+from ledgerwatch.streaming.windows import pane_totals, window_totals
 
 SLIDE_HOURS = 12
 
@@ -92,21 +95,63 @@ def refreshed_rings(w: Workspace, batches: int = 3) -> DataFrame:
     return rings.rings.read()
 
 
-def event_slices(w: Workspace, root: str, n: int = 3) -> str:
-    """The events cut into ``n`` files by a hash, so that each file has early and late rows."""
-    w.given("events").repartition(n, F.pmod(F.xxhash64("event_id"), F.lit(n))).write.mode("overwrite").parquet(f"{root}/in")
-    return f"{root}/in"
+def states_as_of(w: Workspace, early: dt.datetime, held_back: str) -> DataFrame:
+    """Findings, with their evidence counted, as of two times of one refresh.
 
+    The second batch holds what happened from ``early`` on, and rows of before that come late: those whose id ends in ``held_back``.
+    """
+    refresh = AlertRefresh(w.spark, shared_dir(w.spark, "as-of"), w.accounts, w.customers, w.watchlist)
+    rows, first = w.transactions.select(StructType.fromDDL(SCHEMAS["transactions"]).names), (F.col("txn_ts") < F.lit(early)) & ~F.col("txn_id").endswith(held_back)
+    refresh(rows.where(first), 0)
+    refresh(rows.where(~first), 1)
 
-def sliding_activity(w: Workspace, slices: int = 3) -> DataFrame:
-    """48-hour sliding activity over the event stream (user as account, value as amount), one file per batch."""
+    def seen(name: str, when: dt.datetime) -> DataFrame:
+        state = refresh.as_of(when)
+        counted = state.evidence.groupBy("finding_id").agg(F.count(F.lit(1)).alias("n_evidence"))
+        rings = state.rings.agg(F.count(F.lit(1))).scalar()
+        return state.findings.join(counted, "finding_id", "left").select(
+            F.lit(name).alias("state"), "finding_id", "alert_id", "severity", "risk_score", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), rings.alias("rings")
+        )
+
+    return seen("EARLY", early).unionByName(seen("LATE", dt.datetime(9999, 1, 1)))
+
+
+def refreshed_coverage(w: Workspace, batches: int = 3) -> DataFrame:
+    """Daily coverage after a refresh in batches; a hash deals the positions of a day to the batches."""
+    refresh = CoverageRefresh(w.spark, shared_dir(w.spark, "coverage-refresh"))
+    for i in range(batches):
+        mine = lambda rows: rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(batches)) == i)  # noqa: B023, E731
+        refresh.update(i, hqla_holdings=mine(w.hqla_holdings), cashflow_positions=mine(w.cashflow_positions))
+    return refresh.coverage()
+
+
+def refreshed_loans(w: Workspace, batches: int = 3) -> DataFrame:
+    """Loan warnings after a refresh in batches: the first holds earlier editions of some loans, the last all of these as they are."""
+    refresh, part = LoanRefresh(w.spark, shared_dir(w.spark, "loan-refresh"), w.customers), F.pmod(F.xxhash64("loan_id"), F.lit(batches))
+    for i in range(batches):
+        rows = w.loans.where(part == i)
+        if i == 0:
+            rows = rows.withColumns({"dpd": F.col("dpd") + 45, "bureau_score": F.lit(500)})
+        if i == batches - 1:
+            rows = rows.unionByName(w.loans.where(part == 0))
+        refresh.update(rows, i)
+    return refresh.warnings.read()
+
+
+def sliding_activity(w: Workspace, events: str | None = None, max_files: int = 100) -> DataFrame:
+    """48-hour sliding activity over the event stream (user as account, value as amount).
+
+    ``events``: another folder of event files; ``max_files`` of them make a batch.
+    """
     root = shared_dir(w.spark, "sliding")
-    stream = table_stream(w.spark, event_slices(w, root, slices), w.given("events").schema, max_files=1).select(
+    schema = w.given("events").schema
+    stream = table_stream(w.spark, events, schema, max_files) if events else given_stream(w, "events")
+    stream = stream.select(
         F.expr("concat('ACC', lpad(CAST(user_id AS STRING), greatest(7, length(CAST(user_id AS STRING))), '0'))").alias("account_id"),
         F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("decimal(18,2)").alias("amount"), "event_type",
     )
-    parts = lambda batch: window_parts(batch, "account_id", "ts", "amount", "event_type", slide=f"{SLIDE_HOURS} hours")
-    write = land(f"{root}/windows")
-    run_to_end(stream, lambda batch, batch_id: write(parts(batch), batch_id), f"{root}/_checkpoint")
-    schema = "account_id string, window_start timestamp, kind string, n bigint, amount decimal(28,2), batch_id bigint"
-    return window_totals(w.spark.read.schema(schema).parquet(f"{root}/windows"), "account_id")
+    slide = f"{SLIDE_HOURS} hours"
+    write = land(f"{root}/panes")
+    run_to_end(stream, lambda batch, batch_id: write(pane_totals(batch, "account_id", "ts", "amount", "event_type", slide), batch_id), f"{root}/_checkpoint")
+    panes = w.spark.read.schema("account_id string, pane timestamp, kind string, n bigint, amount decimal(28,2), batch_id bigint").parquet(f"{root}/panes")
+    return window_totals(panes, "account_id", slide=slide)

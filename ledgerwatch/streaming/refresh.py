@@ -8,6 +8,7 @@ State per run folder, all of it written tables (nothing lives in executors):
 * ``alerts``: one folder per batch;
 * ``findings`` and ``evidence``: dealt by alert into the same buckets, of which a batch reads and
   rewrites those of its alerts;
+* ``times``: the reference time of every batch, for reads as of an earlier time;
 * ``clock``: reference time and the first day still scanned; written last, so its
   entry marks a finished batch.
 
@@ -20,6 +21,7 @@ is older than it; nothing is dropped.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,18 @@ from ledgerwatch.streaming.rings import RingState
 SPAN_DAYS = 10
 
 
+@dataclass(frozen=True)
+class KeptState:
+    """All kept tables as one batch left them."""
+
+    batch_id: int
+    t: dt.datetime
+    alerts: DataFrame
+    rings: DataFrame
+    findings: DataFrame
+    evidence: DataFrame
+
+
 class AlertRefresh:
     """Use as ``stream.writeStream.foreachBatch(AlertRefresh(...))``."""
 
@@ -46,6 +60,7 @@ class AlertRefresh:
         self.rings = RingState(spark, f"{self.root}/rings")
         self.findings = BucketTable(spark, f"{self.root}/findings", SCHEMAS["risk_findings"], ["alert_id"], buckets)
         self.evidence = BucketTable(spark, f"{self.root}/evidence", SCHEMAS["risk_evidence"], ["alert_id"], buckets)
+        self.times = SnapshotStore(spark, f"{self.root}/times", "batch_id bigint, t timestamp_ntz")
         self.clock = SnapshotStore(spark, f"{self.root}/clock", "t timestamp_ntz, scanned_from date")
 
     def transactions(self, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
@@ -64,6 +79,17 @@ class AlertRefresh:
     def alerts(self, batch_id: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/alerts/batch_id={batch_id}")
 
+    def as_of(self, when: dt.datetime) -> KeptState:
+        """Every kept table as the last batch with a reference time up to ``when`` left it.
+
+        One batch for all tables, so that they belong together; a later batch with late rows does not show.
+        """
+        last = self.times.read().where(F.col("t") <= F.lit(when)).orderBy(F.desc("batch_id")).first()
+        if last is None:
+            raise ValueError(f"nothing was refreshed up to {when}")
+        k = last.batch_id
+        return KeptState(k, last.t, self.alerts(k), self.rings.rings.read(as_of=k), self.findings.read(as_of=k), self.evidence.read(as_of=k))
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if self.clock.committed(batch_id):
             return
@@ -103,6 +129,7 @@ class AlertRefresh:
         self.findings.replace(upsert_findings(self.findings.read(buckets), alerts), buckets, batch_id)
         seen = self.evidence.read(buckets)
         self.evidence.replace(seen.unionByName(new_evidence(seen, alerts, self.findings.read(buckets))), buckets, batch_id)
+        self.times.commit(self.times.read().unionByName(self.spark.createDataFrame([(batch_id, t)], self.times.schema)), batch_id)
         self.clock.commit(self.spark.createDataFrame([(t, scanned_from)], self.clock.schema), batch_id)
 
     def _fold_activity(self, rows: DataFrame, batch_id: int, was_from: dt.date, scanned_from: dt.date) -> None:

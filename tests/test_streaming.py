@@ -11,6 +11,7 @@ from ledgerwatch.operators.evidence import evidence_rows, upsert_findings
 from ledgerwatch.sources.tables import SCHEMAS, empty_table
 from ledgerwatch.streaming import feeds
 from ledgerwatch.streaming.refresh import AlertRefresh
+from ledgerwatch.streaming.windows import pane_totals, window_totals
 
 
 @pytest.fixture(scope="module")
@@ -85,7 +86,26 @@ def test_repeated_ids_can_be_dropped(spark, tmp_path):
     assert sorted(r.txn_id for r in spark.read.parquet(out).collect()) == ["x", "y"]
 
 
-def test_sliding_windows_do_not_depend_on_the_batches(workspace):
-    """One, three and ten files, one file per batch."""
-    rows = [sorted(tuple(r) for r in feeds.sliding_activity(workspace, n).collect()) for n in (1, 3, 10)]
-    assert rows[0] and rows[0] == rows[1] == rows[2]
+def test_sliding_windows_do_not_depend_on_the_batches(workspace, tmp_path):
+    """The given file, and the same events in four files of early and late rows, one file per batch."""
+    src = str(tmp_path / "in")
+    workspace.given("events").repartition(4, F.pmod(F.xxhash64("event_id"), F.lit(4))).write.parquet(src)
+    rows = [sorted(tuple(r) for r in feeds.sliding_activity(workspace, *how).collect()) for how in ((), (src, 1))]
+    assert rows[0] and rows[0] == rows[1]
+
+
+def test_panes_equal_brute_force(spark):
+    """Windows of 4 panes; at most one pane row per event."""
+    events = [("A", m, k, a) for m, k, a in ((0, "x", 5), (1, "x", 7), (16, "y", 1), (44, "x", 2), (200, "x", 9), (215, "y", 3), (1000, "x", 4))] + [("B", 59, "y", 6)]
+    base = dt.datetime(2026, 9, 1)
+    rows = spark.createDataFrame([(u, base + dt.timedelta(minutes=m), k, a) for u, m, k, a in events], "u string, ts timestamp, kind string, a bigint")
+    panes = pane_totals(rows, "u", "ts", "a", "kind", "15 minutes")
+    assert panes.count() == 7 <= len(events)
+    got = {(r.u, r.window_start): (r.txn_count, r.amount, r.distinct_types) for r in window_totals(panes, "u", "60 minutes", "15 minutes").collect()}
+    want = {}
+    for u in "AB":
+        for i in range(-4, 80):
+            inside = [e for e in events if e[0] == u and 15 * i <= e[1] < 15 * i + 60]
+            if inside:
+                want[u, base + dt.timedelta(minutes=15 * i)] = (len(inside), sum(e[3] for e in inside), len({e[2] for e in inside}))
+    assert got == want
