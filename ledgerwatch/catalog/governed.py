@@ -86,13 +86,23 @@ def nearest_to_centre(w: Workspace) -> DataFrame:
     return retrieval.nearest_vectors(corpus, retrieval.centroid(corpus).scalar(), 10)
 
 
-def triage_run(w: Workspace, max_drafts: int = 3) -> DataFrame:
+def _triage(w: Workspace, max_drafts: int) -> tuple[DataFrame, DataFrame]:
+    """What a run chooses, and the cases that it drafts."""
     chosen = governance.triage_selection(w.alerts, w.cases, max_drafts)
     requests = chosen.select(
         "alert_id", F.lit("task").alias("requested_by"), w.t.now.alias("requested_at"), F.lit(None).cast("string").alias("note")
     )
-    made = drafts.generate_drafts(requests, w.alerts, w.signals, w.transactions, w.search_index, w.t)
-    return governance.triage_summary(chosen, made.cases, w.lcr_daily)
+    return chosen, drafts.generate_drafts(requests, w.alerts, w.signals, w.transactions, w.search_index, w.t).cases
+
+
+def triage_run(w: Workspace, max_drafts: int = 3) -> DataFrame:
+    chosen, cases = _triage(w, max_drafts)
+    return governance.triage_summary(chosen, cases, w.lcr_daily)
+
+
+def triage_record(w: Workspace, max_drafts: int = 3) -> DataFrame:
+    chosen, cases = _triage(w, max_drafts)
+    return governance.triage_event(chosen, cases, w.lcr_daily, w.t.now)
 
 
 def package_facts(w: Workspace) -> DataFrame:
@@ -194,6 +204,27 @@ def register(reg: Registry) -> None:
         f"least(3, (SELECT count(*) FROM fraud_alerts WHERE {due})) AS drafted:i; (SELECT count(*) FROM (SELECT account_id FROM fraud_alerts WHERE {due} ORDER BY risk_score DESC, alert_id LIMIT 3) ANTI JOIN account_signals USING (account_id)) AS failed:i; as_of_date AS as_of:y; lcr_pct:d; lcr_status; lcr_stress_s1_pct AS stress_s1:d",
         "FROM latest_lcr",
     )
+    reg.add(
+        "g2_event", triage_record, "(SELECT t FROM ref_ts) AS event_ts:t; 'task' AS event_user; 'SYSTEM' AS event_role; 'AUTO_TRIAGE_RUN' AS event_type; 'TASK' AS object_id; "
+        "CAST(json_object('drafted', ifnull((SELECT list(json_object('alert', alert_id, 'case', 'CASE-' || account_id || '-' || strftime(requested_at, '%Y%m%d%H%M%S'), "
+        "'guardrail_passed', len(bad) = 0) ORDER BY risk_score DESC, alert_id) FROM run_checked), []), "
+        "'failed', ifnull((SELECT list(json_object('alert', alert_id, 'error', 'no case was drafted') ORDER BY risk_score DESC, alert_id) "
+        "FROM run_requests ANTI JOIN run_checked USING (alert_id)), []), "
+        "'lcr', json_object('as_of', CAST(as_of_date AS VARCHAR), 'lcr_pct', lcr_pct, 'status', lcr_status, 'stress_s1', lcr_stress_s1_pct)) AS VARCHAR) AS details",
+        "FROM latest_lcr",
+    )
+    reg.add(
+        "g1_queue", lambda w: governance.alert_queue(w.alerts, ["AML_LAYERING", "MONEY_MULE"]),
+        "alert_id; account_id; full_name; typology; risk_score:i; recommended_action; red_flag_count:i; inflow_amt_48h:d; outflow_amt_48h:d; kyc_risk_rating; occupation",
+        "FROM fraud_alerts WHERE typology = 'AML_LAYERING' OR typology = 'MONEY_MULE'",
+    )
+    reg.add(
+        "g4_actions", lambda w: governance.investigation_actions(w.investigation_outcomes).drop("error_message"),
+        "'ACT-' || substr(sha256(case_id || '|' || request_id), 1, 32) AS action_id; case_id; finding_id; 'CREATE_INVESTIGATION' AS action_type; "
+        "'WAREHOUSE' AS target_system; 'investigator_1' AS requested_by; requested_at:t; 'SUCCESS' AS status; "
+        "CAST(json_object('case_id', case_id, 'evidence_count', n_evidence) AS VARCHAR) AS result",
+        "FROM investigation_outcomes o WHERE o.status = 'SUCCESS'",
+    )
     reg.add(
         "g3", lambda w: w.second_reviews,
         "decision_id; case_id; decision; reviewer; reviewer_role; decided_at:t; notes; maker; status; message; new_status; missing_notes", "FROM reviewed",

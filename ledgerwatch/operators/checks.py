@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwatch.functions.text import ungrounded
 from ledgerwatch.operators.liquidity import lcr_status
 from ledgerwatch.operators.rules import RuleSet
 
@@ -156,3 +160,18 @@ def row_counts(findings: DataFrame, evidence: DataFrame) -> DataFrame:
         return df.agg(F.lit(name).alias("check_name"), F.count(F.lit(1)).alias("value"))
 
     return n(findings, "RISK_FINDINGS").unionByName(n(evidence, "RISK_EVIDENCE"))
+
+
+def guardrails(policies: DataFrame, drafts: list[tuple[str, str, list[str], list[str]]]) -> DataFrame:
+    """The citation check on known drafts: (test, text, references it may cite, references to be caught).
+
+    Allowed are the sections of the whole library that one of the references names. Expected and
+    actual are JSON arrays, compared in any order.
+    """
+    rows = []
+    for test, text, cited, caught in drafts:
+        named = reduce(or_, [F.startswith("section", F.lit(c)) for c in cited])
+        allowed = F.collect_set(F.when(named, F.col("section")))  # one or a few labels per reference
+        actual = F.to_json(ungrounded(F.lit(text), F.array().cast("array<string>"), allowed, F.lit("")))
+        rows.append(policies.agg(F.lit(test).alias("test"), F.lit(json.dumps(caught, separators=(",", ":"))).alias("expected"), actual.alias("actual")))
+    return with_result(reduce(DataFrame.unionByName, rows))

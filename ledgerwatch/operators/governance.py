@@ -22,11 +22,13 @@ TRIAGE_CANDIDATES = 50
 HIGH_RISK = 60
 
 
-def alert_queue(alerts: DataFrame) -> DataFrame:
-    return alerts.select(
+def alert_queue(alerts: DataFrame, typologies: list[str] | None = None) -> DataFrame:
+    """Alerts to work on, highest score first; of some typologies, or of all."""
+    chosen = alerts if typologies is None else alerts.where(F.col("typology").isin(typologies))
+    return chosen.select(
         "alert_id", "account_id", "full_name", "typology", "risk_score", "recommended_action", "red_flag_count",
         "inflow_amt_48h", "outflow_amt_48h", "kyc_risk_rating", "occupation",
-    )
+    ).orderBy(F.desc("risk_score"), "alert_id")
 
 
 def queue_kpis(alerts: DataFrame) -> DataFrame:
@@ -64,6 +66,30 @@ def triage_summary(selected: DataFrame, drafted: DataFrame, lcr: DataFrame) -> D
     )
 
 
+def triage_event(selected: DataFrame, drafted: DataFrame, lcr: DataFrame, now: Column) -> DataFrame:
+    """The audit row of a run: its drafts with their citation check, what failed and why, the liquidity line.
+
+    Both lists hold at most ``TRIAGE_CANDIDATES`` entries, in the order of the run.
+    """
+    cases = drafted.select("alert_id", "case_id", F.col("guardrail_result.passed").alias("passed"))
+    outcome = selected.join(cases, "alert_id", "left")
+    place = [(-F.col("risk_score")).alias("place"), "alert_id"]
+
+    def listed(condition: Column, entry: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(condition, F.struct(*place, entry.alias("entry"))))), lambda x: x["entry"])
+
+    made = F.struct(F.col("alert_id").alias("alert"), F.col("case_id").alias("case"), F.col("passed").alias("guardrail_passed"))
+    failed = F.struct(F.col("alert_id").alias("alert"), F.lit("no case was drafted").alias("error"))
+    lists = outcome.agg(listed(F.col("case_id").isNotNull(), made).alias("drafted"), listed(F.col("case_id").isNull(), failed).alias("failed"))
+    line = latest_row(lcr, "as_of_date").select(
+        F.struct(F.col("as_of_date").cast("string").alias("as_of"), "lcr_pct", F.col("lcr_status").alias("status"), F.col("lcr_stress_s1_pct").alias("stress_s1"))
+    )
+    return lists.withColumn("lcr", line.scalar()).select(
+        now.alias("event_ts"), F.lit("task").alias("event_user"), F.lit("SYSTEM").alias("event_role"), F.lit("AUTO_TRIAGE_RUN").alias("event_type"),
+        F.lit("TASK").alias("object_id"), F.to_json(F.struct("drafted", "failed", "lcr")).alias("details"),
+    )
+
+
 # --- maker-checker -----------------------------------------------------------
 def review(decisions: DataFrame, cases: DataFrame) -> DataFrame:
     """Check every decision against its case; one outcome row per decision.
