@@ -10,7 +10,8 @@ lines inside count, and any length is a surge.
 
 Defined cases: null or empty html, and a page without text, give the empty text; repeated
 rows are treated alike; unclosed and crossed tags are tolerated: as in HTML, the start of a
-block ends an open p, li, td or dd, and an end tag ends all that is open inside; an empty table gives no rows;
+block ends an open p, li, td or dd, and an end tag ends all that is open inside; a tag without ">"
+ends at the next "<"; scripts and other raw text end at their own end tag and nowhere else; an empty table gives no rows;
 other columns are ignored. Pages are read whole, one at a time.
 """
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,11 @@ from ledgerwatch.llm.frames import per_slice
 WINDOW = 3
 SURGE = 80
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
+# A quote opens a value only after "="; an unquoted value may hold quotes. A tag that is not closed before the next "<" ends there,
+# so every "<" is looked at once, however broken the page.
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|(<!\[CDATA\[)|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>][^\s<>]*)|[^<>=]++|=)*+)>?|<[!?][^>]*>?""", re.S
+)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile("[a-z]+")
@@ -69,29 +76,58 @@ def _names(attributes: str) -> set[str]:
     return out
 
 
+@lru_cache(64)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I)
+
+
+class _Scan:
+    """Tags and comments of a page in order, each with the text before it."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.last_cdata = page, 0, page.rfind("]]>")
+
+    def __iter__(self) -> Iterator[tuple[str, str | None, str, bool, str]]:
+        """Text before, marked-up text (CDATA) or None, name ("" where it is no tag), whether an end tag, attributes."""
+        while m := _TAG.search(self.page, self.at):
+            text, self.at, inner = self.page[self.at : m.start()], m.end(), None
+            if m[1]:
+                close = self.page.find("]]>", self.at) if self.at <= self.last_cdata else -1
+                if close >= 0:
+                    inner, self.at = self.page[self.at : close], close + 3
+                else:
+                    self.at = self.page.find(">", self.at) + 1 or len(self.page)
+            yield text, inner, (m[3] or "").lower(), bool(m[2]), m[4] or ""
+
+    def past(self, name: str) -> None:
+        """Goes on behind the end tag of ``name``; what is before it is no markup. Without one, the page ends."""
+        m = _end_of(name).search(self.page, self.at)
+        self.at = m.end() if m else len(self.page)
+
+
 class _Open:
     """Names of the open block elements, outermost first."""
 
     def __init__(self):
         self.names: list[str] = []
         self.numbers: list[int] = []
+        self.around: list[tuple[int, int]] = []  # place and number of those that are containers
         self.started = 0
         self.count: Counter[str] = Counter()
 
     def parents(self) -> frozenset[int]:
         """The container around the innermost block (0: the page), and that block if it is one itself."""
-        out = []
-        for i in range(len(self.names) - 1, -1, -1):
-            if self.names[i] in _PARENTS:
-                out.append(self.numbers[i])
-                if i < len(self.names) - 1 or len(out) == 2:
-                    return frozenset(out)
-        return frozenset([*out, 0])
+        inner = [n for _, n in self.around[-2:]]
+        if self.around and self.around[-1][0] == len(self.names) - 1:
+            return frozenset(inner if len(inner) == 2 else [*inner, 0])
+        return frozenset(inner[-1:] or [0])
 
     def start(self, name: str) -> None:
         self.started += 1
         self.names.append(name)
         self.numbers.append(self.started)
+        if name in _PARENTS:
+            self.around.append((len(self.names) - 1, self.started))
         self.count[name] += 1
 
     def _back(self, wanted: set[str], bounds: set[str]) -> None:
@@ -102,6 +138,8 @@ class _Open:
             if self.names[i] in wanted:
                 self.count.subtract(self.names[i:])
                 del self.names[i:], self.numbers[i:]
+                while self.around and self.around[-1][0] >= i:
+                    self.around.pop()
                 return
             if self.names[i] in bounds:
                 return
@@ -149,25 +187,17 @@ class _Lines:
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool, frozenset[int]]]:
-    lines, at = _Lines(), 0
+    lines, scan = _Lines(), _Scan(page)
     link = article = 0  # open links, open articles
     opened = _Open()
     skipped, level, in_comments, blocks = "", 0, False, 0  # name of the skipped container, and elements open around it
-    raw = ""
-    for m in _TAG.finditer(page):
-        text, at = page[at : m.start()], m.end()
-        if raw:
-            if m[2] and (m[3] or "").lower() == raw:
-                raw = ""
-            continue
+    for text, inner, name, closing, attributes in scan:
         if text and not skipped:
             lines.add(html.unescape(text), link > 0, opened)
-        if m[1] is not None and not skipped:
-            lines.add(m[1], link > 0, opened)
-        name = (m[3] or "").lower()
+        if inner is not None and not skipped:
+            lines.add(inner, link > 0, opened)
         if not name:
             continue
-        closing, attributes = bool(m[2]), m[4] or ""
         empty = name in _VOID or attributes.endswith("/")
         known = name in _BLOCKS or name in _SKIP or name == skipped
         if known and closing:
@@ -189,10 +219,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool, frozenset[int]]]:
                     opened.start(name)
                 blocks += name in _BLOCKS and not closing
                 if name in ("script", "style") and not closing and not empty:
-                    raw = name
+                    scan.past(name)
                 continue
         if name in _RAW and not closing and not empty:
-            raw = name
+            scan.past(name)
             continue
         if name == "a":
             link = 0 if closing else 1
@@ -220,10 +250,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool, frozenset[int]]]:
         elif name in _BLOCKS:
             lines.end(article > 0)
             link = 0
-    if not raw and not skipped:
-        rest = page[at:]
-        cut = rest.rfind("<")
-        lines.add(html.unescape(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest[:cut]), link > 0, opened)
+    if not skipped:
+        lines.add(html.unescape(page[scan.at :]), link > 0, opened)
     lines.end(article > 0)
     return lines.out
 

@@ -161,6 +161,33 @@ def test_html_text_after_skipped_blocks_without_end_tags():
     assert html_text.main_text(f"<nav><script>'</nav></div>'</script>x</nav><p>{long}") == long
 
 
+@pytest.mark.parametrize("marked", [True, False])
+def test_html_text_after_raw_text_and_odd_tags(marked):
+    long = "A sentence of the article that is long enough to be told from the rest. " * 3
+    long = long.strip()
+    article = f"<article><p>{long}</article>" if marked else f"<div><p>{long}</div>"
+    scripts = [
+        "<script>for(var i=0;i<n;i++){x()}</script>", '<script>var s="<!--";</script>', "<script>if (a<b) document.write('<p>no</p><\\/script>')</script>",
+        "<style>a:before{content:'<'}</style>", "<textarea><p>no</textarea>", "<SCRIPT>x</Script >", "<nav><script>'</nav>' < \"<!--\"</script>no</nav>",
+        "<p title=it's></p>", "<p title='>' class=x></p>", "<p don't></p>", "<svg><path d='M0<1'/></svg>", "<![CDATA[ ]]>",
+    ]
+    for x in scripts:
+        assert html_text.main_text(f"<html><body>{x}{article}</body>") == long, x
+        assert html_text.main_text(f"<html><body>{article}{x}</body>") == long, x
+    assert html_text.main_text(f"<body>{article}<p class=ad") == long and html_text.main_text(f"<body>{article}<script>if (a<b)") == long
+
+
+def test_html_text_of_hostile_pages_is_linear():
+    """A megabyte each; a scan that starts anew at every tag would take minutes."""
+    import time
+
+    for piece in ("<a ", "<ul>", "<ul><li>a", '<a x="', "<a x='", "<![CDATA[", "<!--", "<div>a", "<p>", "&", "<script>", "<b a=b", "</div>", "<td><p>x", "<h1>a<h2>"):
+        page = piece * (1_000_000 // len(piece))
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 8, piece
+
+
 def test_html_text_keeps_short_blocks_beside_the_article():
     long = "A long text with many words, so that it surges well above eighty characters in any case."
     form, menu = "<form><p>Name<p>Mail<p>Send</form>", "<ul class=menu><li>A<li>B<li>C</ul>"
