@@ -12,8 +12,10 @@ probability (1 - 0.8^5)^24 = 7e-5, less above.
 3. Verified links give components (labels spread to neighbours and jump, each step written
    to the shared folder).
 4. Members of a bucket that ended up in different components meet further representatives,
-   twice as many in each round, until every pair of the bucket in different components has
-   been looked at. So the bucket's links are whole without listing pairs of one class.
+   more in each round, until every pair of the bucket in different components has been looked
+   at. So the bucket's links are whole without listing pairs of one class. A bucket's members are
+   dealt into blocks, and its representatives copied to each, so no task gets a whole one. When the
+   copies for all that is left are few, the next round is the last.
 
 Defined cases: a text without words (null, empty, blank) has no shingles, is nobody's
 near copy and, if equal texts repeat, each row stands alone; rows with equal ids or texts
@@ -39,6 +41,9 @@ BANDS, BAND_ROWS = 24, 5
 #: of 120 one-bit coordinates two texts of similarity 0.8 agree in 108 on average (deviation 3.3)
 LEAST_BITS = 95
 PAIRS_PER_SALT = 500
+BLOCK = 300  # members of a bucket that meet its representatives in one task
+FIRST_SHARE = 8  # representatives of a bucket in the first round
+FINISH = 2_000_000  # copies of representatives in one round, over all tasks: that many or fewer, and no further round is needed
 #: longer sketches: texts of similarity 0.8 agree in 864 of 960 bits on average (deviation 9.3)
 LONG, LEAST_LONG = 960, 824
 
@@ -282,16 +287,21 @@ def _remaining(rows: DataFrame, nodes: DataFrame, sets: DataFrame, label: DataFr
     """``label`` with the links inside buckets between members of different components added.
 
     Further representatives are drawn by hash; each round has eight times as many per bucket as
-    the one before, and goes on only with members that were none and with buckets that still
-    hold several components. Members that are left get longer sketches, so that families of
+    the one before, the last all, and goes on only with members that were none and with buckets that
+    still hold several components. Members that are left get longer sketches, so that families of
     texts a little below the similarity are told apart without their shingles; a pair counts
     in the first bucket it shares.
     """
-    several = lambda df: df.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+
+    def open_buckets(rest: DataFrame) -> tuple[DataFrame, int]:
+        """Members of buckets with several components, the blocks of each bucket, and the copies that all as representatives would make."""
+        several = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
+        kept = stage(rest.drop("blocks").join(several.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket"), "rest")
+        return kept, kept.agg(F.sum("blocks")).first()[0] or 0
+
     order = (F.xxhash64("node", "bucket").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) * F.col("members")
-    rest = rows.select("bucket", "node", "size", order.alias("order")).join(label, "node")
-    rest = stage(rest.join(several(rest), "bucket", "left_semi"), "rest")
-    if rest.isEmpty():
+    rest, copies = open_buckets(rows.select("bucket", "node", "size", order.alias("order")).join(label, "node"))
+    if not copies:
         return label
     left = rest.select("node").distinct()
     sketches = stage(long_sketches(sets.join(left, "node", "left_semi")).join(nodes.select("node", "bands"), "node"), "sketches")
@@ -299,21 +309,25 @@ def _remaining(rows: DataFrame, nodes: DataFrame, sets: DataFrame, label: DataFr
     rep = lambda c: F.col(f"r_{c}")
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(rep(c))) for c in parts if c != "bands"), F.lit(0))
     near = (F.least("size", "r_size") >= similarity * F.greatest("size", "r_size")) & (differ <= LONG - LEAST_LONG)
-    shared = F.filter(F.zip_with("bands", "r_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())[0]
-    share = 8
-    while True:
+    band = lambda i: F.get("bands", F.lit(i))  # noqa: E731 - no lambda over the array: the join stays compiled
+    shared = F.coalesce(*[F.when(band(i) == F.get(rep("bands"), F.lit(i)), band(i)) for i in range(BANDS)])
+    share = FIRST_SHARE
+    while copies:
+        last = copies <= FINISH
         full = rest.join(sketches, "node")
-        reps = full.where(F.col("order") < share).select(F.col("bucket"), *[F.col(c).alias(f"r_{c}") for c in ("node", "size", "order", "label", *parts)])
-        met = full.join(reps, "bucket").where((F.col("label") != F.col("r_label")) & (F.col("order") >= F.col("r_order")) & near & (shared == F.col("bucket")))
+        reps = full if last else full.where(F.col("order") < share)
+        reps = reps.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"r_{c}") for c in ("node", "size", "order", "label", *parts)])
+        met = full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(reps, ["bucket", "block"])
+        met = met.where((F.col("label") != F.col("r_label")) & (F.col("order") >= F.col("r_order")) & near & (shared == F.col("bucket")))
         met = met.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b"), F.least("label", "r_label").alias("la"), F.greatest("label", "r_label").alias("lb"))
         pairs = stage(met, "pairs")
-        rest = rest.where(F.col("order") >= share)
-        if not pairs.isEmpty():
-            found = stage(verified(pairs.select("a", "b"), sets, similarity, weight).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
-            if not found.isEmpty():
-                merged = components(found)  # of components: the graph of those that were still apart
-                label, rest = stage(_relabelled(label, merged), "components"), _relabelled(rest, merged)
+        linked = verified(pairs.select("a", "b"), sets, similarity, weight).join(pairs, ["a", "b"])
+        linked = stage(linked.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+        if not linked.isEmpty():
+            merged = components(linked)  # of components: the graph of those that were still apart
+            label, rest = stage(_relabelled(label, merged), "components"), _relabelled(rest, merged)
+        if last:
+            break
+        rest, copies = open_buckets(rest.where(F.col("order") >= share))
         share *= 8
-        rest = stage(rest.join(several(rest), "bucket", "left_semi"), "rest")
-        if rest.isEmpty():
-            return label
+    return label
