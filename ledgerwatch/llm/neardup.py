@@ -15,7 +15,7 @@ probability (1 - 0.8^5)^24 = 7e-5, less above.
    more in each round, until every pair of the bucket in different components has been looked
    at. So the bucket's links are whole without listing pairs of one class. A bucket's members are
    dealt into blocks, and its representatives copied to each, so no task gets a whole one. When the
-   copies for all that is left are few, the next round is the last.
+   copies for all that is left are few, the round is the last.
 
 Defined cases: a text without words (null, empty, blank) has no shingles, is nobody's
 near copy and, if equal texts repeat, each row stands alone; rows with equal ids or texts
@@ -43,7 +43,7 @@ LEAST_BITS = 95
 PAIRS_PER_SALT = 500
 BLOCK = 300  # members of a bucket that meet its representatives in one task
 FIRST_SHARE = 8  # representatives of a bucket in the first round
-FINISH = 2_000_000  # copies of representatives in one round, over all tasks: that many or fewer, and no further round is needed
+FINISH = 20_000  # copies of representatives, over all tasks: where all that is left makes no more, the round is the last
 #: longer sketches: texts of similarity 0.8 agree in 864 of 960 bits on average (deviation 9.3)
 LONG, LEAST_LONG = 960, 824
 
