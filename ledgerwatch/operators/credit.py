@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions.columns import first_match, plain_number
+from ledgerwatch.sources.fixed_values import LOAN_LIMITS
 
+UTILISATION, BOUNCES, SALES_DROP, BUREAU = (LOAN_LIMITS[k] for k in ("utilisation", "bounces", "sales_drop", "bureau_score"))
 POLICY_REF = "CR-POL 4.1 / CR-POL 5.3"
 CAPPED_INDUSTRIES = ("Real Estate", "NBFC Lending")
 COMMITTEE = "RESTRUCTURING_DISCUSSION_CREDIT_COMMITTEE"
@@ -34,10 +36,10 @@ def ews_triggers() -> Column:
     sales, bureau = F.col("sales_velocity_chg_pct"), F.col("bureau_score")
     return F.array_compact(
         F.array(
-            F.when(util > 90, F.concat(F.lit("HIGH_UTILISATION ("), plain_number(util), F.lit("%)"))),
-            F.when(bounces >= 2, F.concat(F.lit("NACH_BOUNCES ("), bounces.cast("string"), F.lit(" in 90d)"))),
-            F.when(sales <= -30, F.concat(F.lit("SALES_VELOCITY_DROP ("), plain_number(sales), F.lit("%)"))),
-            F.when(bureau < 600, F.concat(F.lit("LOW_BUREAU_SCORE ("), bureau.cast("string"), F.lit(")"))),
+            F.when(util > UTILISATION, F.concat(F.lit("HIGH_UTILISATION ("), plain_number(util), F.lit("%)"))),
+            F.when(bounces >= BOUNCES, F.concat(F.lit("NACH_BOUNCES ("), bounces.cast("string"), F.lit(" in 90d)"))),
+            F.when(sales <= SALES_DROP, F.concat(F.lit("SALES_VELOCITY_DROP ("), plain_number(sales), F.lit("%)"))),
+            F.when(bureau < BUREAU, F.concat(F.lit("LOW_BUREAU_SCORE ("), bureau.cast("string"), F.lit(")"))),
         )
     )
 

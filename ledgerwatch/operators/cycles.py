@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from ledgerwatch.functions.columns import days, hours
 from ledgerwatch.functions.windows import Anchor, since
 from ledgerwatch.session import stage_table
+from ledgerwatch.sources.fixed_values import RING_DAYS as DAYS
+from ledgerwatch.sources.fixed_values import RING_HOURS as MAX_HOURS
+from ledgerwatch.sources.fixed_values import RING_MIN_AMOUNT as MIN_AMOUNT
+from ledgerwatch.sources.fixed_values import RING_TOLERANCE as AMOUNT_TOLERANCE
 
-DAYS = 7
-MIN_AMOUNT = 1_000_000
-MAX_HOURS = 72
-AMOUNT_TOLERANCE = "0.1"
 AMOUNT_BUCKETS = 10_000  # per factor e: a bucket is 0.01 % wide
 
 WALK = ["a1", "a2", "a3"]

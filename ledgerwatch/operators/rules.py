@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions.columns import first_match, hours, plain_number, whole_number
 from ledgerwatch.functions.windows import Anchor, since
+from ledgerwatch.sources.fixed_values import FLAGS_FOR_ALERT, KYC_BONUS, MAX_SCORE, RULE_BOOK, RULE_LIMITS
 
-KYC_BONUS = 10
-MAX_SCORE = 100
 
 
 def _text(name: str) -> Column:
@@ -36,18 +35,18 @@ class Rule:
 
 @dataclass(frozen=True)
 class Thresholds:
-    new_account_days: int = 180
-    dormant_days: int = 30
-    burst_credits: int = 10
-    remitters: int = 15
-    pass_through: float = 0.8
-    pass_through_inflow: int = 200_000
-    devices: int = 4
-    risky_origins: int = 5
-    income_share: float = 0.5
-    near_threshold_deposits: int = 3
-    cycles: int = 1
-    watchlist_score: float = 0.85
+    new_account_days: int = RULE_LIMITS["new_account_days"]
+    dormant_days: int = RULE_LIMITS["dormant_days"]
+    burst_credits: int = RULE_LIMITS["burst_credits"]
+    remitters: int = RULE_LIMITS["remitters"]
+    pass_through: float = RULE_LIMITS["pass_through"]
+    pass_through_inflow: int = RULE_LIMITS["pass_through_inflow"]
+    devices: int = RULE_LIMITS["devices"]
+    risky_origins: int = RULE_LIMITS["risky_origins"]
+    income_share: float = RULE_LIMITS["income_share"]
+    near_threshold_deposits: int = RULE_LIMITS["near_threshold_deposits"]
+    cycles: int = RULE_LIMITS["cycles"]
+    watchlist_score: float = RULE_LIMITS["watchlist_score"]
 
 
 def default_rules(th: Thresholds = Thresholds()) -> list[Rule]:
@@ -56,40 +55,45 @@ def default_rules(th: Thresholds = Thresholds()) -> list[Rule]:
     def dec(x: float) -> Column:
         return F.lit(str(x)).cast("decimal(6,3)")
 
+    book = {flag: (policy, weight) for flag, policy, weight in RULE_BOOK}
+
+    def rule(flag: str, predicate: Callable[[], Column], evidence: Callable[[], Column]) -> Rule:
+        return Rule(flag, *book[flag], predicate, evidence)
+
     return [
-        Rule("NEW_OR_DORMANT_BURST", "AML-POL 4.2(a)", 20,
+        rule("NEW_OR_DORMANT_BURST",
              lambda: ((c("account_age_days") <= th.new_account_days) | (c("dormant_days_before_window") >= th.dormant_days))
              & (c("inflow_cnt_48h") >= th.burst_credits),
              lambda: F.concat(F.lit("age "), _text("account_age_days"), F.lit("d, dormant "),
                               F.coalesce(_text("dormant_days_before_window"), F.lit("n/a")), F.lit("d, "),
                               _text("inflow_cnt_48h"), F.lit(" credits/48h"))),
-        Rule("MANY_REMITTERS", "AML-POL 4.2(b)", 20,
+        rule("MANY_REMITTERS",
              lambda: c("distinct_remitters_48h") >= th.remitters,
              lambda: F.concat(_text("distinct_remitters_48h"), F.lit(" distinct remitters in 48h"))),
-        Rule("RAPID_PASS_THROUGH", "AML-POL 4.2(c)", 25,
+        rule("RAPID_PASS_THROUGH",
              lambda: (c("pass_through_ratio_48h") >= dec(th.pass_through)) & (c("inflow_amt_48h") >= th.pass_through_inflow),
              lambda: F.concat(whole_number(c("pass_through_ratio_48h") * 100), F.lit("% of INR "),
                               whole_number(c("inflow_amt_48h")), F.lit(" moved out"))),
-        Rule("DEVICE_IP_ANOMALY", "AML-POL 4.2(d)", 10,
+        rule("DEVICE_IP_ANOMALY",
              lambda: (c("distinct_devices_48h") >= th.devices) | (c("foreign_or_risky_ip_txns_48h") >= th.risky_origins),
              lambda: F.concat(_text("distinct_devices_48h"), F.lit(" devices, "),
                               _text("foreign_or_risky_ip_txns_48h"), F.lit(" foreign/risky-IP txns"))),
-        Rule("PROFILE_MISMATCH", "AML-POL 4.2(e)", 10,
+        rule("PROFILE_MISMATCH",
              lambda: c("inflow_amt_48h") > c("declared_annual_income") * dec(th.income_share),
              lambda: F.concat(F.lit("INR "), whole_number(c("inflow_amt_48h")), F.lit(" in 48h vs declared income INR "),
                               _text("declared_annual_income"), F.lit(" ("), c("occupation"), F.lit(")"))),
-        Rule("STRUCTURING", "AML-POL 4.3", 35,
+        rule("STRUCTURING",
              lambda: c("cash_near_ctr_10d") >= th.near_threshold_deposits,
              lambda: F.concat(_text("cash_near_ctr_10d"), F.lit(" cash deposits of INR 9-10 lakh in 10 days, total INR "),
                               whole_number(c("cash_near_ctr_amt_10d")))),
-        Rule("ROUND_TRIPPING", "AML-POL 4.4", 35,
+        rule("ROUND_TRIPPING",
              lambda: c("round_trip_cycles_7d") >= th.cycles,
              lambda: F.concat(F.lit("Circular flow of ~INR "), whole_number(c("round_trip_amt")),
                               F.lit(" completed within 72h: "), F.concat_ws("; ", c("round_trip_ring")))),
-        Rule("SANCTIONS_WATCHLIST_HIT", "AML-POL 7.1", 30,
+        rule("SANCTIONS_WATCHLIST_HIT",
              lambda: c("watchlist_score") >= dec(th.watchlist_score),
              lambda: F.concat(c("watchlist_hit"), F.lit(" match score "), plain_number(c("watchlist_score")))),
-        Rule("PEP_ACTIVITY", "AML-POL 3.1", 10,
+        rule("PEP_ACTIVITY",
              lambda: c("is_pep") & (c("inflow_amt_48h") > 0),
              lambda: F.lit("Customer is a PEP")),
     ]
@@ -158,7 +162,7 @@ def fraud_alerts(signals: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     rules = rules or RuleSet()
     sanctioned = rules.hit("SANCTIONS_WATCHLIST_HIT")
     included = (
-        (F.col("red_flag_count") >= 2) | sanctioned | rules.hit("STRUCTURING") | rules.hit("ROUND_TRIPPING")
+        (F.col("red_flag_count") >= FLAGS_FOR_ALERT) | sanctioned | rules.hit("STRUCTURING") | rules.hit("ROUND_TRIPPING")
     )
     flagged = rules.evaluate(signals).where(included)
     return flagged.select(

@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 from ledgerwatch.functions.columns import days, hours
 from ledgerwatch.functions.windows import Anchor, latest, since
 from ledgerwatch.operators.cycles import cycles, round_trips
+from ledgerwatch.sources.fixed_values import CASH_DAYS, CASH_HIGH, CASH_LOW
 
 WINDOW_HOURS = 48
-CASH_DAYS = 10
-CASH_LOW, CASH_HIGH = 900_000, 999_999
 RISKY_IP_PREFIX = "185."
 
 

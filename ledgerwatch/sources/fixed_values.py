@@ -1,8 +1,8 @@
 """Fixed values the analytics depend on, stated plainly.
 
 Nothing here is logic. The policy section labels, the regulatory haircuts and
-run-off rates and the demo customer must equal the published values for the
-results to agree; the short texts of the policy sections are our own wording.
+run-off rates, the rules' names, weights and limits must equal the published values
+for the results to agree; the short texts of the policy sections are our own wording.
 """
 
 from __future__ import annotations
@@ -80,33 +80,57 @@ INDUSTRIES = [
     "Retail Trade", "Agriculture", "Construction", "NBFC Lending", "Hospitality",
 ]
 
-# The demo customer (used by the tests only).
-DEMO_CUSTOMER = ("CUST-9821", "Rajesh K. Verma", "INDIVIDUAL", "HIGH", "Mumbai", False, "2026-01-10", "Retail Trader", 600000)
-DEMO_ACCOUNT = ("ACC0009821", "CUST-9821", "SAVINGS", "2026-01-15", "ACTIVE", "1450000.00")
-DEMO_CASH_DEPOSITS = [
-    ("BRANCH-SOUTH-MUMBAI", 950000, "2026-09-27 09:15:00"),
-    ("BRANCH-ANDHERI-WEST", 960000, "2026-09-27 10:45:00"),
-    ("BRANCH-BANDRA-EAST", 940000, "2026-09-27 12:30:00"),
-    ("BRANCH-FORT-MAIN", 980000, "2026-09-27 14:10:00"),
-    ("BRANCH-BKC-PLAZA", 920000, "2026-09-27 16:00:00"),
-    ("BRANCH-SOUTH-MUMBAI", 955000, "2026-09-27 17:30:00"),
-    ("BRANCH-ANDHERI-WEST", 970000, "2026-09-28 09:30:00"),
-    ("BRANCH-BANDRA-EAST", 935000, "2026-09-28 10:50:00"),
-    ("BRANCH-FORT-MAIN", 990000, "2026-09-28 11:45:00"),
-    ("BRANCH-BKC-PLAZA", 945000, "2026-09-28 13:15:00"),
-    ("BRANCH-SOUTH-MUMBAI", 965000, "2026-09-28 14:30:00"),
-    ("BRANCH-ANDHERI-WEST", 930000, "2026-09-28 15:40:00"),
-    ("BRANCH-BANDRA-EAST", 975000, "2026-09-28 16:50:00"),
-    ("BRANCH-FORT-MAIN", 985000, "2026-09-28 18:00:00"),
-    ("BRANCH-BKC-PLAZA", 915000, "2026-09-28 19:10:00"),
-    ("BRANCH-SOUTH-MUMBAI", 960000, "2026-09-28 20:20:00"),
-    ("BRANCH-ANDHERI-WEST", 940000, "2026-09-28 21:30:00"),
+# Red-flag rules in order (flag, policy reference, weight).
+RULE_BOOK = [
+    ("NEW_OR_DORMANT_BURST", "AML-POL 4.2(a)", 20),
+    ("MANY_REMITTERS", "AML-POL 4.2(b)", 20),
+    ("RAPID_PASS_THROUGH", "AML-POL 4.2(c)", 25),
+    ("DEVICE_IP_ANOMALY", "AML-POL 4.2(d)", 10),
+    ("PROFILE_MISMATCH", "AML-POL 4.2(e)", 10),
+    ("STRUCTURING", "AML-POL 4.3", 35),
+    ("ROUND_TRIPPING", "AML-POL 4.4", 35),
+    ("SANCTIONS_WATCHLIST_HIT", "AML-POL 7.1", 30),
+    ("PEP_ACTIVITY", "AML-POL 3.1", 10),
 ]
 
-# The four-row demo feed (timestamp, amount, device).
-DEMO_FEED = [
-    ("2026-10-04 10:01:00", 15000, "DEV-OLD-001"),
-    ("2026-10-04 10:04:00", 25000, "DEV-OLD-001"),
-    ("2026-10-04 10:07:00", 485000, "DEV-NEW-987"),
-    ("2026-10-04 10:09:00", 375000, "DEV-NEW-987"),
+# Limits of the rules.
+RULE_LIMITS = {
+    "new_account_days": 180,
+    "dormant_days": 30,
+    "burst_credits": 10,
+    "remitters": 15,
+    "pass_through": 0.8,
+    "pass_through_inflow": 200_000,
+    "devices": 4,
+    "risky_origins": 5,
+    "income_share": 0.5,
+    "near_threshold_deposits": 3,
+    "cycles": 1,
+    "watchlist_score": 0.85,
+}
+
+# Cash deposits just below the reporting threshold, and the days looked back.
+CASH_LOW, CASH_HIGH, CASH_DAYS = 900_000, 999_999, 10
+
+# Round trips (least amount, days looked back, hours from first to last transfer, amount tolerance).
+RING_MIN_AMOUNT, RING_DAYS, RING_HOURS, RING_TOLERANCE = 1_000_000, 7, 72, "0.1"
+
+# Score of an alert, and the action by summed weight (from, action).
+KYC_BONUS, MAX_SCORE, FLAGS_FOR_ALERT = 10, 100, 2
+ACTION_BANDS = [(0, "REVIEW_AND_CLEAR"), (20, "STEP_UP_AUTH"), (35, "PLACE_HOLD"), (60, "FREEZE_ACCOUNT")]
+
+# Loan warnings.
+LOAN_LIMITS = {"utilisation": 90, "bounces": 2, "sales_drop": -30, "bureau_score": 600}
+
+# Asset class by days past due (from, class, its level of action), stage by days past due (from, stage).
+DPD_CLASSES = [(0, "STANDARD", 0), (1, "SMA-0", 1), (31, "SMA-1", 1), (61, "SMA-2", 3), (91, "NPA", 4)]
+STAGE_BANDS = [(0, "STAGE_1"), (30, "STAGE_2"), (91, "STAGE_3")]
+
+# Action by level, the higher of the level of the class and the number of triggers (three at most).
+EWS_ACTIONS = [
+    (0, "NO_ACTION"),
+    (1, "WATCHLIST"),
+    (2, "LIMIT_FREEZE_AND_COLLATERAL_REVALUATION"),
+    (3, "RESTRUCTURING_DISCUSSION_CREDIT_COMMITTEE"),
+    (4, "NPA_RECOVERY_AND_PROVISIONING"),
 ]
