@@ -44,6 +44,8 @@ def _firing(flag: str):
 def _alerts(*cols: str):
     return lambda w: rules.fraud_alerts(w.signals).select(*cols)
 
+LINKS_PER_PAGE = 10
+
 
 def register(reg: Registry) -> None:
     reg.add("s1", lambda w: reference_time(w.transactions), "t:t", "FROM ref_ts")
@@ -89,9 +91,15 @@ def register(reg: Registry) -> None:
     reg.add("n3", lambda w: network.device_edges(w.device_use), _EDGE, "FROM network_graph WHERE link_type <> 'TRANSACTION_FLOW'")
     reg.add("n4", lambda w: network.network_graph(w.flows, w.device_use), _EDGE, "FROM network_graph")
     reg.add(
-        "n5", lambda w: network.neighbourhood(w.flows, w.device_use, account_id="ACC0000030"), _EDGE,
+        "n5", lambda w: w.links.neighbourhood(account_id="ACC0000030"), _EDGE,
         "FROM network_graph WHERE source_node = 'ACC0000030' OR target_node = 'ACC0000030'",
     )
+    ordered = "FROM (FROM network_graph n ORDER BY n.total_volume_inr DESC, n.source_node, n.target_node, n.link_type LIMIT {size} OFFSET {skip})"
+    for page in (1, 50):
+        reg.add(
+            f"n4_page{page}", lambda w, page=page: network.links_page(w.flows, w.device_use, page, LINKS_PER_PAGE), _EDGE,
+            ordered.format(size=LINKS_PER_PAGE, skip=(page - 1) * LINKS_PER_PAGE),
+        )
     reg.add(
         "n6", lambda w: network.ring_summary(w.flows, w.device_use),
         "link_type; count(*) AS connected_pairs:i; sum(total_volume_inr) AS total_ring_volume_inr:d", "FROM network_graph GROUP BY link_type",

@@ -2,16 +2,20 @@
 
 The unit of work is one row per (device, account), never a pair of transaction
 rows. Totals over pairs (ring summary, network KPIs) use closed forms and list no
-pair at all; a neighbourhood opens only the pairs of the account asked for; the
-largest links come from a pruned candidate set that provably holds them. Only the
-full link list, whose rows are the pairs themselves, enumerates them.
+pair at all; a neighbourhood opens only the pairs of the account asked for. Links in
+order of volume come from sorted member lists: the largest ones and the page after a
+given link look at positions that can hold them. Only the full link list, whose rows are
+the pairs themselves, enumerates them, block by block of a device.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ledgerwatch.operators.cycles import running_sums
+from ledgerwatch.session import stage_table
+
 FLOW = "TRANSACTION_FLOW"
 SHARED_COUNTERS = ("BRANCH", "BRANCH-COUNTER")
 EXTERNAL_PREFIX = "EXT-BENF-"
@@ -19,6 +23,9 @@ EDGE_COLUMNS = [
     "source_node", "source_cust_id", "source_name", "target_node", "target_cust_id", "target_name",
     "link_type", "txn_count", "total_volume_inr", "last_activity",
 ]
+BLOCK = 500  # members of a device on one side of a join task of the full list
+LIST_SPLIT = 100  # per factor e of an amount: sorted lists are split where amounts differ by 1 %
+LINK_ORDER = ["total_volume_inr", "source_node", "target_node", "link_type"]  # the first descending
 
 
 def _owners(accounts: DataFrame, customers: DataFrame, side: str) -> DataFrame:
@@ -71,8 +78,8 @@ def device_use(transactions: DataFrame, accounts: DataFrame, customers: DataFram
 _MEMBER = ["account_id", "customer_id", "full_name", "n", "amount", "last_ts"]
 
 
-def _links(pairs: DataFrame) -> DataFrame:
-    """Link rows of (device_id, a, b), a and b being member structs, a the lower account."""
+def _links(pairs: DataFrame, *carry: str) -> DataFrame:
+    """Link rows of (device_id, a, b), a and b being member structs, a the lower account; ``carry`` columns stay."""
     # sum over row pairs of (x + y)/2 = (n_b * sum_a + n_a * sum_b)/2
     volume = (F.col("b.n") * F.col("a.amount") + F.col("a.n") * F.col("b.amount")) * F.lit("0.5").cast("decimal(2,1)")
     return pairs.select(
@@ -83,6 +90,7 @@ def _links(pairs: DataFrame) -> DataFrame:
         F.lit(1).cast("bigint").alias("txn_count"),
         volume.cast("decimal(38,3)").alias("total_volume_inr"),
         F.greatest("a.last_ts", "b.last_ts").alias("last_activity"),
+        *carry,
     )
 
 
@@ -90,10 +98,23 @@ def _members(use: DataFrame, name: str) -> DataFrame:
     return use.select("device_id", F.struct(*_MEMBER).alias(name))
 
 
-def device_edges(use: DataFrame) -> DataFrame:
-    """The full list of shared-device links."""
-    pairs = _members(use, "a").join(_members(use, "b"), "device_id").where("a.account_id < b.account_id")
-    return _links(pairs)
+def device_edges(use: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The full list of shared-device links.
+
+    The members of a device are dealt into blocks of about ``block``; every pair of blocks is a join key
+    of its own, so a device with a third of all accounts is spread over as many keys as it has block
+    pairs, and no key holds more than two blocks. Each member is copied once per block of its device.
+    """
+    sizes = use.groupBy("device_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    own = F.pmod(F.xxhash64("account_id"), F.col("blocks")).cast("int")
+    dealt = use.join(sizes.drop("members"), "device_id").select("device_id", F.struct(*_MEMBER).alias("m"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keys = ["device_id", "low", "high"]
+    left = dealt.where("own <= other").select("device_id", F.col("own").alias("low"), F.col("other").alias("high"), F.col("m").alias("x"))
+    right = dealt.where("own >= other").select("device_id", F.col("other").alias("low"), F.col("own").alias("high"), F.col("m").alias("y"))
+    # inside one block both sides hold all members: a pair is met twice there
+    met = left.join(right, keys).where("low < high OR x.account_id < y.account_id")
+    first = F.col("x.account_id") < F.col("y.account_id")
+    return _links(met.select("device_id", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")))
 
 
 def network_graph(flows: DataFrame, use: DataFrame) -> DataFrame:
@@ -110,15 +131,18 @@ def neighbourhood(flows: DataFrame, use: DataFrame, *, customer_id: str | None =
     else:
         in_flow = (F.col("source_node") == account_id) | (F.col("target_node") == account_id)
         own = "account_id", account_id
-    mine = _members(use.where(F.col(own[0]) == own[1]), "m")
-    met = mine.join(_members(use, "o"), "device_id").where("m.account_id <> o.account_id")
+    return flows.where(in_flow).unionByName(own_links(use.where(F.col(own[0]) == own[1]), use, *own))
+
+
+def own_links(mine: DataFrame, use: DataFrame, column: str, value: str) -> DataFrame:
+    """Device links of the members ``mine``, all those of ``use`` whose ``column`` is ``value``."""
+    met = _members(mine, "m").join(_members(use, "o"), "device_id").where("m.account_id <> o.account_id")
     # a pair of two own accounts is met from both sides: keep one
-    once = met.where((F.col(f"o.{own[0]}") != own[1]) | (F.col("m.account_id") < F.col("o.account_id")))
+    once = met.where((F.col(f"o.{column}") != value) | (F.col("m.account_id") < F.col("o.account_id")))
     lower = F.col("m.account_id") < F.col("o.account_id")
-    pairs = once.select(
+    return _links(once.select(
         "device_id", F.when(lower, F.col("m")).otherwise(F.col("o")).alias("a"), F.when(lower, F.col("o")).otherwise(F.col("m")).alias("b")
-    )
-    return flows.where(in_flow).unionByName(_links(pairs))
+    ))
 
 
 def device_totals(use: DataFrame) -> DataFrame:
@@ -161,19 +185,119 @@ def network_kpis(flows: DataFrame, use: DataFrame) -> DataFrame:
     return totals.withColumn("unique_nodes", nodes.scalar())
 
 
+def _ordered(links: DataFrame) -> DataFrame:
+    first, *rest = LINK_ORDER
+    return links.orderBy(F.desc(first), *rest)
+
+
+def _ranked(use: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """Members in their lists with ``pos``, and ``probes`` with the number of members before them.
+
+    A list is the accounts of one device with the same number n of rows, largest amount first, then
+    account. Positions are running sums split by amount, so a list with a third of all accounts is
+    not sorted in one task.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    key = [F.col("device_id"), F.col("n").alias("list"), _cents(F.col("amount")).alias("at"), F.col("account_id").alias("name")]
+    rows = use.select(*key, F.lit(1).alias("side"), one.alias("here"), F.struct(*_MEMBER).alias("m"), F.lit(None).cast("bigint").alias("partner_list"))
+    if probes is not None:
+        rows = rows.unionByName(probes.withColumn("here", none))
+    # grows as amounts fall; amounts of nothing or less come last
+    span = F.when(F.col("at") > 0, -F.floor(F.log(F.col("at").cast("double")) * LIST_SPLIT)).otherwise(F.lit(1 << 40))
+    return running_sums(rows.withColumn("down", -F.col("at")), ["device_id", "list"], span, ["down", "name", "side"], ["here"])
+
+
+def _cents(amount: Column) -> Column:
+    return (amount * 100).cast("decimal(38,0)")
+
+
+def _lists(use: DataFrame) -> DataFrame:
+    """Size of each list of a device with several members."""
+    sizes = use.groupBy("device_id", F.col("n").alias("list")).agg(F.count(F.lit(1)).alias("size"))
+    several = sizes.groupBy("device_id").agg(F.sum("size").alias("members")).where("members > 1").select("device_id")
+    return sizes.join(several, "device_id", "left_semi")
+
+
+def _paired(rows: DataFrame, members: DataFrame, *carry: str) -> DataFrame:
+    """Links of member ``m`` with the member at position ``at_pos`` of ``partner_list``."""
+    other = members.select("device_id", F.col("list").alias("partner_list"), F.col("pos").alias("at_pos"), F.col("m").alias("o"))
+    met = rows.join(other, ["device_id", "partner_list", "at_pos"])
+    first = F.col("m.account_id") < F.col("o.account_id")
+    pairs = met.withColumns({"a": F.when(first, F.col("m")).otherwise(F.col("o")), "b": F.when(first, F.col("o")).otherwise(F.col("m"))})
+    return _links(pairs, *carry)
+
+
 def largest_links(flows: DataFrame, use: DataFrame, k: int) -> DataFrame:
     """The k links with the greatest volume (ties: source, target, link type).
 
-    A pair's volume grows with both the rows and the amount of each member. Among
-    the accounts of a device with the same number of rows, one that has k + 1
-    accounts ahead of it by amount (then account) is therefore beaten by at least
-    k pairs in every pair it could form, and can be left out without changing the
-    result. What remains is joined; the device's full pair list is never built.
+    A pair's volume grows with the amount of each member, so in two lists of a device the pair at
+    positions (x, y) is behind all pairs (x', y') with x' <= x and y' <= y: at most k ln k positions
+    per two lists can be among the k largest, and only those are looked up.
     """
-    ahead = Window.partitionBy("device_id", "n").orderBy(F.desc("amount"), "account_id")
-    candidates = use.withColumn("rn", F.row_number().over(ahead)).where(F.col("rn") <= k + 1).drop("rn")
-    order = [F.desc("total_volume_inr"), "source_node", "target_node", "link_type"]
-    return flows.unionByName(device_edges(candidates)).orderBy(*order).limit(k)
+    members = _ranked(use).select("device_id", "list", "m", F.col("cum_here").alias("pos")).where(F.col("pos") <= k + 1)
+    lists = _lists(use).select("device_id", F.col("list").alias("partner_list"), "size")
+    x = F.col("pos")
+    same = F.col("list") == F.col("partner_list")
+    # number of pairs that are not behind (x, y), itself included: x * y, in one list x * y - x (x + 1) / 2
+    last = F.when(same, F.floor((k + x * (x + 1) / 2) / x)).otherwise(F.floor(F.lit(k) / x)).cast("bigint")
+    rows = members.join(lists, "device_id").where("list <= partner_list").withColumn("from_pos", F.when(same, x + 1).otherwise(1)).withColumn("to_pos", F.least(last, "size"))
+    rows = rows.where("from_pos <= to_pos").withColumn("at_pos", F.explode(F.sequence("from_pos", "to_pos")))
+    return _ordered(flows.unionByName(_paired(rows, members))).limit(k)
+
+
+def links_after(flows: DataFrame, use: DataFrame, after: Row | dict, size: int) -> DataFrame:
+    """The next ``size`` links behind the link ``after`` (its LINK_ORDER columns), in order.
+
+    Per member and partner list the partners behind ``after`` are the rest of the list from one
+    position on, which a probe finds in the sorted list. Of these (member, list) rows only the
+    ``size`` with the largest first link matter, and of the row ranked r only its first size - r + 1
+    partners. So a page costs one pass over the members and size^2 / 2 lookups, whichever page it is.
+    """
+    key = {c: F.lit(after[c]) for c in LINK_ORDER}
+    key["total_volume_inr"] = key["total_volume_inr"].cast("decimal(38,3)")
+    # behind: a smaller volume, or the same and later names
+    names = F.struct(*[F.col(c) for c in LINK_ORDER[1:]]) > F.struct(*[key[c].alias(c) for c in LINK_ORDER[1:]])
+    volume = F.col("total_volume_inr")
+    behind = (volume < key["total_volume_inr"]) | ((volume == key["total_volume_inr"]) & names)
+
+    # each pair is looked for from one side only: from its shorter list, in one list from the earlier member
+    rows = use.join(_lists(use).select("device_id", F.col("list").alias("other_list")), "device_id").where("n <= other_list")
+    rest = _cents(key["total_volume_inr"] * 2) - F.col("other_list") * _cents(F.col("amount"))  # what n times the partner's amount may be
+    at = F.floor(rest / F.col("n")).cast("decimal(38,0)")
+    at = F.when(at * F.col("n") > rest, at - 1).when((at + 1) * F.col("n") <= rest, at + 1).otherwise(at)
+    me, kind = F.col("account_id"), F.concat(F.lit("SHARED_DEVICE ("), "device_id", F.lit(")"))
+    tied = at * F.col("n") == rest
+    # among partners that tie with ``after``, the first name that comes behind it, and whether that name itself does
+    full = (me > key["target_node"]) | ((me == key["target_node"]) & (kind > key["link_type"]))
+    name = F.when(~tied, F.lit("")).when(me < key["source_node"], F.lit("\U0010ffff")).when(me == key["source_node"], key["target_node"]).otherwise(key["source_node"])
+    included = F.when(me == key["source_node"], kind > key["link_type"]).otherwise(full)
+    probes = rows.select(
+        "device_id", F.col("other_list").alias("list"), at.alias("at"), name.alias("name"), F.when(included, 0).otherwise(2).alias("side"),
+        F.struct(*_MEMBER).alias("m"), F.col("n").alias("partner_list"),
+    )
+    ranked = stage_table(_ranked(use, probes).select("device_id", "list", "m", "partner_list", F.col("cum_here").alias("pos"), F.col("all_here").alias("size")), "ranked-links")
+    members = ranked.where("partner_list IS NULL")
+    own = members.select("device_id", F.col("list").alias("partner_list"), F.col("m.account_id").alias("account_id"), F.col("pos").alias("own_pos"))
+    starts = ranked.where("partner_list IS NOT NULL").withColumn("account_id", F.col("m.account_id")).join(own, ["device_id", "partner_list", "account_id"])
+    first = F.when(F.col("list") == F.col("partner_list"), F.greatest(F.col("pos"), F.col("own_pos"))).otherwise(F.col("pos")) + 1
+    starts = starts.select("device_id", F.col("list").alias("partner_list"), "m", first.alias("first"), "size").where("first <= size")
+
+    carry = ["device_id", "partner_list", "m", "first", "size"]
+    best = _ordered(_paired(starts.withColumn("at_pos", F.col("first")), members, *carry)).limit(size)
+    by_rank = Window.orderBy(F.desc(LINK_ORDER[0]), *LINK_ORDER[1:])  # over the ``size`` rows of best
+    best = best.select(*carry, F.row_number().over(by_rank).alias("r"))
+    ahead = F.sequence("first", F.least("size", F.col("first") + size - F.col("r")))
+    found = _paired(best.withColumn("at_pos", F.explode(ahead)), members)
+    return _ordered(flows.where(behind).unionByName(found)).limit(size)
+
+
+def links_page(flows: DataFrame, use: DataFrame, number: int, size: int) -> DataFrame:
+    """Page ``number`` (from 1) of all links in order; its key, one link, comes to the driver."""
+    if number == 1:
+        return largest_links(flows, use, size)
+    shown = (number - 1) * size
+    last = largest_links(flows, use, shown).offset(shown - 1).first()
+    return flows.limit(0) if last is None else links_after(flows, use, last, size)
 
 
 def external_beneficiaries(transactions: DataFrame) -> DataFrame:

@@ -71,6 +71,28 @@ def merge_snapshot(
     return joined.select(*[value(f.name, f.dataType).alias(f.name) for f in target.schema.fields])
 
 
+INSERT, UPDATE, RETRACT = "INSERT", "UPDATE", "RETRACT"
+
+
+def changes_between(before: DataFrame, after: DataFrame, key: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """What turns ``before`` into ``after``: op and the columns of ``after`` (of ``before`` where a row is taken back).
+
+    A row whose columns other than ``ignore`` are the same is no change. Both have unique keys.
+    """
+    compared = [c for c in after.columns if c != key and c not in ignore]
+    pack = lambda df, name: df.select(key, F.struct(*after.columns).alias(name), F.struct(*compared).alias(f"{name}_c"))
+    both = pack(before, "b").join(pack(after, "a"), key, "full_outer")
+    op = F.when(F.col("b").isNull(), INSERT).when(F.col("a").isNull(), RETRACT).when(~F.col("a_c").eqNullSafe(F.col("b_c")), UPDATE)
+    return both.withColumn("op", op).where(F.col("op").isNotNull()).select("op", F.coalesce("a", "b").alias("row")).select("op", "row.*")
+
+
+def replayed(changes: DataFrame, key: str, order: str) -> DataFrame:
+    """The table that a log of changes amounts to: per key its last change, unless that takes it back."""
+    columns = [c for c in changes.columns if c not in ("op", order)]
+    last = changes.groupBy(key).agg(F.max_by(F.struct("op", *columns), order).alias("c"))
+    return last.where(F.col("c.op") != RETRACT).select(*[F.col(f"c.{c}").alias(c) for c in columns])
+
+
 class BatchLog:
     """Which batches are complete: one line per batch, written after all its folders.
 

@@ -225,7 +225,7 @@ def b19(w: Workspace) -> DataFrame:
 # --- network -----------------------------------------------------------------
 @question("b20", "Links of one customer")
 def b20(w: Workspace, customer_id: str = DEFAULT_CUSTOMER) -> DataFrame:
-    return network.neighbourhood(w.flows, w.device_use, customer_id=customer_id).select(_LINK)
+    return w.links.neighbourhood(customer_id=customer_id).select(_LINK)
 
 
 @question("b21", "Rings by link type")
@@ -242,7 +242,7 @@ def b22(w: Workspace) -> DataFrame:
 
 @question("b23", "Links of one account")
 def b23(w: Workspace, account_id: str = DEFAULT_ACCOUNT) -> DataFrame:
-    return network.neighbourhood(w.flows, w.device_use, account_id=account_id).select(
+    return w.links.neighbourhood(account_id=account_id).select(
         "source_node", "target_node", "link_type", "txn_count", "total_volume_inr", "last_activity"
     )
 

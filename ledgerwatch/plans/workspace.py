@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions.windows import DATE_PARTITION, Anchor, fixed, latest, reference_time
 from ledgerwatch.operators import credit, cycles, drafts, evidence, governance, liquidity, network, rules, signals
+from ledgerwatch.operators.adjacency import LinkTables
 from ledgerwatch.operators.search_index import SearchIndex
 from ledgerwatch.plans.store import CuratedStore, session_store
 from ledgerwatch.session import shared_dir
@@ -159,11 +160,22 @@ class Workspace:
 
     @cached_property
     def flows(self) -> DataFrame:
-        return network.flow_edges(self.transactions, self.accounts, self.customers)
+        return self._stored("flow_links", lambda: network.flow_edges(self.transactions, self.accounts, self.customers))
 
     @cached_property
     def device_use(self) -> DataFrame:
-        return network.device_use(self.transactions, self.accounts, self.customers)
+        return self._stored("device_use", lambda: network.device_use(self.transactions, self.accounts, self.customers))
+
+    @cached_property
+    def links(self) -> LinkTables:
+        """Links and device members in folders by owner and device; with a store they are written once per refresh."""
+
+        def build(path: str) -> LinkTables:
+            tables = LinkTables(self.spark, path)
+            tables.build(self.accounts, self.flows, self.device_use)
+            return tables
+
+        return self.store.folder("link_tables", build) if self.store else build(shared_dir(self.spark, "link-tables"))
 
     @cached_property
     def recent_high_risk(self) -> DataFrame:

@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from ledgerwatch.operators.state import replayed
 from ledgerwatch.plans.workspace import Workspace
 from ledgerwatch.session import shared_dir
 from ledgerwatch.sources import derived
 from ledgerwatch.sources.tables import SCHEMAS
+from ledgerwatch.streaming.arrivals import Arrivals
 from ledgerwatch.streaming.books import CoverageRefresh, LoanRefresh
 from ledgerwatch.streaming.refresh import AlertRefresh
 from ledgerwatch.streaming.rings import RingState
 from ledgerwatch.streaming.windows import pane_totals, window_totals
 
 SLIDE_HOURS = 12
+FIRST_DAY, ARRIVAL_DAYS, ARRIVAL_LATE = dt.date(2026, 7, 31), 20, "25 days"
 
 
 def table_stream(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
@@ -95,15 +98,55 @@ def refreshed_rings(w: Workspace, batches: int = 3) -> DataFrame:
     return rings.rings.read()
 
 
-def states_as_of(w: Workspace, early: dt.datetime, held_back: str) -> DataFrame:
-    """Findings, with their evidence counted, as of two times of one refresh.
+def two_batches(w: Workspace, early: dt.datetime, held_back: str) -> AlertRefresh:
+    """A refresh in two batches; with a store it is run once.
 
     The second batch holds what happened from ``early`` on, and rows of before that come late: those whose id ends in ``held_back``.
     """
-    refresh = AlertRefresh(w.spark, shared_dir(w.spark, "as-of"), w.accounts, w.customers, w.watchlist)
-    rows, first = w.transactions.select(StructType.fromDDL(SCHEMAS["transactions"]).names), (F.col("txn_ts") < F.lit(early)) & ~F.col("txn_id").endswith(held_back)
-    refresh(rows.where(first), 0)
-    refresh(rows.where(~first), 1)
+
+    def build(path: str) -> AlertRefresh:
+        refresh = AlertRefresh(w.spark, path, w.accounts, w.customers, w.watchlist)
+        rows, first = w.transactions.select(StructType.fromDDL(SCHEMAS["transactions"]).names), (F.col("txn_ts") < F.lit(early)) & ~F.col("txn_id").endswith(held_back)
+        refresh(rows.where(first), 0)
+        refresh(rows.where(~first), 1)
+        return refresh
+
+    name = f"two-batches-{early:%Y%m%d%H%M%S}-{held_back}"
+    return w.store.folder(name, build) if w.store else build(shared_dir(w.spark, name))
+
+
+def alert_corrections(w: Workspace, early: dt.datetime, held_back: str) -> DataFrame:
+    """Alerts that the batches of ``two_batches`` added, changed or took back, and the state that these amount to."""
+    log = two_batches(w, early, held_back).changes()
+    shown = ["alert_id", "typology", "risk_score", "recommended_action", "flag_names", "inflow_amt_48h"]
+    by_batch = log.select(F.col("batch_id").cast("string").alias("batch"), "op", *shown)
+    return by_batch.unionByName(replayed(log, "alert_id", "batch_id").select(F.lit("ALL").alias("batch"), F.lit("STATE").alias("op"), *shown))
+
+
+def arrivals(w: Workspace, first_day: dt.date = FIRST_DAY, span: int = ARRIVAL_DAYS, late: str = ARRIVAL_LATE) -> DataFrame:
+    """Outcome of each transaction of a feed in three runs, by arrival and day.
+
+    A run brings the transactions of ``span`` days. Ids that end in 5 come again with the next run, those in 3 come one run
+    late, and those in 7 of the first days come with the last run, partly behind the watermark.
+    """
+    schema = SCHEMAS["transactions"].replace("timestamp_ntz", "timestamp") + ", arrival int"
+    feed = Arrivals(w.spark, shared_dir(w.spark, "arrivals"), schema, "txn_id", "txn_ts", late)
+    rows = w.transactions.select(StructType.fromDDL(SCHEMAS["transactions"]).names).withColumn("txn_ts", F.col("txn_ts").cast("timestamp"))
+    own = F.greatest(F.lit(0), F.least(F.lit(2), F.floor(F.datediff(F.col("txn_ts"), F.lit(first_day)) / span))).cast("int")
+    last = F.right("txn_id", F.lit(1))
+    once = F.when(last == "3", F.least(F.lit(2), own + 1)).when((last == "7") & (own == 0), F.lit(2)).otherwise(own)
+    dealt = rows.withColumn("arrival", F.explode(F.when((last == "5") & (own < 2), F.array(own, own + 1)).otherwise(F.array(once))))
+    for run in range(3):
+        feed.land(dealt.where(F.col("arrival") == run))
+        feed.run()
+    return feed.outcomes(["arrival"]).groupBy("outcome", "arrival", F.col("txn_ts").cast("date").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount_inr").alias("amount")
+    )
+
+
+def states_as_of(w: Workspace, early: dt.datetime, held_back: str) -> DataFrame:
+    """Findings, with their evidence counted, as of two times of one refresh (``two_batches``)."""
+    refresh = two_batches(w, early, held_back)
 
     def seen(name: str, when: dt.datetime) -> DataFrame:
         state = refresh.as_of(when)

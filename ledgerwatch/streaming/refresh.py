@@ -5,7 +5,7 @@ State per run folder, all of it written tables (nothing lives in executors):
 * ``transactions``: by day and batch; a batch replaces only its own folders;
 * ``activity``: last transaction per account among days that left the ten-day span;
 * ``rings``: large transfers and cycles, changed by what a batch touches (``streaming.rings``);
-* ``alerts``: one folder per batch;
+* ``alerts``: one folder per batch; ``changes``: per batch the alerts it added, changed or took back;
 * ``findings`` and ``evidence``: dealt by alert into the same buckets, of which a batch reads and
   rewrites those of its alerts;
 * ``times``: the reference time of every batch, for reads as of an earlier time;
@@ -31,7 +31,7 @@ from ledgerwatch.functions.windows import fixed
 from ledgerwatch.operators.evidence import new_evidence, upsert_findings
 from ledgerwatch.operators.rules import fraud_alerts
 from ledgerwatch.operators.signals import WINDOW_HOURS, account_signals
-from ledgerwatch.operators.state import BucketTable, SnapshotStore
+from ledgerwatch.operators.state import BucketTable, SnapshotStore, changes_between
 from ledgerwatch.sources.tables import SCHEMAS
 from ledgerwatch.streaming.rings import RingState
 
@@ -79,6 +79,10 @@ class AlertRefresh:
     def alerts(self, batch_id: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/alerts/batch_id={batch_id}")
 
+    def changes(self) -> DataFrame:
+        """Corrections of the alerts, batch by batch: op, batch_id and the alert; ``replayed`` gives the last snapshot."""
+        return self.spark.read.option("basePath", f"{self.root}/changes").parquet(f"{self.root}/changes/*").withColumn("batch_id", F.col("batch_id").cast("bigint"))
+
     def as_of(self, when: dt.datetime) -> KeptState:
         """Every kept table as the last batch with a reference time up to ``when`` left it.
 
@@ -125,6 +129,10 @@ class AlertRefresh:
         )
         fraud_alerts(signals).write.mode("overwrite").parquet(f"{self.root}/alerts/batch_id={batch_id}")
         alerts = self.alerts(batch_id)
+        earlier = self.times.read().agg(F.max("batch_id")).first()[0]
+        known = alerts.limit(0) if earlier is None else self.alerts(earlier)
+        # the time of a refresh is no change of an alert
+        changes_between(known, alerts, "alert_id", ignore=("signal_as_of",)).write.mode("overwrite").parquet(f"{self.root}/changes/batch_id={batch_id}")
         buckets = self.findings.touched(alerts)
         self.findings.replace(upsert_findings(self.findings.read(buckets), alerts), buckets, batch_id)
         seen = self.evidence.read(buckets)

@@ -7,9 +7,11 @@ from decimal import Decimal
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 import small_bank as sb
 from ledgerwatch.operators import network
+from ledgerwatch.operators.adjacency import LinkTables
 
 
 @pytest.fixture(scope="module")
@@ -90,6 +92,61 @@ def test_neighbourhood_equals_filtered_graph(world):
         network.neighbourhood(flows, use)
 
 
+@pytest.mark.parametrize("block", [1, 2, 7])
+def test_blocks_of_a_device_list_every_pair_once(world, block):
+    rows, _, use = world
+    got = network.device_edges(use, block).collect()
+    assert len(got) == len({(r.source_node, r.target_node, r.link_type) for r in got})
+    assert {(r.source_node, r.target_node, r.link_type): (r.total_volume_inr, r.last_activity) for r in got} == naive_pairs(rows)
+
+
+def order(r):
+    return -r.total_volume_inr, r.source_node, r.target_node, r.link_type
+
+
+def test_pages_follow_each_other(world):
+    """From link to link over the whole list, ties included; a key that is no link itself stands between two."""
+    _, flows, use = world
+    want = sorted(network.network_graph(flows, use).collect(), key=order)
+    for at, size in ((0, 7), (1, 30), (len(want) // 3, 11), (len(want) // 2, 25), (len(want) - 4, 10), (len(want) - 1, 5)):
+        assert [order(r) for r in network.links_after(flows, use, want[at], size).collect()] == [order(r) for r in want[at + 1 : at + 1 + size]]
+    middle = want[len(want) // 2]
+    between = {**middle.asDict(), "target_node": middle.target_node + "!"}
+    assert network.links_after(flows, use, between, 3).collect() == want[len(want) // 2 + 1 :][:3]
+    assert network.links_page(flows, use, 3, 9).collect() == want[18:27]
+    assert network.links_page(flows, use, 1 + len(want), 9).count() == 0
+
+
+def test_pages_of_equal_amounts(spark):
+    """All links of a device tie; names alone decide."""
+    names = [f"B{i:02d}" for i in range(9)]
+    txns = sb.transactions(spark, [dict(account_id=a, device_id=d, txn_ts=sb.T0, amount_inr="10.00") for a in names for d in ("X", "Y")])
+    acc = sb.accounts(spark, [dict(account_id=a, customer_id=a) for a in names])
+    cust = sb.customers(spark, [dict(customer_id=a, full_name=a) for a in names])
+    flows, use = network.flow_edges(txns, acc, cust), network.device_use(txns, acc, cust).cache()
+    want = sorted(network.device_edges(use).collect(), key=order)
+    assert len(want) == 72
+    for at in (0, 1, 14, 15, 40, 70):
+        assert network.links_after(flows, use, want[at], 6).collect() == want[at + 1 : at + 7]
+
+
+def test_stored_links_open_one_folder(spark, world, tmp_path):
+    _, flows, use = world
+    names = [f"A{i:02d}" for i in range(25)]
+    owners = sb.accounts(spark, [dict(account_id=a, customer_id="C03" if a == "A04" else f"C{a[1:]}") for a in names])
+    links = LinkTables(spark, str(tmp_path / "links"), buckets=8)
+    links.build(owners, flows, use)
+    for how in (dict(account_id="A07"), dict(customer_id="C03"), dict(account_id="EXT-BENF-001"), dict(customer_id="NOBODY")):
+        got, want = (sorted(map(str, f(**how).collect())) for f in (links.neighbourhood, lambda **k: network.neighbourhood(flows, use, **k)))
+        assert got == want
+    plan = links.neighbourhood(account_id="A07")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(bucket") == plan.count("PartitionFilters: [") >= 3
+    opened = links.read("ends", [links._bucket_of("C07")]).select(F.input_file_name().alias("f")).distinct().collect()
+    assert opened and all(f"bucket={links._bucket_of('C07')}/" in r.f for r in opened)
+    with pytest.raises(ValueError):
+        links.neighbourhood()
+
+
 def test_flow_edges_name_unknown_targets_by_their_own_key(world):
     _, flows, _ = world
     ext = [r for r in flows.collect() if r.target_node.startswith("EXT-")]
