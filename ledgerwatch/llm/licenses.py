@@ -5,8 +5,11 @@ at line ends and also, for wrapped notices, over the lines of a paragraph. Each
 by zstandard alone and with every template as raw dictionary. All templates that make it
 smaller by ``LEAST_REDUCTION`` are confirmed word by word: an alignment lists the template's
 words that the block lacks and the words between that it adds; names and versions (the words
-that tell one licence from another) must all be there. Names of other licences in the sentence
-are left out of the alignment, so a sentence that lists several licences has all of them.
+that tell one licence from another) must all be there. A template is refused where the difference
+tells another licence or denies it: words such as "lesser" or "affero" between its words, a
+negation between or just before them in the clause, or a condition further on that only the other
+licence has. Names of other licences in the sentence are left out of the alignment, so a
+sentence that lists several licences has all of them.
 
 Defined cases: null and empty texts have no blocks; rows with equal ids or texts are reported
 once per row; of overlapping spans of one licence the wording with most words there, then the
@@ -42,6 +45,15 @@ NAMES = {
     "CC-BY-4.0": "CC BY 4.0", "CC-BY-SA-4.0": "CC BY-SA 4.0", "CC-BY-NC-4.0": "CC BY-NC 4.0", "CC-BY-ND-4.0": "CC BY-ND 4.0",
     "CC-BY-NC-SA-4.0": "CC BY-NC-SA 4.0", "CC-BY-NC-ND-4.0": "CC BY-NC-ND 4.0", "CC-BY-3.0": "CC BY 3.0", "CC-BY-SA-3.0": "CC BY-SA 3.0",
 }
+# fixed values: the same licences by other names
+OTHER_NAMES = {
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International", "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International", "CC-BY-ND-4.0": "Creative Commons Attribution-NoDerivatives 4.0 International",
+    "CC-BY-NC-SA-4.0": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International",
+    "CC-BY-NC-ND-4.0": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International",
+    "CC-BY-3.0": "Creative Commons Attribution 3.0 Unported", "CC-BY-SA-3.0": "Creative Commons Attribution-ShareAlike 3.0 Unported",
+    "CC0-1.0": "CC0 1.0 Universal", "MPL-2.0": "Mozilla Public License 2.0", "Apache-2.0": "Apache License 2.0",
+}
 PHRASES = ["Licensed under {}", "Licensed under the {}", "Released under the {}", "This work is licensed under the {}", "Distributed under the terms of the {}"]
 WORDINGS = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
@@ -56,15 +68,34 @@ WORDINGS = {
     "either version 3 of the License, or (at your option) any later version.",
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
     "either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+    "Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+    "Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software "
+    "Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific "
+    "prior written permission.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+    "following restrictions:",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
 }
 CUES = ["licens", "licenc", "copyright", "rights reserved", "permission", "spdx", "public domain", "warrant", "creative commons", "redistribut", "cc by", "cc0"]
 
+# fixed values: words of a wording that must be there, words that tell another licence where they come between,
+# conditions further on that only another licence has, and words that deny
+IDENTITY = {"2", "3", "2.0", "2.1", "apache", "lesser", "affero", "mozilla", "neither", "endorse"}
+LATER = {"BSD-2-Clause": ["neither the name of", "to endorse or promote"]}
+DENYING = {"not", "never", "nor", "cannot", "isn", "aren", "wasn"}
+TELLING = {"lesser", "library", "affero", "except"} | DENYING
+DENIED_WITHIN = 3  # words before the wording, in one clause
+
 _CUE = re.compile("|".join(map(re.escape, CUES)), re.I)
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
+_SENTENCE = re.compile(r"[^\n]+?(?:(?<!\s[vV])[.!?](?=\s)|(?=\n)|\Z)")
 _PARAGRAPH = re.compile(r"[^\n]*[^\W_][^\n]*(?:\n[^\n]*[^\W_][^\n]*)*")
-_WRAPPED = re.compile(r".+?(?:[.!?](?=\s)|\Z)", re.S)
+_WRAPPED = re.compile(r".+?(?:(?<!\s[vV])[.!?](?=\s)|\Z)", re.S)
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -72,13 +103,34 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower().replace("licence", "license"))
 
 
+def clause_starts(text: str) -> list[bool]:
+    """For each word whether punctuation stands before it."""
+    out, end = [], 0
+    low = text.lower()
+    for m in _WORD.finditer(low.replace("licence", "license")):
+        out.append(any(c in ".,;:!?" for c in low[end : m.start()]))
+        end = m.end()
+    return out
+
+
+def denied(block: list[str], starts: list[bool], at: int) -> bool:
+    """Whether a negation stands just before word ``at``, in its clause."""
+    for i in range(at - 1, max(-1, at - 1 - DENIED_WITHIN), -1):
+        if starts[i + 1]:
+            return False
+        if block[i] in DENYING or block[i] == "longer" and i and block[i - 1] == "no":
+            return True
+    return False
+
+
 @cache
 def templates() -> list[tuple[str, str, list[str], frozenset[str]]]:
     """(licence, wording, its words, words that must be there)."""
-    out = [(name, text, words(text), frozenset(w for w in words(text) if w in ("2", "3", "2.0", "apache"))) for name, text in WORDINGS.items()]
-    for name, title in NAMES.items():
+    out = [(name, text, words(text), IDENTITY.intersection(words(text))) for name, text in WORDINGS.items()]
+    for name, title in [*NAMES.items(), *OTHER_NAMES.items()]:
         own = frozenset(words(title)) - {"license", "version", "the"}
         out += [(name, p.format(title) + ".", words(p.format(title)), own) for p in PHRASES]
+    for name in NAMES:
         out.append((name, f"SPDX-License-Identifier: {name}", words(f"SPDX-License-Identifier: {name}"), frozenset(words(name))))
     return out
 
@@ -86,19 +138,19 @@ def templates() -> list[tuple[str, str, list[str], frozenset[str]]]:
 @cache
 def _titles() -> list[tuple[str, list[str]]]:
     """(licence, words of its name), longest name first."""
-    return sorted(((name, words(title)) for name, title in NAMES.items()), key=lambda x: -len(x[1]))
+    return sorted(((name, words(title)) for name, title in [*NAMES.items(), *OTHER_NAMES.items()]), key=lambda x: -len(x[1]))
 
 
-def without_other_names(block: list[str], licence: str) -> list[str]:
-    """``block`` without the names of the other licences and the small words that list them."""
+def without_other_names(block: list[str], licence: str) -> list[int]:
+    """Places of the words of ``block``, without the names of the other licences and the small words that list them."""
     out, i = [], 0
     while i < len(block):
         name, title = next(((n, t) for n, t in _titles() if block[i : i + len(t)] == t), ("", block[i : i + 1]))
-        i += len(title)
+        start, i = i, i + len(title)
         if name in ("", licence):
-            out += title
+            out += range(start, i)
             continue
-        while out and out[-1] in ("the", "and", "or"):
+        while out and block[out[-1]] in ("the", "and", "or"):
             out.pop()
         while block[i : i + 1] in (["and"], ["or"]):
             i += 1
@@ -167,8 +219,8 @@ def ranked(block: str) -> list[tuple[float, int]]:
     return sorted(((1 - len(c.compress(body)) / whole, i) for i, c in enumerate(with_template)), key=lambda x: (-x[0], x[1]))
 
 
-def differences(block: list[str], number: int) -> tuple[list[str], list[str]] | None:
-    """(template words the block lacks, words it adds between); None if it is another wording."""
+def differences(block: list[str], number: int) -> tuple[list[str], list[str], int] | None:
+    """(template words the block lacks, words it adds between, where it begins); None if it is another wording."""
     _, _, wanted, identity = templates()[number]
     runs = [m for m in SequenceMatcher(None, wanted, block, autojunk=False).get_matching_blocks() if m.size]
     if not runs or not identity <= {w for m in runs for w in wanted[m.a : m.a + m.size]}:
@@ -179,20 +231,28 @@ def differences(block: list[str], number: int) -> tuple[list[str], list[str]] |
         adds += block[b : m.b]
         a, b = m.a + m.size, m.b + m.size
     lacks += wanted[a:]
-    if len(wanted) - len(lacks) < LEAST_COVERED * len(wanted) or len(adds) > MOST_ADDED * len(wanted):
+    if len(wanted) - len(lacks) < LEAST_COVERED * len(wanted) or len(adds) > MOST_ADDED * len(wanted) or not TELLING.isdisjoint(adds):
         return None
-    return lacks, adds
+    return lacks, adds, runs[0].b
+
+
+def told_later(licence: str, rest: str) -> bool:
+    """Whether in ``rest``, which holds a wording, a condition of another licence follows before the wording comes again."""
+    if licence not in LATER:
+        return False
+    _, *behind = " ".join(words(rest)).split(" ".join(words(WORDINGS[licence])[:6]))
+    return bool(behind) and any(phrase in behind[0] for phrase in LATER[licence])
 
 
 def scan(text: str) -> list[tuple[int, int, str, str, float, list[str], list[str]]]:
     """(start, end, licence, wording, reduction, words lacking, words added) of the confirmed blocks."""
     found = []
-    for _, parts in blocks(text):
+    for (_, block_end), parts in blocks(text):
         # a long block may hold several notices: sentences are judged singly, then the block whole
         confirmed = []
         for a, b in parts:
             own = words(text[a:b])
-            counts, bare = Counter(own), {}
+            counts, bare, starts = Counter(own), {}, clause_starts(text[a:b])
             for reduction, number in ranked(text[a:b]):
                 if reduction < LEAST_REDUCTION:
                     break
@@ -202,9 +262,11 @@ def scan(text: str) -> list[tuple[int, int, str, str, float, list[str], list[str
                     continue
                 if name not in bare:
                     bare[name] = without_other_names(own, name)
-                if (d := differences(bare[name], number)) is None:
+                if (d := differences([own[i] for i in bare[name]], number)) is None:
+                    continue
+                lacks, adds, first = d
+                if denied(own, starts, bare[name][first]) or told_later(name, text[a:block_end]):
                     continue
-                lacks, adds = d
                 rank = (len(lacks) - len(wanted), len(adds), b - a, -reduction, number)
                 confirmed.append((rank, (a, b, name, wording, reduction, lacks, adds)))
         taken: dict[str, list[tuple[int, int]]] = {}
