@@ -5,9 +5,8 @@ hold it merge by aggregation. Lines whose estimate is near the threshold are cou
 exactly. A line on ``min_sites`` sites or more, in as many different texts, is boilerplate;
 so is a line of ``LONG_WORDS`` words or more in ``min_texts`` different texts, on however few
 sites. Boilerplate lines go from every text. Equal copies of one text are one text and spread
-nothing, and so are near copies: where such lines are more than ``COPY_SHARE`` of a text's
-characters, texts of similarity ``SIMILARITY`` (sets of five-word shingles) count as one, and
-the lines of these texts are counted again.
+nothing, and so are near copies: of all texts that hold such lines, those of similarity
+``SIMILARITY`` (sets of five-word shingles) count as one, and the lines are counted again.
 
 Scale: the sketches are combined map-side, so a line that is in a third of all rows is one
 row per task. Lines meet the boilerplate list in two joins: the at most ``HOT`` lines that
@@ -29,7 +28,6 @@ from ledgerwatch.llm.frames import fresh, stage
 MIN_SITES = 10
 LONG_WORDS = 50  # from here on texts alone decide
 MIN_TEXTS = 10  # for these
-COPY_SHARE = 0.75
 SIMILARITY = 0.8  # of near copies
 SHINGLE = 5
 MINIMA = 8  # smallest hashes by which near copies meet: 0.8 fails all with probability 3e-6
@@ -135,15 +133,14 @@ def copy_keys(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def without_copies(docs: DataFrame, text: str, lines: DataFrame, found: DataFrame, per_row: DataFrame, row: Column, min_sites: int, min_texts: int) -> DataFrame:
     """``found`` without the lines that are boilerplate only as near copies hold them."""
     body = F.col(f"`{text}`").cast("string")
-    stays = lambda line: ~F.coalesce(F.array_contains("_drop", _line_hash(line)), F.lit(False))
-    slim = docs.select(row.alias("row"), body.alias("text")).join(per_row, "row")
-    left = F.length(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
-    mostly = slim.where(left < (1 - COPY_SHARE) * F.length("text")).select(F.xxhash64("text").alias("body"), "text", "_drop")
-    mostly = stage(mostly.groupBy("body").agg(F.first("text").alias("text"), F.first("_drop").alias("_drop")), "mostly")
-    if mostly.isEmpty():
+    holders = docs.select(row.alias("row"), body.alias("text")).join(per_row.select("row"), "row", "left_semi")
+    holders = holders.groupBy(F.xxhash64("text").alias("body")).agg(F.first("text").alias("text"))
+    copies = stage(copy_keys(holders), "copy-keys")
+    if copies.isEmpty():
         return found
-    doubtful = stage(mostly.select(F.explode("_drop").alias("line")).distinct(), "doubtful")
-    again = lines.join(doubtful, "line", "left_semi").join(copy_keys(mostly.select("body", "text")), "body", "left")
+    # lines that no near copy holds keep their counts
+    doubtful = stage(lines.join(copies, "body", "left_semi").select("line").distinct().join(found, "line", "left_semi"), "doubtful")
+    again = lines.join(doubtful, "line", "left_semi").join(copies, "body", "left")
     again = stage(again.select("line", "long", "site", F.coalesce("copy", "body").alias("body")), "again")
     sure = boilerplate_lines(again, min_sites, min_texts).select("line")
     return stage(found.join(doubtful, "line", "left_anti").unionByName(found.join(sure, "line", "left_semi")), "boilerplate")
