@@ -133,13 +133,20 @@ def copy_keys(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def without_copies(docs: DataFrame, text: str, lines: DataFrame, found: DataFrame, per_row: DataFrame, row: Column, min_sites: int, min_texts: int) -> DataFrame:
     """``found`` without the lines that are boilerplate only as near copies hold them."""
     body = F.col(f"`{text}`").cast("string")
-    holders = docs.select(row.alias("row"), body.alias("text")).join(per_row.select("row"), "row", "left_semi")
-    holders = holders.groupBy(F.xxhash64("text").alias("body")).agg(F.first("text").alias("text"))
+    # one row of each text first, by ids alone: equal texts and those without such lines are not moved
+    holders = docs.select(row.alias("row"), F.xxhash64(body).alias("body")).join(per_row.select("row"), "row", "left_semi")
+    one = holders.groupBy("body").agg(F.min("row").alias("row"))
+    texts = docs.select(row.alias("row"), body.alias("text")).join(one, "row")
+    holders = texts.groupBy("body").agg(F.first("text").alias("text"))  # rows that repeat have one key
     copies = stage(copy_keys(holders), "copy-keys")
     if copies.isEmpty():
         return found
-    # lines that no near copy holds keep their counts
-    doubtful = stage(lines.join(copies, "body", "left_semi").select("line").distinct().join(found, "line", "left_semi"), "doubtful")
+    # counting copies as one takes away at most the texts that are copies: most lines stay without a recount
+    held = lines.join(found.select("line"), "line", "left_semi").groupBy("body", "line").agg(F.max("long").alias("long"))
+    merged = held.join(copies.select("body"), "body", "left_semi").groupBy("line").agg(F.count("*").alias("merged"), F.max("long").alias("long"))
+    need = F.when(F.col("long"), min(min_sites, min_texts)).otherwise(min_sites)
+    doubtful = found.join(merged, "line").where(F.col("n_texts") * (1 - MARGIN) - 1 - F.col("merged") < need)
+    doubtful = stage(doubtful.select("line"), "doubtful")
     again = lines.join(doubtful, "line", "left_semi").join(copies, "body", "left")
     again = stage(again.select("line", "long", "site", F.coalesce("copy", "body").alias("body")), "again")
     sure = boilerplate_lines(again, min_sites, min_texts).select("line")
