@@ -115,10 +115,11 @@ def copy_keys(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     last = F.greatest(F.size("words") - SHINGLE, F.lit(0))
-    hashes = F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("words", i + 1, SHINGLE))))
+    shingle = lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(SHINGLE)])
+    hashes = F.array_distinct(F.transform(F.sequence(F.lit(0), last), shingle))
     sets = stage(texts.select("body", words.alias("words")).select("body", hashes.alias("set")), "shingles")
     minima = F.array(*[F.xxhash64(F.lit(n), F.array_min(F.transform("set", lambda x, n=n: F.xxhash64(x, F.lit(n))))) for n in range(MINIMA)])
-    rows = sets.select("body", F.explode(minima).alias("bucket"))
+    rows = stage(sets.select("body", F.explode(minima).alias("bucket")), "buckets")
     heads = rows.groupBy("bucket").agg(F.min("body").alias("rep"), F.count("*").alias("members")).where("members > 1")
     pairs = rows.join(heads, "bucket").where("body <> rep").select("body", "rep").distinct()
     met = pairs.join(sets, "body").join(sets.toDF("rep", "rep_set"), "rep")
