@@ -133,6 +133,40 @@ def test_mixes_of_shared_lines_lose_them_and_near_copies_do_not(spark):
     assert all(got[i][0] == "" for i, *_ in mixes) and all(got[i] == (text, 0) for i, text, _ in copies + family)
 
 
+def test_copy_keys_equal_plain_classes(spark):
+    """Near copies that differ at the front, and a chain of twelve texts, each near the next five."""
+    texts = sorted({r.text for r in documents(spark).collect() if r.text})
+    base, ahead = prose(400, 120), prose(401, 60).split()
+    texts += [" ".join([*ahead[:i], base]) for i in range(8)]
+    stream = prose(402, 300).split()
+    texts += [" ".join(stream[3 * i : 3 * i + 150]) for i in range(12)] + ["", " \n ", "one", "ONE", "one two"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    copy = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) and copy[i] != copy[j]:
+                copy = [copy[j] if c == copy[i] else c for c in copy]
+    want = {frozenset(k for k, c in enumerate(copy) if c == x) for x in set(copy)}
+    hashed = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("xxhash64(text) AS body", "text")
+    body = {r.text: r.body for r in hashed.collect()}
+    keys = {r.body: r.copy for r in boilerplate.copy_keys(hashed).collect()}
+    groups = defaultdict(set)
+    for k, t in enumerate(texts):
+        groups[keys.get(body[t], body[t])].add(k)
+    assert set(map(frozenset, groups.values())) == want and max(map(len, want)) >= 12
+
+
+def test_line_spread_is_linear_in_a_text(spark):
+    shared = [prose(450 + i, 6) for i in range(40)]
+    rows = [(i, "\n".join([prose(i, 40), *shared]), f"s{i}") for i in range(12)]
+    rows.append((99, "\n".join(shared[i % 40] if i % 2 else f" own {i} " for i in range(60000)), "s99"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: (r.text, r.gone) for r in boilerplate.remove_boilerplate(docs, removed="gone").collect()}
+    assert got[99] == ("\n".join(f" own {i} " for i in range(0, 60000, 2)), 30000)
+    assert all(got[i] == (prose(i, 40), 40) for i in range(12))
+
+
 def test_line_spread_has_no_python(spark, capsys):
     boilerplate.remove_boilerplate(documents(spark)).explain()
     assert not re.search("Python|Arrow", capsys.readouterr().out)
