@@ -71,7 +71,7 @@ class RingState:
         for side, nodes in (("out", ends), ("into", payers)):
             buckets = [r[0] for r in nodes.select(self._bucket("node")).distinct().collect()]  # at most self.buckets
             rows = self.transfers(side, first, last, buckets)
-            found[side] = rows.join(nodes.withColumnRenamed("node", SIDES[side]), SIDES[side], "left_semi").select("src", "dst", "ts", "amt", "k")
+            found[side] = rows.join(nodes.withColumnRenamed("node", SIDES[side]).hint("merge"), SIDES[side], "left_semi").select("src", "dst", "ts", "amt", "k")
         return found["out"], found["into"]
 
     def touched_walks(self, touched: DataFrame, out: DataFrame, into: DataFrame) -> DataFrame:
@@ -80,11 +80,11 @@ class RingState:
         before = self._stage(into.select(F.col("src").alias("w"), F.col("dst").alias("u")).distinct(), "before")
         edges = (
             touched.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-            .join(after.groupBy("v").agg(F.count(F.lit(1)).alias("n_after")), "v")
-            .join(before.groupBy("u").agg(F.count(F.lit(1)).alias("n_before")), "u")
+            .join(after.groupBy("v").agg(F.count(F.lit(1)).alias("n_after")).hint("merge"), "v")
+            .join(before.groupBy("u").agg(F.count(F.lit(1)).alias("n_before")).hint("merge"), "u")
         )
-        forward = edges.where("n_after <= n_before").join(after, "v").join(before, ["w", "u"], "left_semi")
-        backward = edges.where("n_after > n_before").join(before, "u").join(after, ["v", "w"], "left_semi")
+        forward = edges.where("n_after <= n_before").join(after.hint("merge"), "v").join(before.hint("merge"), ["w", "u"], "left_semi")
+        backward = edges.where("n_after > n_before").join(before.hint("merge"), "u").join(after.hint("merge"), ["v", "w"], "left_semi")
         closed = forward.select("u", "v", "w").unionByName(backward.select("u", "v", "w"))
         walk = lambda *names: F.struct(*[F.col(x).alias(a) for x, a in zip(names, WALK, strict=True)])
         rotations = F.array(walk("u", "v", "w"), walk("v", "w", "u"), walk("w", "u", "v"))
@@ -107,12 +107,12 @@ class RingState:
         walks = self._stage(self.touched_walks(touched, out, into), "touched-walks")
         # transfers out of a touched account are all in ``out``; of the others those into a payer count
         ends = self.spark.read.schema("node string").parquet(f"{self.root}/stage/ends").withColumnRenamed("node", "src")
-        big = out.unionByName(into.join(ends, "src", "left_anti")).where(F.col("ts") >= F.lit(start))
+        big = out.unionByName(into.join(ends.hint("merge"), "src", "left_anti")).where(F.col("ts") >= F.lit(start))
         legs = walks.select(F.explode(F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("a1", "a2"), ("a2", "a3"), ("a3", "a1"))])).alias("e"))
-        big = big.join(legs.select("e.*").distinct(), ["src", "dst"], "left_semi").groupBy("src", "dst", "ts", "amt").agg(F.sum("k").alias("k"))
+        big = big.join(legs.select("e.*").distinct().hint("merge"), ["src", "dst"], "left_semi").groupBy("src", "dst", "ts", "amt").agg(F.sum("k").alias("k"))
         big = self._stage(big, "near-transfers")
         found = count_cycles(self._stage(possible_walks(walks, big), "possible-walks"), big, f"{self.root}/stage")
         buckets = self.rings.touched(walks)
-        kept = self.rings.read(buckets).join(walks, WALK, "left_anti")
+        kept = self.rings.read(buckets).join(walks.hint("merge"), WALK, "left_anti")
         self.rings.replace(kept.unionByName(found.select(kept.columns)), buckets, batch_id)
         return self.rings.read()

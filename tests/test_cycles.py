@@ -92,3 +92,27 @@ def test_old_and_small_transfers_do_not_count(spark):
     start = T0 - dt.timedelta(days=1)
     small = [("A", "B", start, "999999.99"), ("B", "C", start + dt.timedelta(hours=1), "999999.99"), ("C", "A", start + dt.timedelta(hours=2), "999999.99")]
     assert found(spark, old + small) == {}
+
+
+@pytest.mark.parametrize("few", [0, 20, 4000])
+def test_walks_counted_in_pairs_and_in_blocks_agree(spark, few):
+    """Equal transfers, equal times and self payments; ``few`` decides which way a walk is counted."""
+    rnd = random.Random(7)
+    transfers = [
+        (rnd.choice("ABC"), rnd.choice("ABC"), T0 - dt.timedelta(hours=rnd.randrange(0, 100)), rnd.choice(["1000000.00", "1100000.00", "1111111.11"]))
+        for _ in range(70)
+    ]
+    transfers += transfers[:10]
+    df = spark.createDataFrame(rows_of(transfers), SCHEMAS["transactions"])
+    got = {(r.a1, r.a2, r.a3): (r.cycles, r.amt) for r in cycles(df, fixed(spark, T0), few=few).collect()}
+    assert got == brute_force(transfers)
+
+
+def test_no_stored_table_is_sent_through_the_driver(spark):
+    """Stored tables compress well: by the size of their files Spark would broadcast tables that grow with the transfers."""
+    start = T0 - dt.timedelta(hours=50)
+    ring = [("A", "B", start, "2000000.00"), ("B", "C", start + dt.timedelta(hours=1), "2000000.00"), ("C", "A", start + dt.timedelta(hours=2), "2000000.00")]
+    df = spark.createDataFrame(rows_of(ring), SCHEMAS["transactions"])
+    for few in (0, 4000):
+        plan = cycles(df, fixed(spark, T0), few=few)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
