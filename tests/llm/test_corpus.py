@@ -311,3 +311,13 @@ def test_pipeline_on_awkward_and_empty_rows(spark):
             assert work(spark, docs, DATA).columns == docs.columns
             docs = work(spark, docs, DATA)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= 0
+
+
+def test_components_write_only_labels(spark, monkeypatch):
+    """The stored links are read as they are, repeated or not: each further table costs a write per round."""
+    written, plain = [], neardup.stage
+    monkeypatch.setattr(neardup, "stage", lambda df, name: written.append(name) or plain(df, name))
+    links = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (2, 3), (7, 9)], "a bigint, b bigint")
+    got = {r.node: r.label for r in neardup.components(links).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7}
+    assert set(written) == {"labels"}
