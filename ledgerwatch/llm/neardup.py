@@ -14,8 +14,8 @@ probability (1 - 0.8^5)^24 = 7e-5, less above.
 4. Members of a bucket that ended up in different components meet further representatives,
    more in each round, until every pair of the bucket in different components has been looked
    at. So the bucket's links are whole without listing pairs of one class. A bucket's members are
-   dealt into blocks, and its representatives copied to each, so no task gets a whole one. When the
-   copies for all that is left are few, the round is the last.
+   dealt into blocks, each one row, and its representatives copied to each, so no task gets a whole
+   bucket and the join needs no dealing anew. When the copies for all that is left are few, the round is the last.
 
 Defined cases: a text without words (null, empty, blank) has no shingles, is nobody's
 near copy and, if equal texts repeat, each row stands alone; rows with equal ids or texts
@@ -121,21 +121,21 @@ def text_signatures(docs: DataFrame, bands: int, rows_per_band: int, weight: str
 
 
 def shingle_sets(texts: DataFrame, weight: str) -> DataFrame:
-    """``texts`` has node, text; gives node, shingle keys (sorted) and, for counts, their weights."""
+    """``texts`` has node, text, bands; gives node, shingle keys (sorted), their weights for counts, and bands."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, keys, weights = shingles(batch.column(1), weight=weight)
         order = np.lexsort((keys, rows))
         cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
         lists = lambda x: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x))
-        columns = [batch.column(0), lists(keys[order].view(np.int64)), lists(weights[order].astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, ["node", "keys", "counts"])
+        columns = [batch.column(0), lists(keys[order].view(np.int64)), lists(weights[order].astype(np.int32)), batch.column(2)]
+        return pa.RecordBatch.from_arrays(columns, ["node", "keys", "counts", "bands"])
 
-    return texts.mapInArrow(per_slice(work, "text", 2 << 20), "node bigint, keys array<bigint>, counts array<int>")
+    return texts.mapInArrow(per_slice(work, "text", 2 << 20), "node bigint, keys array<bigint>, counts array<int>, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float, weight: str) -> DataFrame:
-    """The pairs (a, b) whose exact weighted Jaccard similarity reaches ``similarity``.
+    """The pairs (a, b, other columns) whose exact weighted Jaccard similarity reaches ``similarity``.
 
     A node that is in very many pairs is salted: its set is repeated once per 500 pairs.
     """
@@ -159,7 +159,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, weight: str)
         common, total = total_of(shared), total_of(F.col("ca")) + total_of(F.col("cb"))
     return both.withColumn("common", common).withColumn("total", total).where(
         F.col("common") >= similarity * (F.col("total") - F.col("common"))
-    ).select("a", "b")
+    ).select(*pairs.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def text_classes(base: DataFrame, weight: str = "set", similarity: float = SIMIL
     links = stage(verified(pairs, sets, similarity, weight), "links")
     label = rows.select("node").distinct().join(components(links), "node", "left")
     label = stage(label.select("node", F.coalesce("label", "node").alias("label")), "components")
-    label = _remaining(rows, nodes, sets, label, similarity, weight)
+    label = _remaining(rows, sets, label, similarity, weight)
     return nodes.select("node", "h1", "h2", "copy_id", "n_copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -261,14 +261,14 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def _texts(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and text of the wanted nodes: the row with the class's least id, once."""
-    ids = nodes.join(wanted, "node").select("node", "h1", "h2", F.col("copy_id").alias("id"))
-    found = base.join(ids, (base.h1 == ids.h1) & (base.h2 == ids.h2) & base.id.eqNullSafe(ids.id)).select("node", "text")
-    return found.groupBy("node").agg(F.first("text").alias("text"))
+    """node, text and bands of the wanted nodes: the row with the class's least id, once."""
+    ids = nodes.join(wanted, "node").select("node", "h1", "h2", F.col("copy_id").alias("id"), "bands")
+    found = base.join(ids, (base.h1 == ids.h1) & (base.h2 == ids.h2) & base.id.eqNullSafe(ids.id)).select("node", "text", "bands")
+    return found.groupBy("node").agg(F.first("text").alias("text"), F.first("bands").alias("bands"))
 
 
 def long_sketches(sets: DataFrame) -> DataFrame:
-    """node and LONG one-bit coordinates in columns s0, s1, ... (64 each) from shingle sets."""
+    """node, bands and LONG one-bit coordinates in columns s0, s1, ... (64 each) from shingle sets."""
     names = [f"s{i}" for i in range(LONG // 64)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,12 +279,12 @@ def long_sketches(sets: DataFrame) -> DataFrame:
                 rows = np.repeat(np.arange(part.num_rows), keys.value_lengths().to_numpy())
                 sig = signatures(rows, keys.flatten().to_numpy().view(np.uint64), counts.flatten().to_numpy().astype(np.float64), part.num_rows, LONG)
                 bits = np.packbits((mix(sig) >> np.uint64(17)).astype(np.uint8) & 1, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(bits[:, i]) for i in range(len(names))]], ["node", *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), *[pa.array(bits[:, i]) for i in range(len(names))]], ["node", "bands", *names])
 
-    return sets.mapInArrow(work, "node bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return sets.mapInArrow(work, "node bigint, bands array<bigint>, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def _remaining(rows: DataFrame, nodes: DataFrame, sets: DataFrame, label: DataFrame, similarity: float, weight: str) -> DataFrame:
+def _remaining(rows: DataFrame, sets: DataFrame, label: DataFrame, similarity: float, weight: str) -> DataFrame:
     """``label`` with the links inside buckets between members of different components added.
 
     Further representatives are drawn by hash; each round has ``GROWTH`` times as many per bucket
@@ -305,7 +305,7 @@ def _remaining(rows: DataFrame, nodes: DataFrame, sets: DataFrame, label: DataFr
     if not copies:
         return label
     left = rest.select("node").distinct()
-    sketches = stage(long_sketches(sets.join(left, "node", "left_semi")).join(nodes.select("node", "bands"), "node"), "sketches")
+    sketches = stage(long_sketches(sets.join(left, "node", "left_semi")), "sketches")
     parts = [c for c in sketches.columns if c != "node"]
     rep = lambda c: F.col(f"r_{c}")
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(rep(c))) for c in parts if c != "bands"), F.lit(0))
@@ -318,12 +318,13 @@ def _remaining(rows: DataFrame, nodes: DataFrame, sets: DataFrame, label: DataFr
         full = rest.join(sketches, "node")
         reps = full if last else full.where(F.col("order") < share)
         reps = reps.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"r_{c}") for c in ("node", "size", "order", "label", *parts)])
-        met = full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(reps, ["bucket", "block"])
+        members = full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        members = members.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "size", "order", "label", *parts)).alias("members"))
+        met = reps.join(members, ["bucket", "block"]).select("bucket", *[c for c in reps.columns if c.startswith("r_")], F.inline("members"))
         met = met.where((F.col("label") != F.col("r_label")) & (F.col("order") >= F.col("r_order")) & near & (shared == F.col("bucket")))
         met = met.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b"), F.least("label", "r_label").alias("la"), F.greatest("label", "r_label").alias("lb"))
         pairs = stage(met, "pairs")
-        linked = verified(pairs.select("a", "b"), sets, similarity, weight).join(pairs, ["a", "b"])
-        linked = stage(linked.select(F.col("la").alias("a"), F.col("lb").alias("b")), "links")
+        linked = stage(verified(pairs, sets, similarity, weight).select(F.col("la").alias("a"), F.col("lb").alias("b")), "links")
         if not linked.isEmpty():
             merged = components(linked)  # of components: the graph of those that were still apart
             label, rest = stage(_relabelled(label, merged), "components"), _relabelled(rest, merged)

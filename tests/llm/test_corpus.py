@@ -321,3 +321,41 @@ def test_components_write_only_labels(spark, monkeypatch):
     got = {r.node: r.label for r in neardup.components(links).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7}
     assert set(written) == {"labels"}
+
+
+@pytest.fixture
+def small_skew(spark):
+    """Shuffles of 16 partitions as they are, with skewed joins split by 16 kB."""
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_blocks_of_a_bucket_are_met_without_splitting(spark, monkeypatch, small_skew):
+    """A large bucket's members go as one row per block: the join with representatives takes a task per partition, not one per pair of splits."""
+    base = prose(5, 200).split()
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" if (j * 7 + i) % 40 == 0 else w for j, w in enumerate(base))) for i in range(700)], "doc_id bigint, text string")
+    plain, most, tracker = neardup.stage, [], spark.sparkContext.statusTracker()
+
+    def counted(df, name):
+        spark.sparkContext.setJobGroup(f"{name}-{len(most)}", name)
+        out = plain(df, name)
+        if name == "pairs":
+            stages = {s for j in tracker.getJobIdsForGroup(f"{name}-{len(most)}") for s in tracker.getJobInfo(j).stageIds}
+            most.append(max(i.numTasks for s in stages if (i := tracker.getStageInfo(s))))
+        return out
+
+    monkeypatch.setattr(neardup, "stage", counted)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert len(got) == 700 and len(most) > 1 and max(most[1:]) <= 16
+
+
+def test_verified_pairs_keep_their_columns(spark):
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4, 5], [1] * 5), (2, [1, 2, 3, 4, 5, 6], [1] * 6), (3, [9], [1])], "node bigint, keys array<bigint>, counts array<int>")
+    pairs = spark.createDataFrame([(1, 2, 10, 20), (1, 3, 10, 30)], "a bigint, b bigint, la bigint, lb bigint")
+    assert [tuple(r) for r in neardup.verified(pairs, sets, 0.8, "set").collect()] == [(1, 2, 10, 20)]
