@@ -320,7 +320,8 @@ def _remaining(rows: DataFrame, sets: DataFrame, label: DataFrame, similarity: f
         reps = reps.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"r_{c}") for c in ("node", "size", "order", "label", *parts)])
         members = full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         members = members.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "size", "order", "label", *parts)).alias("members"))
-        met = reps.join(members, ["bucket", "block"]).select("bucket", *[c for c in reps.columns if c.startswith("r_")], F.inline("members"))
+        # opened before the join, so its condition is part of it: pairs that are not near are no rows
+        met = members.select("bucket", "block", F.inline("members")).join(reps, ["bucket", "block"])
         met = met.where((F.col("label") != F.col("r_label")) & (F.col("order") >= F.col("r_order")) & near & (shared == F.col("bucket")))
         met = met.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b"), F.least("label", "r_label").alias("la"), F.greatest("label", "r_label").alias("lb"))
         pairs = stage(met, "pairs")
