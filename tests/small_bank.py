@@ -3,7 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
-import demo_values as demo
+import demo_values
 from ledgerwatch.sources.tables import SCHEMAS
 
 T0 = dt.datetime(2026, 9, 28, 23, 59)
@@ -29,7 +29,7 @@ def transactions(spark, rows):
 
 def demo(spark):
     """The demo customer with 17 cash deposits just under the reporting limit."""
-    c, a = demo.DEMO_CUSTOMER, demo.DEMO_ACCOUNT
+    c, a = demo_values.DEMO_CUSTOMER, demo_values.DEMO_ACCOUNT
     cust = spark.createDataFrame([(*c[:6], dt.date.fromisoformat(c[6]), c[7], c[8])], SCHEMAS["customers"])
     acc = spark.createDataFrame([(a[0], a[1], a[2], dt.date.fromisoformat(a[3]), a[4], Decimal(a[5]))], SCHEMAS["accounts"])
     txns = transactions(
@@ -37,7 +37,7 @@ def demo(spark):
         [
             dict(txn_id=f"TXS-9821-{i:02d}", account_id=a[0], counterparty_account_id=branch, txn_ts=dt.datetime.fromisoformat(ts), channel="CASH",
                  amount_inr=amt, device_id="BRANCH-COUNTER", ip_address=f"10.200.5.{i}", synth_label="STRUCTURING")
-            for i, (branch, amt, ts) in enumerate(demo.DEMO_CASH_DEPOSITS, start=1)
+            for i, (branch, amt, ts) in enumerate(demo_values.DEMO_CASH_DEPOSITS, start=1)
         ],
     )
     return cust, acc, txns
@@ -49,6 +49,6 @@ def demo_feed(spark, account_id):
         [
             dict(txn_id=f"DEMO-{i}", account_id=account_id, counterparty_account_id="CP-DEMO-001", txn_ts=dt.datetime.fromisoformat(ts), channel="IMPS",
                  direction="DEBIT", amount_inr=amt, device_id=dev, ip_address="203.0.113.25", synth_label="DEMO_ACCOUNT_TAKEOVER")
-            for i, (ts, amt, dev) in enumerate(demo.DEMO_FEED)
+            for i, (ts, amt, dev) in enumerate(demo_values.DEMO_FEED)
         ],
     )
