@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import small_bank as sb
+from ledgerwatch.catalog import build_registry
+from ledgerwatch.catalog.registry import TS_FORMAT, present
 from ledgerwatch.operators import network
 from ledgerwatch.operators.adjacency import LinkTables
 
@@ -101,6 +103,26 @@ def test_blocks_of_a_device_list_every_pair_once(world, block):
     assert {(r.source_node, r.target_node, r.link_type): (r.total_volume_inr, r.last_activity) for r in got} == naive_pairs(rows)
 
 
+def test_shown_links_equal_the_presented_list(spark, world):
+    """Doubles and text formed per member are those of the typed list: large and missing amounts, many rows, late times."""
+    _, flows, use = world
+    far = dt.datetime(9999, 12, 31, 23, 59, 59, 999999)
+    odd = [("100.01", 3, sb.T0), ("339999999.99", 8191, far), ("340000000.00", 1, None), ("-5.25", 9000, sb.T0), (None, 2, None), ("99999999999999999999.99", 70_000, sb.T0)]
+    rows = [(f"Z{i}", "ODD", n, None if a is None else Decimal(a), ts, f"C{i}", f"N{i}") for i, (a, n, ts) in enumerate(odd)]
+    use = use.unionByName(spark.createDataFrame(rows, use.select("account_id", "device_id", "n", "amount", "last_ts", "customer_id", "full_name").schema))
+    pairs = [(present(network.device_edges(use, 2)), network.device_edges(use, 2, TS_FORMAT))]
+    for want, got in pairs:
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_no_pair_formats_a_time(workspace):
+    """What stands above the join of the blocks runs once per pair."""
+    plan = present(build_registry()["n3"].build(workspace))._jdf.queryExecution().optimizedPlan().toString()
+    assert "SHARED_DEVICE" in plan and "date_format" in plan
+    assert not re.search("date_format|SHARED_DEVICE", plan[: plan.index("Join Inner")])
+
+
 def order(r):
     return -r.total_volume_inr, r.source_node, r.target_node, r.link_type
 
