@@ -110,7 +110,7 @@ def test_shown_links_equal_the_presented_list(spark, world):
     odd = [("100.01", 3, sb.T0), ("339999999.99", 8191, far), ("340000000.00", 1, None), ("-5.25", 9000, sb.T0), (None, 2, None), ("99999999999999999999.99", 70_000, sb.T0)]
     rows = [(f"Z{i}", "ODD", n, None if a is None else Decimal(a), ts, f"C{i}", f"N{i}") for i, (a, n, ts) in enumerate(odd)]
     use = use.unionByName(spark.createDataFrame(rows, use.select("account_id", "device_id", "n", "amount", "last_ts", "customer_id", "full_name").schema))
-    pairs = [(present(network.device_edges(use, 2)), network.device_edges(use, 2, TS_FORMAT))]
+    pairs = [(present(network.device_edges(use, 2)), network.device_edges(use, 2, TS_FORMAT)), (present(network.network_graph(flows, use)), network.network_graph(flows, use, TS_FORMAT))]
     for want, got in pairs:
         assert got.dtypes == want.dtypes
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
