@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerwatch.catalog.registry import Registry
+from functools import partial
+
+from ledgerwatch.catalog.registry import TS_FORMAT, Registry
 from ledgerwatch.plans.questions import DEFAULT_ACCOUNT, DEFAULT_ALERT, DEFAULT_CUSTOMER, QUESTIONS
 
 _LINK = "source_node; source_name; target_node; target_name; link_type; txn_count:i; total_volume_inr:d"
@@ -196,4 +198,5 @@ SQL: dict[str, tuple[str, str]] = {
 def register(reg: Registry) -> None:
     for name, q in QUESTIONS.items():
         columns, rest = SQL[name]
-        reg.add(name, q.build, columns, rest)
+        # b22 lists every pair: its times are formatted per member, not per link
+        reg.add(name, partial(q.build, text=TS_FORMAT) if name == "b22" else q.build, columns, rest)

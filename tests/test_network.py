@@ -15,6 +15,7 @@ from ledgerwatch.catalog import build_registry
 from ledgerwatch.catalog.registry import TS_FORMAT, present
 from ledgerwatch.operators import network
 from ledgerwatch.operators.adjacency import LinkTables
+from ledgerwatch.plans.questions import QUESTIONS
 
 
 @pytest.fixture(scope="module")
@@ -123,6 +124,14 @@ def test_no_pair_formats_a_time(workspace):
     assert not re.search("date_format|SHARED_DEVICE", plan[: plan.index("Join Inner")])
 
 
+def test_customers_on_the_same_device_shown_per_member(workspace):
+    build = build_registry()["b22"].build
+    found = present(build(workspace))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "date_format" in plan and "date_format" not in plan[: plan.index("Join Inner")]
+    assert found.collect() == present(QUESTIONS["b22"](workspace)).collect()
+
+
 def order(r):
     return -r.total_volume_inr, r.source_node, r.target_node, r.link_type
 
